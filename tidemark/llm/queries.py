@@ -83,8 +83,8 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_quality
 
 ORACLE_SQL = {
     "op9_vector_search": """
-with v as (select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as q from embeddings
-           where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 20""",
