@@ -32,12 +32,18 @@ class Contract:
         return [f.name for f in self.schema.fields if not f.nullable]
 
 
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(), "decimal(12;2)": T.DecimalType(12, 2), "decimal(15;2)": T.DecimalType(15, 2),
+}
+
+
 def _schema(text: str) -> T.StructType:
     """Columns as ``name type`` with an exclamation mark for required ones."""
     fields = []
     for part in text.split(","):
         name, kind = part.split()
-        fields.append(T.StructField(name.rstrip("!"), T.StructType.fromDDL(f"c {kind.replace(';', ',')}")[0].dataType, not name.endswith("!")))
+        fields.append(T.StructField(name.rstrip("!"), _TYPES[kind], not name.endswith("!")))
     return T.StructType(fields)
 
 
