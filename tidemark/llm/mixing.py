@@ -109,7 +109,7 @@ def plan_mix(docs: DataFrame, *, weights=(3, 1, 2), share=(3, 2), most: int = 2,
     found = keyed.groupBy("rank", "block").agg(F.sum("__size").alias("words"))
     turn = W.partitionBy("rank").orderBy(_unit(f"{seed}:order", F.col("rank"), F.col("block")), "block")
     found = found.join(sources.select("rank", "times", "want"), "rank").withColumn("cum", F.sum("words").over(turn.rowsBetween(W.unboundedPreceding, 0)))
-    full, part = F.col("cum") <= F.col("want"), (F.col("cum") > F.col("want")) & (F.col("cum") - F.col("words") < F.col("want"))
+    full, part = (F.col("cum") <= F.col("want")) & (F.col("want") > 0), (F.col("cum") > F.col("want")) & (F.col("cum") - F.col("words") < F.col("want"))
     found = written(found.select("rank", "block", "times", full.alias("full"), part.alias("part"), (F.col("want") - F.col("cum") + F.col("words")).alias("room")), "mix-blocks")
 
     # the block that is drawn in part: its documents by hash, equal hashes together

@@ -118,7 +118,7 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = 40, weight: float = 0.0
     zero = "struct(0D as good, 0D as all, " + ", ".join(f"transform({ks}, k -> 0D) as {n}" for n, *_ in names) + ")"
     seen = "struct(a.good + x as good, a.all + p.n as all, " + ", ".join(add(*x) for x in names) + ")"
     sums = f"aggregate(patterns, {zero}, (a, p) -> transform(array(p.n * {post}), x -> {seen})[0])"
-    prior = {"g_bad": 0.02, "g_good": 0.7, "b_bad": 0.4, "b_good": 0.6}
+    prior = {"g_bad": 0.02, "g_good": 0.7, "b_bad": 0.4, "b_good": 0.5}
 
     def rate(n: str) -> str:
         mass = "t.good" if n[0] == "g" else "(t.all - t.good)"
