@@ -266,5 +266,12 @@ ORACLE["schema_snapshot"] = full(", n as (select count(*) as n_rows from src_ord
 ORACLE["stream_weblogs_upsert"] = full("select event_id, username, date_trunc('second', event_ts) as event_ts, request_path, status_code::varchar as status_code from webserver_logs where _source_line % 11 <> 0")
 ORACLE["stream_leads_current"] = full(CLEAN_LEADS.replace("contact_email desc, country_code desc", "country_code desc").replace("industry desc, ", "").replace("last_activity_at desc, ", ""))
 
+ORACLE["stream_events_once"] = "select event_id, event_type from events"
+ORACLE["warehouse_build"] = ORACLE["dq_generic"]
+ORACLE["ingestion_run"] = full("""
+, n as (select (select count(*) from src_orders) as orders, (select count(*) from order_items) as items, (select count(*) from companies where cuit not like '%5') as good)
+select 'orders' as "table", orders as n_rows, 'completed' as status, orders as records, 0::bigint as bad_records from n
+union all select 'order_items', items, 'completed', items, 0 from n union all select 'companies', good, null, null, null from n union all select 'ref_countries', null, 'failed', null, null""")
+
 # A body that begins with more common table expressions goes on where the models' list ends.
 ORACLE = {k: re.sub(r"\)\n\s*,\s", "),\n", v, count=1) if re.search(r"\)\n\s*,\s", v) else v for k, v in ORACLE.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import contracts
 from tidemark.functions.expressions import cents, first_set, parse_ts_lenient, trade_lane, ts, user_cohort
 from tidemark.operators import clean, dedupe, merge, quality, rules, runlog
-from tidemark.plans import marts, reports, staging
+from tidemark.plans import ingestion, marts, reports, staging, warehouse
 from tidemark.plans.fixtures import dataset, table
 from tidemark.sources import extract, files
 from tidemark.sources.workdir import work_folder
@@ -630,3 +630,41 @@ def stream_leads_current(spark, sf_dir):
         leads.where(part).write.mode("append").option("header", True).csv(path)
         ingest.upsert_stream(ingest.stream_leads(spark, path), t, ["lead_id"], prepare, ["status_updated_at"], checkpoint).awaitTermination()
     return t.read()
+
+
+@query
+def stream_events_once(spark, sf_dir):
+    """Events that arrive twice, deduplicated within the watermark's delay and written as files."""
+    path, out, checkpoint = (work_folder(spark, n) for n in ("stream-events", "events-once", "stream-state"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("event_ts"), "event_type")
+    events.unionAll(events).write.parquet(path)
+    stream = ingest.stream_event_dedupe(spark.readStream.schema(events.schema).parquet(path), delay="40 days")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(out).select("event_id", "event_type")
+
+
+# --- whole runs
+
+
+@query
+def warehouse_build(spark, sf_dir):
+    """All models, then their tests."""
+    names = {"orders": "src_orders", "marketing_leads": "leads"}
+    t = {n: dataset(spark, sf_dir, names.get(n, n)) for n in ("ref_countries", "companies", "products", "company_catalogs", "customers", "orders", "order_items", "marketing_leads", "webserver_logs")}
+    return warehouse.build(spark, t, as_of=F.lit(AS_OF), loaded_at=_loaded())
+
+
+@query
+def ingestion_run(spark, sf_dir):
+    """Two runs and a repeat of the second; a dataset without its key's column fails and leaves the others alone."""
+    root = work_folder(spark, "ingestion")
+    orders = dataset(spark, sf_dir, "src_orders")
+    items = dataset(spark, sf_dir, "order_items").withColumn("quantity", F.when(F.col("id") % 10 == 1, None).otherwise(F.col("quantity")).cast("int"))
+    odd = dataset(spark, sf_dir, "companies").withColumn("type", F.when(F.col("cuit").endswith("5"), None).otherwise(F.col("type")))
+    broken = orders.select(F.raise_error(F.lit("no source")).cast("string").alias("code"), F.lit("x").alias("name"))
+    ingestion.run(spark, [(contracts.ORDERS, orders.where(F.col("id") % 2 == 0)), (contracts.COMPANIES, odd)], root, "run-1")
+    for _ in range(2):
+        states = ingestion.run(spark, [(contracts.ORDERS, orders), (contracts.REF_COUNTRIES, broken), (contracts.ORDER_ITEMS, items)], root, "run-2")
+    loaded = quality.row_counts({n: merge.VersionedTable(spark, f"{root}/tables/{n}").read() for n in ("orders", "companies", "order_items")})
+    outcome = states.select(F.col("dataset").alias("table"), "status", "records", "bad_records")
+    return loaded.join(outcome, "table", "full_outer")
