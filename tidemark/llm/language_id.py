@@ -142,7 +142,7 @@ def train_language_id(docs: DataFrame, *, folds: int = 4, held_out: int = 2, per
 
 
 
-def predict(model: ByteNetwork, texts: list[str], tables, together: int = 256) -> list[tuple[str, float]]:
+def predict(model: ByteNetwork, texts: list[str], tables, together: int = 128) -> list[tuple[str, float]]:
     """(language, probability) of each text, from all its windows; ``together`` windows at a time."""
     out = []
     sums = np.zeros((len(texts), len(model.languages)))
