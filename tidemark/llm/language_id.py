@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_fold, small_batches
+from tidemark.llm.common import crc_fold, small_batches, written
 
 _LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
@@ -130,12 +130,17 @@ def train_language_id(docs: DataFrame, *, folds: int = 4, held_out: int = 2, per
     """Learns from one window each of at most ``per_language`` texts of each language outside the held-out fold.
 
     The texts with the smallest hash are taken, the window's place in the text by hash too.
-    Null languages, ids and texts without letters take no part. The limit by language is
-    applied before the shuffle, so one language may hold any share of the rows.
+    Null languages, ids and texts without letters take no part. From the number of rows of
+    a language follows a bound on the hash that lets through about twice the limit; only
+    such rows are shuffled, so one language may hold any share of the rows.
     """
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_fold(F.col("doc_id"), folds) != held_out))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out))
+    rows = rows.select("lang", F.xxhash64("doc_id").alias("__h"), "doc_id", "text")
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("__n")), "language-counts")
+    share = F.lit(2.0 * per_language + 50) / F.col("__n")
+    low = F.pmod("__h", F.lit(1 << 40)) < share * (1 << 40)
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - length)).cast("int") + 1
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("__h"), F.substr("text", place, F.lit(length)).alias("part"))
+    rows = rows.join(counts, "lang").where(low & F.col("text").rlike(r"\p{L}")).select("lang", "__h", F.substr("text", place, F.lit(length)).alias("part"))
     rows = rows.withColumn("__turn", F.row_number().over(W.partitionBy("lang").orderBy("__h", "part"))).where(F.col("__turn") <= per_language)
     samples = [(r["lang"], r["part"].encode()[:length]) for r in rows.orderBy("lang", "__turn").collect()]
     return train(samples, length=length, **options)
