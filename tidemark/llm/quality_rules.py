@@ -29,6 +29,15 @@ def _without(characters: str) -> Column:
     return F.length(F.translate("__t", characters, ""))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column by way of one generated row a row.
+
+    The optimiser puts a plain column's expression in each place that uses it, filters
+    included, where it is computed again each time; it doesn't reach through a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _repeats(words: str) -> str:
     """Words in 3-word windows that occur twice or more; ``words`` is an array of strings.
 
@@ -47,8 +56,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     t = docs.withColumn("__t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = F.regexp_extract_all("__t", F.lit(WORD), F.lit(0))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    # one generated row per row keeps the arrays from being inlined, and so computed again, in each use
-    t = t.withColumn("__a", F.explode(F.array(F.struct(words.alias("w"), lines.alias("l")))))
+    t = once(t, "__a", F.struct(words.alias("w"), lines.alias("l")))
     counts = {
         "n_words": F.size("__a.w"),
         "word_chars": _without(BLANKS),
@@ -60,7 +68,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
         "n_marks": F.length("__t") - _without("!?|"),
         "n_distinct": F.size(F.array_distinct("__a.w")),
     }
-    return t.withColumn("__counts", F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])).drop("__t", "__a")
+    return once(t, "__counts", F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])).drop("__t", "__a")
 
 
 @dataclass(frozen=True)
@@ -169,7 +177,7 @@ def judge_quality(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, least: fl
 
 def keep_quality(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows that the base rule or the posterior rejects; columns stay as they are."""
-    rows = text_counts(docs).withColumn("__votes", votes(rules))
+    rows = once(text_counts(docs), "__votes", votes(rules))
     patterns = written(rows.groupBy(F.col("__votes").alias("votes")).agg(F.count("*").alias("n")), "quality-patterns")
     model = fit(patterns, len(rules))
     return rows.where(~base_failed() & (posterior(model) >= least)).select(*docs.columns)
