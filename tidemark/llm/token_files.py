@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import small_batches, written
 from tidemark.llm.encoding import byte_encoder
 
 #: Fixed values of the format.
@@ -110,7 +110,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     split too. A segment has whole documents, ``segment_ids`` ids at least but for the last.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2048)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("__h", F.xxhash64("text"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     end = np.array([end_id], "<u4").tobytes()
@@ -149,11 +149,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of token files: doc_id, start (ids before it), n_tokens, ids (binary).
 
     The numbers of ids by shard are summed from two columns of the files; their running
-    sum has one row for each shard.
+    sum has one row for each shard and is written, so that Spark knows its size and
+    needn't shuffle the segments while it is small.
     """
     segments = spark.read.schema(SEGMENT).parquet(path)
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = written(before, "shard-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
