@@ -167,7 +167,7 @@ def test_token_files_of_odd_and_empty_tables(spark):
 def test_encoder_equals_library_when_memo_is_small(texts):
     e = ByteEncoder(BYTES, entries=50, longest=4)
     some = [*list(texts.values())[:40], *[t or "" for t in ODD_TEXTS]]
-    assert list(e.stream(some, chars=5000)) == [np.array(library_ids(BYTES, t), "<u4").tobytes() for t in some]
+    assert list(e.stream(some, characters=5000)) == [np.array(library_ids(BYTES, t), "<u4").tobytes() for t in some]
 
 
 # --- 3 and 5: classifiers

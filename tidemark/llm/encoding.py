@@ -1,21 +1,27 @@
-"""Exact token ids of whole texts, with a memo of the pieces between spaces.
+"""Exact token ids of whole texts, with a memo of the pieces between blanks.
 
-A byte-level BPE with the usual pattern never joins characters across a single space
-that stands between two non-space characters: every alternative of the pattern that
-holds a space begins with it. Cut there, each piece (with its leading space) gets the
-same ids alone as inside the text. The library encodes each distinct piece once a worker.
+A byte-level BPE with the usual pattern never joins characters across a space or line
+break that stands alone between two other characters: every alternative of the pattern
+that holds one begins with it. Cut before it, each piece gets the same ids alone as
+inside the text. Arrow cuts the texts and numbers the distinct pieces; the library
+encodes a distinct piece once while the memo holds it.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
-
-_AMBIGUOUS = re.compile(r"\s\s|\A\s|\s\Z")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Every kind of white space, for a regular expression.
+_BLANK = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A space or line break beside other white space, white space at an end of the text, or the mark of a first piece.
+_ODD = rf"[ \n]{_BLANK}|{_BLANK}[ \n]|\A{_BLANK}|{_BLANK}\z|\x01"
+#: Marks the first piece of a text.
+HEAD = "\x01"
 _LOADED: dict[str, object] = {}
 
 
@@ -29,9 +35,31 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
-def pieces(text: str) -> list[str]:
-    """Cuts a text at spaces that stand alone between two characters that aren't white space."""
-    return _SAFE_CUT.split(text) if _AMBIGUOUS.search(text) else text.split(" ")
+def plain(texts: list[str]) -> list[bool]:
+    """Whether every space and line break of a text stands alone between other characters; false if empty."""
+    column = pa.array(texts, pa.large_string())
+    return pc.and_(pc.invert(pc.match_substring_regex(column, _ODD)), pc.greater(pc.binary_length(column), 0)).to_pylist()
+
+
+def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts cut at spaces: the distinct pieces, each piece's number, and where each text's pieces begin."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    encoded = cut.values.dictionary_encode()
+    return encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False), cut.offsets.to_numpy()
+
+
+def groups(texts: list[str | None], characters: int) -> Iterator[list[str]]:
+    """Runs of texts (null: empty) of about so many characters in all."""
+    group: list[str] = []
+    held = 0
+    for x in texts:
+        group.append(x or "")
+        held += len(group[-1])
+        if held >= characters:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 class ByteEncoder:
@@ -41,52 +69,74 @@ class ByteEncoder:
     entries, which bounds its memory; longer pieces are encoded each time.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, entries: int = 700_000, longest: int = 64):
         self.library, self.entries, self.longest = tokenizer(path), entries, longest
         self.memo: dict[str, bytes] = {}
-        # ids whose token begins with the space byte, which byte-level vocabularies write as U+0120
-        self.opens = np.zeros(self.library.get_vocab_size() + 1, bool)
-        self.opens[[i for x, i in self.library.get_vocab().items() if x.startswith("\u0120")]] = True
+        # ids whose token begins with a space or a line break, which byte-level vocabularies write as U+0120 and U+010A
+        self.opens = {}
+        for blank, mark in ((" ", "Ġ"), ("\n", "Ċ")):
+            self.opens[blank] = np.zeros(self.library.get_vocab_size() + 1, bool)
+            self.opens[blank][[i for x, i in self.library.get_vocab().items() if x.startswith(mark)]] = True
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encodes pieces, each after a space, in one call; cuts the ids where a token begins with that space."""
-        ids = self._ids([" " + " ".join(new)])[0]
-        starts = np.flatnonzero(self.opens[ids])
+    def _learn(self, new: list[str], blank: str) -> dict[str, bytes]:
+        """Encodes pieces that follow a space (without it) or begin with a line break, in one call.
+
+        The ids are cut where a token begins with that blank; should they not tell all
+        pieces apart, each piece is encoded by itself.
+        """
+        if not new:
+            return {}
+        led = [" " + x for x in new] if blank == " " else new
+        ids = self._ids(["".join(led)])[0]
+        starts = np.flatnonzero(self.opens[blank][ids])
         if len(starts) != len(new):
-            return {x: i.tobytes() for x, i in zip(new, self._ids([" " + x for x in new]), strict=True)}
-        raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-        return {x: raw[a:b] for x, a, b in zip(new, (starts * 4).tolist(), ends, strict=True)}
+            return {x: i.tobytes() for x, i in zip(new, self._ids(led), strict=True)}
+        raw, starts = ids.tobytes(), (starts * 4).tolist()
+        return {x: raw[a:b] for x, a, b in zip(new, starts, [*starts[1:], len(raw)], strict=True)}
+
+    def _lookup(self, distinct: list[str]) -> list[bytes]:
+        found = list(map(self.memo.get, distinct))
+        new = [x for x, y in zip(distinct, found, strict=True) if y is None]
+        if not new:
+            return found
+        if len(self.memo) + len(new) > self.entries:
+            self.memo.clear()
+        short = [x for x in new if len(x) <= self.longest and x[0] != HEAD]
+        fresh = self._learn([x for x in short if x[0] != "\n"], " ") | self._learn([x for x in short if x[0] == "\n"], "\n")
+        self.memo.update(fresh)
+        odd = [x for x in new if x not in fresh]
+        led = [x[1:] if x[0] == HEAD else x if x[0] == "\n" else " " + x for x in odd]
+        fresh.update(zip(odd, (i.tobytes() for i in self._ids(led)), strict=True))
+        return [fresh[x] if y is None else y for x, y in zip(distinct, found, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts of one call are in memory together."""
-        split = [pieces(x) for x in texts]
-        new = {x for own in split for x in own[1:] if x not in self.memo}
-        if len(self.memo) + len(new) > self.entries:
-            self.memo.clear()
-            new = {x for own in split for x in own[1:]}
-        # words that a piece may hold besides its leading space are no boundary, but a blank run is
-        plain = [x for x in new if len(x) <= self.longest and " " not in x]
-        self.memo.update(self._learn(plain) if plain else {})
-        odd = [x for x in new if x not in self.memo]
-        extra = {x: i.tobytes() for x, i in zip(odd, self._ids([" " + x for x in odd]), strict=True)} if odd else {}
-        heads = [i.tobytes() for i in self._ids([own[0] for own in split])]
-        get = self.memo.__getitem__ if not extra else lambda x: self.memo[x] if x in self.memo else extra[x]
-        return [head + b"".join(map(get, own[1:])) for head, own in zip(heads, split, strict=True)]
-
-    def stream(self, texts: list[str | None], chars: int = 500_000) -> Iterator[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        fit = plain(texts)
+        cut = [i for i, yes in enumerate(fit) if yes]
+        rest = [i for i, yes in enumerate(fit) if not yes and texts[i]]
+        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
+            out[i] = ids.tobytes()
+        if cut:
+            distinct, number, bounds = numbered([HEAD + texts[i].replace("\n", " \n") for i in cut])
+            known = self._lookup(distinct)
+            flat = np.frombuffer(b"".join(known), "<u4")
+            size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            start = np.cumsum(size) - size
+            own = size[number]
+            ends = np.concatenate([[0], np.cumsum(own)])
+            ids = flat[np.repeat(start[number] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+            edges = (ends[bounds] * 4).tolist()
+            for i, a, b in zip(cut, edges, edges[1:], strict=False):
+                out[i] = ids[a:b]
+        return out
+
+    def stream(self, texts: list[str | None], characters: int = 4_000_000) -> Iterator[bytes]:
         """The ids of each text in turn; null counts as empty."""
-        group: list[str] = []
-        held = 0
-        for x in texts:
-            group.append(x or "")
-            held += len(group[-1])
-            if held >= chars:
-                yield from self.encode(group)
-                group, held = [], 0
-        if group:
+        for group in groups(texts, characters):
             yield from self.encode(group)
 
 

@@ -115,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, en
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2048)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
