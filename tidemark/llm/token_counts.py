@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches
-from tidemark.llm.encoding import groups, numbered, tokenizer
+from tidemark.llm.encoding import tokenizer
 
 _GAPS = " \n"
 
@@ -81,23 +81,23 @@ def count_long(library, text: str, chunk: int, overlap: int, together: int = 16)
 class PieceCounter:
     """Token counts of texts that fit a chunk, from a memo of the pieces between white space."""
 
-    def __init__(self, path: str, entries: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, entries: int = 1_000_000, longest: int = 64):
         self.library, self.entries, self.longest = tokenizer(path), entries, longest
         self.memo: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
-        distinct, number, bounds = numbered([x.replace("\n", " ") for x in texts])
-        found = list(map(self.memo.get, distinct))
-        new = [x for x, n in zip(distinct, found, strict=True) if n is None]
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        new = {x for own in split for x in own if x not in self.memo}
         if len(self.memo) + len(new) > self.entries:
             self.memo.clear()
-        known, long = [x for x in new if len(x) <= self.longest], [x for x in new if len(x) > self.longest]
-        fresh = dict(zip(known, self._sizes(known), strict=True))
-        self.memo.update(fresh)
-        fresh.update(zip(long, self._sizes(long), strict=True))
-        size = np.array([fresh[x] if n is None else n for x, n in zip(distinct, found, strict=True)], np.int64)
-        ends = np.concatenate([[0], np.cumsum(size[number])])[bounds]
-        return np.diff(ends).tolist()
+            new = {x for own in split for x in own}
+        known = [x for x in new if len(x) <= self.longest]
+        sizes = dict(zip(known, self._sizes(known), strict=True))
+        self.memo.update(sizes)
+        long = [x for x in new if len(x) > self.longest]
+        extra = dict(zip(long, self._sizes(long), strict=True))
+        get = self.memo.__getitem__ if not extra else lambda x: self.memo[x] if x in self.memo else extra[x]
+        return [sum(map(get, own)) for own in split]
 
     def _sizes(self, texts: list[str]) -> list[int]:
         """Counts for pieces without spaces: encoded in one call, then told apart by the tokens' places."""
@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, chu
     ``chunk`` characters are counted from overlapping chunks. For tokenizers that drop
     white space. An empty table gives no row.
     """
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _COUNTERS:
@@ -128,13 +128,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, chu
         counter = _COUNTERS[tokenizer_path]
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            n = [count_long(counter.library, x, chunk, overlap) if len(x) > chunk else -1 for x in texts]
-            short = [i for i, k in enumerate(n) if k < 0]
-            at = 0
-            for group in groups([texts[i] for i in short], 4_000_000):
-                for k in counter.count(group):
-                    n[short[at]] = k
-                    at += 1
+            n: list[int] = [0] * len(texts)
+            group: list[int] = []
+            held = 0
+            for i, x in enumerate(texts):
+                if len(x) > chunk:
+                    n[i] = count_long(counter.library, x, chunk, overlap)
+                    continue
+                group.append(i)
+                held += len(x)
+                if held >= 500_000:
+                    for k, v in zip(group, counter.count([texts[k] for k in group]), strict=True):
+                        n[k] = v
+                    group, held = [], 0
+            for k, v in zip(group, counter.count([texts[k] for k in group]), strict=True):
+                n[k] = v
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
