@@ -301,6 +301,34 @@ def test_links_in_clusters_of_every_size(spark, hot):
     assert {v: find(v) for v in values} == brute_components({v: v for v in values})
 
 
+def joined(values, edges):
+    root = {v: v for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    return {v: find(v) for v in values}
+
+
+def test_blocks_of_a_hot_cell_keep_links_between_trees():
+    left, right = [0xF000, 0xF00FF, 0x000F], [0x00, 0xFF]
+    edges = simhash._between(np.array(left, np.uint64), np.array(right, np.uint64), 4)
+    assert len(edges) == 4 and set(joined(left + right, edges).values()) == {0}
+    rng = random.Random(8)
+    for _ in range(30):
+        values = list({sum(1 << b for b in rng.sample(range(14), rng.randrange(8))) for _ in range(60)})
+        left, right = values[::2], values[1::2]
+        links = [(u, v) for u in left for v in right if (u ^ v).bit_count() <= 2]
+        edges = simhash._between(np.array(left, np.uint64), np.array(right, np.uint64), 2)
+        assert set(edges) <= set(links) and joined(values, edges) == joined(values, links)
+        assert len(edges) == len(values) - len(set(joined(values, links).values()))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 3)]
     got = {r["v"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

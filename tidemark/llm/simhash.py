@@ -94,15 +94,17 @@ def _forest(fp: np.ndarray, reach: int) -> list[tuple[int, int]]:
 
 
 def _between(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """For each of ``left`` a link to each member of ``right`` that no earlier one of ``left`` has reached, and one to any."""
+    """Spanning forest of the links between ``left`` and ``right``: each of ``left`` gets an edge to every separate tree it touches."""
     cl, cr, edges = _counts(left), _counts(right), []
-    fresh = np.ones(len(right), bool)
+    tree = np.arange(len(right))
     for x, c in zip(left, cl, strict=True):
-        hit = _linked(x, c, right, cr, reach)
-        if hit.any():
-            edges.extend((int(x), int(y)) for y in right[hit & fresh])
-            edges.append((int(x), int(right[np.argmax(hit)])))
-            fresh &= ~hit
+        hit = np.flatnonzero(_linked(x, c, right, cr, reach))
+        touched, first = np.unique(tree[hit], return_index=True)
+        edges.extend((int(x), int(y)) for y in right[hit[first]])
+        if len(touched) > 1:
+            joined = np.zeros(len(right), bool)
+            joined[touched] = True
+            tree[joined[tree]] = touched[0]
     return edges
 
 
