@@ -346,6 +346,17 @@ def test_keep_one_on_odd_tables(spark):
     assert simhash.keep_one(empty_docs(spark)).count() == 0
 
 
+def test_keep_one_chooses_inside_each_group(spark):
+    rng = random.Random(9)
+    texts_ = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    # 0-2: null ids of unrelated groups; 3, 4: unrelated texts of one id; 5: own text and a copy of a smaller id's under one id
+    rows = [(None, texts_[0]), (None, texts_[1]), (None, texts_[1]), (None, texts_[2]), (7, texts_[3]), (7, texts_[4]), (5, texts_[5]), (5, texts_[6]), (3, texts_[6]), (None, texts_[6])]
+    rows += [(9, texts_[3]), (3, texts_[6])]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, texts_[0]), (None, texts_[1]), (None, texts_[2]), (7, texts_[3]), (7, texts_[4]), (5, texts_[5]), (3, texts_[6])]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(want)
+
+
 # --- 6: packing
 
 

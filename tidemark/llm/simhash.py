@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, written
@@ -48,16 +47,19 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long), a row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, *, width: int = 4, seed: int = 42, text_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long), a row for each row of ``docs``; text_hash too if asked for."""
+    extra = ["text_hash"] if text_hash else []
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x, width, seed) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *extra])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    wanted = [F.xxhash64(text).alias(c) for c in extra]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *wanted).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *extra)))
 
 
 def _counts(fp: np.ndarray) -> np.ndarray:
@@ -214,22 +216,29 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, reach: i
 
 
 def roots(rows: DataFrame, *, reach: int = 4, bands: int = 6) -> DataFrame:
-    """fp and component_id of each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    """fp, root (a fingerprint of its component) and component_id of each distinct fingerprint of ``rows`` (doc_id, fp)."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = connected_components(near_fingerprints(distinct.select("fp"), reach=reach, bands=bands))
     member = distinct.join(links.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(member.join(smallest, "root").select("fp", "component_id"), "roots")
+    return written(member.join(smallest, "root").select("fp", "root", "component_id"), "roots")
 
 
 def keep_one(docs: DataFrame, *, reach: int = 4, bands: int = 6) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
+    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id, null last.
 
-    Columns stay as they are. Of rows that repeat that doc_id, the one with the smallest
-    hash of the text stays. Groups of null doc_ids alone keep one row.
+    Columns stay as they are. Of a group's rows with that doc_id the one with the smallest
+    hash of the text stays; of rows equal in both, any one.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    best = rows.join(roots(rows, reach=reach, bands=bands), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(best.withColumnRenamed("doc_id", "__best"), F.col("doc_id").cast("long").eqNullSafe(F.col("__best")), "left_semi")
-    ranked = kept.withColumn("__turn", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return ranked.where("__turn = 1").drop("__turn")
+    rows = written(fingerprints(docs, text_hash=True), "fingerprints")
+    found = rows.join(roots(rows, reach=reach, bands=bands).select("fp", "root"), "fp")
+    return first_of_each(docs, found)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id, then hash of the text, of each group of ``found`` (doc_id, text_hash, root)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    best = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__best"), F.col("first.text_hash").alias("__best_text"))
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    kept = own.join(best, F.col("__id").eqNullSafe(F.col("__best")) & (F.col("__text") == F.col("__best_text")), "left_semi")
+    return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)
