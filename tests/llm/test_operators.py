@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, components, language_id, mixing, packing, quality_rank, quality_rules, queries, simhash, token_counts, token_files, toxicity, vector_search
+from tidemark.llm import common, components, language_id, mixing, near_copies, packing, quality_rank, quality_rules, queries, simhash, token_counts, token_files, toxicity, vector_search
 from tidemark.llm.encoding import ByteEncoder, tokenizer
 from tidemark.llm.queries import vocabulary
 
@@ -357,6 +357,37 @@ def test_keep_one_chooses_inside_each_group(spark):
     assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(want)
 
 
+def test_keep_one_drops_copies_at_similarity_0_8_and_no_others(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows, at = [], 0
+    for group in range(40):
+        words_ = [f"{w}g{group}" for w in base]
+        near, far = list(words_), list(words_)
+        for i in (30, 70, 110, 150):  # 176 of 216 shingles: 0.81
+            near[i] = f"n{i}"
+        for i in range(20, 190, 20):  # 151 of 241 shingles
+            far[i] = f"f{i}"
+        rows += [(at, " ".join(words_), group), (at + 1, " ".join(near), group), (at + 2, " ".join(far), group)]
+        at += 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source int")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [i for i in range(at) if i % 3 != 1]
+
+
+@pytest.mark.parametrize("hot", [4, 4096])
+def test_near_copies_equal_brute_force(spark, hot):
+    rng = random.Random(12)
+    sets = []
+    for size in (1, 2, 12, 30):
+        centre = rng.sample(range(10**6), 60)
+        sets += [np.unique(np.array(centre[rng.randrange(8) :] + rng.sample(range(10**6), rng.randrange(6)), np.uint64)) for _ in range(size)]
+    rows = [(i, bytearray(s.tobytes()), [1]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, shingles binary, cells array<long>")
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    got = {r["v"]: r["root"] for r in near_copies.copy_roots(df, hot=hot).collect()}
+    assert {i: got.get(i, i) for i in range(len(sets))} == joined(range(len(sets)), links)
+
+
 # --- 6: packing
 
 
