@@ -217,6 +217,20 @@ def test_counterfactual_penalty_quiets_group_names():
     assert shift(model) < 0.2 * shift(loose) and model.score(neutral) < 0.5 < model.score("you scoundrel")
 
 
+def test_every_mention_is_regularised():
+    rng = random.Random(6)
+    filler = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+
+    def text(*more):
+        return " ".join([rng.choice(filler) for _ in range(10)] + list(more))
+
+    rows = [(text(k), 0) for k in toxicity.IDENTITY_TERMS if k != "gay"] + [(text("women"), 0) for _ in range(700)]
+    rows += [(text("gay"), 1) for _ in range(300)] + [(text("oaf"), 1) for _ in range(300)]
+    model = toxicity.fit(rows)
+    odds = [math.log(s / (1 - s)) for s in (model.score(f"a {k} sings") for k in ("gay", "men"))]
+    assert abs(odds[0] - odds[1]) < 0.1
+
+
 def test_classifiers_without_labels_and_on_odd_texts(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     odd = odd_docs(spark)

@@ -77,14 +77,14 @@ def choose(rows: list[tuple[str, int]], most: int, rare: int) -> list[str]:
     scored = []
     for k, a in seen1.items():
         b = seen0[k]
-        if a < rare or a / n1 < 3 * (b + 0.5) / n0:
+        if k in named or a < rare or a / n1 < 3 * (b + 0.5) / n0:
             continue
         expected = (a + b) * n1 / (n1 + n0)
         chi = (a - expected) ** 2 / expected
         if chi > 12:
             scored.append((-chi, k))
     chosen = [k for _, k in sorted(scored)[:most]]
-    return chosen + [k for k in IDENTITY_TERMS if (k in seen1 or k in seen0) and k not in set(chosen)]
+    return chosen + [k for k in IDENTITY_TERMS if k in seen1 or k in seen0]
 
 
 def fit(rows: list[tuple[str, int]], *, most: int = 2000, rare: int = 4, penalty: float = 4.0, decay: float = 1e-3, rounds: int = 600, prior: float = 0.1) -> Toxicity | None:
@@ -108,27 +108,29 @@ def fit(rows: list[tuple[str, int]], *, most: int = 2000, rare: int = 4, penalty
         return out
 
     x = matrix(texts)
-    # counterfactuals: each mention of a group in a labelled text, swapped for each other group
+    # counterfactuals: each mention of a group in a labelled text, swapped for each other group that the text doesn't
+    # name; equal changes are counted. A name that no labelled text has is no feature, so its weight is zero.
     names = [k for k in IDENTITY_TERMS if k in place]
-    changes = []
-    for t in texts:
-        own = [k for k in names if k in t]
-        changes.extend(matrix([(t - {k}) | {o}])[0] - matrix([t])[0] for k in own for o in names if o not in t)
-    change = np.array(changes[:20_000], np.float32).reshape(-1, d)
+    first, unseen = d - len(names), len(IDENTITY_TERMS) - len(names)
+    named = x[:, first:].astype(np.float64)
+    swaps = named.T @ (1 - named)
+    away = named.sum(axis=0) * unseen
+    total = swaps.sum() + away.sum()
+    # the penalty's gradient by the names' weights
+    pull = (np.diag(swaps.sum(axis=0) + swaps.sum(axis=1) + away) - swaps - swaps.T) / max(total, 1)
     weight = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())
     w, b = np.zeros(d, np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, rounds + 1):
         e = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
         g = np.append(x.T @ e.astype(np.float32) + decay * w / d, e.sum())
-        if len(change):
-            g[:d] += penalty * change.T @ (change @ w) / len(change)
+        g[first:d] += penalty * (pull @ w[first:])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w -= step[:d].astype(np.float32)
         b -= step[d]
         # words other than names of groups only ever speak for toxicity
-        w[: d - len(names)] = np.maximum(w[: d - len(names)], 0) if names else np.maximum(w, 0)
+        w[:first] = np.maximum(w[:first], 0)
     return Toxicity({k: float(w[i]) for k, i in place.items() if abs(w[i]) > 1e-4}, float(b))
 
 
