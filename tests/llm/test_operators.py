@@ -217,6 +217,26 @@ def test_counterfactual_penalty_quiets_group_names():
     assert shift(model) < 0.2 * shift(loose) and model.score(neutral) < 0.5 < model.score("you scoundrel")
 
 
+def named_rows(term, n=600):
+    rng = random.Random(4)
+    filler = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    rows = []
+    for i in range(n):
+        t = [rng.choice(filler) for _ in range(20)] + ["scoundrel"] * (i % 2)
+        named = rng.random() < (0.6 if i % 2 else 0.1)
+        rows.append((" ".join([*t, term if i % 2 or rng.random() < 0.3 else "women"] if named else t), i % 2))
+    return rows
+
+
+@pytest.mark.parametrize("term", ["muslim", "muslims", "christian", "immigrants", "jüdische", "musulmanes", "réfugiés"])
+def test_swapped_sentences_score_alike(term):
+    model = toxicity.fit(named_rows(term))
+    scores = [model.score(f"a {k} and a neighbour talk") for k in (term, "women", "sikh", "person")]
+    odds = [math.log(s / (1 - s)) for s in scores]
+    assert max(odds) - min(odds) < 0.2 and max(scores) < 0.5 < model.score("you scoundrel")
+    assert not any(k.endswith("-") and term.startswith(k[:-1]) for k in model.weights)
+
+
 def test_every_mention_is_regularised():
     rng = random.Random(6)
     filler = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]

@@ -19,18 +19,43 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import labelled_sample, small_batches
 
-#: Names of groups that are swapped for one another.
-IDENTITY_TERMS = (
+_ENGLISH = (
     "african", "asian", "atheist", "black", "blind", "buddhist", "catholic", "chinese", "christian", "deaf", "disabled", "european",
     "female", "gay", "hindu", "hispanic", "immigrant", "indian", "jewish", "latino", "lesbian", "male", "man", "men", "mexican",
     "migrant", "muslim", "old", "refugee", "sikh", "straight", "transgender", "white", "woman", "women", "young",
 )
+_PLURALS = "africans asians atheists blacks buddhists catholics christians europeans females gays hindus hispanics immigrants indians jew jews latinos latina latinas lesbians males mexicans migrants muslims refugees sikhs whites"
+_GERMAN = (
+    "afrikaner afrikanisch afrikanische asiaten asiatisch asiatische atheisten schwarze schwarzen schwarzer blinde blinden buddhisten katholik katholiken katholisch "
+    "katholische chinese chinesen chinesisch chinesische christen christlich christliche behinderte behinderten europäer europäisch frau frauen mann männer schwul schwule "
+    "schwulen lesbe lesben inder indisch jude juden jüdisch jüdische mexikaner migranten einwanderer flüchtling flüchtlinge muslime muslimen muslimin muslimisch muslimische weiße weißen"
+)
+_FRENCH = (
+    "africain africains africaine africaines asiatique asiatiques athée athées noir noirs noire noires aveugle aveugles bouddhiste bouddhistes catholique catholiques "
+    "chinois chinoise chinoises chrétien chrétiens chrétienne chrétiennes handicapé handicapés européen européens femme femmes homme hommes homosexuel homosexuels "
+    "lesbienne lesbiennes indien indiens juif juifs juive juives mexicain mexicains migrante immigré immigrés réfugié réfugiés musulman musulmans musulmane musulmanes blanc blancs blanche blanches"
+)
+_SPANISH = (
+    "africano africanos africana africanas asiático asiáticos ateo ateos negro negros negra negras ciego ciegos budista budistas católico católicos católica católicas "
+    "chino chinos china chinas cristiano cristianos cristiana cristianas discapacitado discapacitados europeo europeos mujer mujeres hombre hombres lesbiana lesbianas "
+    "hispano hispanos judío judíos judía judías mexicano mexicanos inmigrante inmigrantes migrantes refugiado refugiados musulmán musulmanes musulmana musulmanas blanco blancos blanca blancas"
+)
+#: Names of groups that are swapped for one another, with inflected forms, in the corpus's four languages.
+IDENTITY_TERMS = tuple(dict.fromkeys([*_ENGLISH, *f"{_PLURALS} {_GERMAN} {_FRENCH} {_SPANISH}".split()]))
+_NAMED = frozenset(IDENTITY_TERMS)
+#: Beginnings that are no features, as a name of a group has them.
+_NAMED_STARTS = frozenset(f"{w[:n]}-" for w in IDENTITY_TERMS for n in (4, 5, 6) if len(w) >= n)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def keys(word: str, prefixes: tuple[int, ...] = (4, 5, 6)) -> list[str]:
-    """A word's features: itself, and its first letters (which inflected forms share)."""
-    return [word, *(f"{word[:n]}-" for n in prefixes if len(word) > n)]
+    """A word's features: itself, and its first letters (which inflected forms share) unless a group's name has them, too.
+
+    A name of a group has no feature but itself, so that swapping it in a text swaps all it stands for.
+    """
+    if word in _NAMED:
+        return [word]
+    return [word, *(p for n in prefixes if len(word) > n and (p := f"{word[:n]}-") not in _NAMED_STARTS)]
 
 
 def text_keys(text: str | None) -> set[str]:
@@ -77,7 +102,7 @@ def choose(rows: list[tuple[str, int]], most: int, rare: int) -> list[str]:
     scored = []
     for k, a in seen1.items():
         b = seen0[k]
-        if k in named or a < rare or a / n1 < 3 * (b + 0.5) / n0:
+        if k in _NAMED or a < rare or a / n1 < 3 * (b + 0.5) / n0:
             continue
         expected = (a + b) * n1 / (n1 + n0)
         chi = (a - expected) ** 2 / expected
