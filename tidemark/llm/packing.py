@@ -131,7 +131,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, en
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.stream(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.stream(batch.column(1)), strict=True):
                 rows.extend(packer.add(doc_id, ids + end))
                 if len(rows) >= 2048:
                     yield out()

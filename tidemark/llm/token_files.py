@@ -131,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.stream(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.stream(batch.column(1)), strict=True):
                 held.append((doc_id, ids + end))
                 n_held += len(ids) // 4 + 1
                 if n_held >= segment_ids:
