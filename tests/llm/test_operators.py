@@ -601,6 +601,45 @@ def test_vector_search_on_odd_vectors(spark):
     assert vector_search.top_k(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_rows(rows, k, scale=64):
+    """Rows (id, vector), each a query if its id divides by 20: its k best other rows, in Python's integers."""
+    fine = [(i, [vector_search.whole(x, scale) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = collections.Counter()
+    for at, (i, q) in enumerate(fine):
+        if i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for n, (j, v) in enumerate(fine) if n != at)[:k]
+            out.update((i, r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(scores))
+    return out
+
+
+def found_rows(spark, rows, k, **blocks):
+    df = spark.createDataFrame([(i, v, 1, "n") for i, v in rows], "vec_id long, embedding array<double>, n int, query_key string")
+    return collections.Counter(tuple(r) for r in vector_search.top_k(df, F.col("vec_id") % 20 == 0, k=k, **blocks).collect())
+
+
+def test_vectors_of_any_size_and_repeated_rows(spark):
+    rows = [(0, [4e7, 1.0]), (1, [3e7] * 4), (2, [3.1e7] * 4), (3, [-1e9, 5.0]), (4, [1e300, -1e300]), (5, [1.7e308, 1.0]), (6, [0.5, -0.5]), (7, [0.01])]
+    rows += [(20, [3e7] * 4), (20, [-3e7] * 4), (40, [1.0, 2.0]), (40, [1.0, 2.0]), (40, [2.0, 1.0]), (60, [-1e305, 1e305]), (80, [0.0]), (80, [-0.0]), (9, [1.0]), (9, [1.0]), (9, [1.0])]
+    for k in (3, 30):
+        assert found_rows(spark, rows, k, block=5, query_block=3) == brute_rows(rows, k)
+
+
+@pytest.mark.parametrize("size", [3, 2**12, 2**18, 2**29])
+def test_sparse_and_long_vectors(spark, size):
+    rng = random.Random(size)
+
+    def vector(filled):
+        v = [0.0] * 90
+        for t in rng.sample(range(90), filled):
+            v[t] = float(rng.randrange(-size, size))
+        return v
+
+    rows = [(i, vector(rng.choice([1, 4, 8]) if i % 5 else 90)) for i in range(160)]
+    assert found_rows(spark, rows, 6, block=50, query_block=4) == brute_rows(rows, 6)
+    terms = vector_search.Postings([np.array(v) for i, v in rows if i % 5], 64).terms
+    assert all(places is not None for places, _ in terms)
+
+
 # --- 10: language
 
 

@@ -1,96 +1,171 @@
 """Operator 9: exact top-k by inner product, term at a time.
 
-Vectors are sparse rows of small integers. Queries and candidates are dealt into blocks;
-each pair of blocks is a task. A task builds postings (term: places and weights) of its
+Vectors are sparse rows of integers. Queries and candidates are dealt into blocks; each
+pair of blocks is a task. A task builds postings (term: places and weights) of its
 candidates, scatters each query's weighted postings into an array of scores, selects the
-best of it by partition and returns them; the blocks' best are merged by a window.
+best of it by partition and returns them; the blocks' best are merged by a window. Sums
+that might not fit 64 bits are made of Python's integers.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RESULT = "query_id long, vec_id long, score long"
+from tidemark.llm.common import written
 
+RESULT = "query_id long, query_key binary, query_rows long, vec_id long, score long, beyond binary"
+#: The ends of 64-bit scores, and a bound below which sums of 64-bit products are safe.
+LOWEST, HIGHEST, SAFE = -(2**63), 2**63 - 1, 2.0**61
 
-def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and q, the array floor(scale * x).
 
-    Null vectors, and vectors with a null or non-finite component or one that isn't below
-    2^31 after scaling, take no part.
-    """
-    q = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double") * scale) < 2.0**31, F.lit(False)) & ~F.isnan(x.cast("double")))
-    return vectors.where(F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
-
-
-def _postings(rows: list) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """For each term the places and weights of the candidates that have it; places None: all have it."""
-    out = []
-    width = max((len(x) for x in rows), default=0)
-    lengths = np.array([len(x) for x in rows])
-    flat = np.concatenate(rows) if width else np.zeros(0, np.int64)
-    dense = np.zeros((len(rows), width), np.int64)
-    dense[np.arange(width) < lengths[:, None]] = flat
-    small = np.abs(dense).max(initial=0) < 2**12
-    dense = dense.astype(np.int32) if small else dense
-    for t in range(width):
-        own = np.flatnonzero(dense[:, t])
-        # a list that most candidates are on is kept as the whole column
-        out.append((None, np.ascontiguousarray(dense[:, t])) if 2 * len(own) > len(rows) else (own, dense[own, t]))
-    return out
-
-
-def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of each query: highest score, then smallest vec_id; never the query's own id."""
-    candidates = candidates.sort_values("vec_id", kind="stable")
-    ids, n = candidates["vec_id"].to_numpy(), len(candidates)
-    postings = _postings(list(candidates["q"]))
-    found = []
-    for query_id, q in zip(queries["vec_id"], queries["q"], strict=True):
-        wide = any(w.dtype == np.int64 for _, w in postings) or np.abs(q).max(initial=0) >= 2**12 or len(q) > 64
-        scores = np.zeros(n, np.int64 if wide else np.int32)
-        buffer = np.empty_like(scores)
-        for t in np.flatnonzero(q[: len(postings)]):
-            places, weights = postings[t]
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding (array<double>) and n, the number of equal rows; null ids and vectors with a null or non-finite component left out."""
+    own = F.transform("embedding", lambda x: x.cast("double"))
+    fine = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id"), own.alias("embedding")).agg(F.count("*").alias("n"))
+
+
+def whole(x: float, scale: int) -> int:
+    """floor(scale * x) as an integer of any size."""
+    y = x * scale
+    return math.floor(y) if math.isfinite(y) else int(x) * scale
+
+
+def ordered_bytes(v: int) -> bytes:
+    """Bytes that sort as integers do: the size, then the digits; both inverted below zero."""
+    size = (abs(v).bit_length() + 7) // 8
+    if v < 0:
+        return b"\0" + (2**32 - 1 - size).to_bytes(4, "big") + (256**size - 1 + v).to_bytes(size, "big")
+    return b"\1" + size.to_bytes(4, "big") + v.to_bytes(size, "big")
+
+
+class Postings:
+    """For each term the places and weights of the candidates that have it; places None: kept as a whole column, as most have it."""
+
+    def __init__(self, vectors: list[np.ndarray], scale: int):
+        n, width = len(vectors), max((len(x) for x in vectors), default=0)
+        self.vectors, self.scale, self.width, self.n = vectors, scale, width, n
+        dense = np.zeros((n, width))
+        if width:
+            dense[np.arange(width) < np.array([len(x) for x in vectors])[:, None]] = np.concatenate(vectors)
+        with np.errstate(over="ignore"):
+            dense = np.floor(dense * scale)
+        self.largest = np.abs(dense).max(axis=1, initial=0)
+        dense[self.largest >= SAFE] = 0
+        self.small = self.largest.max(initial=0) < 2**15
+        dense = dense.astype(np.int32 if self.small else np.int64)
+        self.terms: list[tuple[np.ndarray | None, np.ndarray]] = []
+        for t in range(width):
+            own = np.flatnonzero(dense[:, t])
+            self.terms.append((None, np.ascontiguousarray(dense[:, t])) if 2 * len(own) > n else (own, dense[own, t]))
+
+    def scores(self, query: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+        """The inner products, and the exact ones of the places where 64 bits may not hold the sum."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            q = np.floor(query[: self.width] * self.scale)
+            most = np.nan_to_num(np.abs(q).max(initial=0) * self.largest * max(1, len(q)), nan=np.inf)
+        sure = most < SAFE
+        if np.abs(q).max(initial=0) >= SAFE:
+            q = np.zeros(0)
+        narrow = self.small and most.max(initial=0) < 2**30
+        out = np.zeros(self.n, np.int32 if narrow else np.int64)
+        buffer = np.empty_like(out)
+        for t in np.flatnonzero(q).tolist():
+            places, weights = self.terms[t]
             if places is None:
-                np.multiply(weights, scores.dtype.type(q[t]), out=buffer)
-                scores += buffer
+                np.multiply(weights, out.dtype.type(q[t]), out=buffer)
+                out += buffer
             else:
-                scores[places] += weights * scores.dtype.type(q[t])
-        others = np.flatnonzero(ids != query_id)
-        # score first, then the place, which follows vec_id; both in one integer where it fits
-        if wide:
-            best = others[np.lexsort((others, -scores[others].astype(object)))[:k]] if len(others) else others
+                out[places] += weights * out.dtype.type(q[t])
+        exact = {}
+        if not sure.all():
+            own = [whole(x, self.scale) for x in query.tolist()]
+            for i in np.flatnonzero(~sure).tolist():
+                exact[i] = sum(a * whole(b, self.scale) for a, b in zip(own, self.vectors[i].tolist(), strict=False))
+                out[i] = min(max(exact[i], LOWEST), HIGHEST)
+        return out, exact
+
+
+def best_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` highest scores, ties to the lower place, by partition."""
+    n = len(scores)
+    if n <= k:
+        return np.arange(n)
+    least = np.partition(scores, n - k)[n - k]
+    above = np.flatnonzero(scores > least)
+    return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
+
+
+def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:
+    """The k best candidates of each query: highest score, then smallest vec_id; of the query's own rows all but one."""
+    candidates = candidates.sort_values("vec_id", kind="stable")
+    ids, copies = candidates["vec_id"].to_numpy(), candidates["n"].to_numpy()
+    vectors = [np.asarray(x, np.float64) for x in candidates["embedding"]]
+    postings = Postings(vectors, scale)
+    found: dict[str, list] = {c: [] for c in ("query_id", "query_key", "query_rows", "vec_id", "score", "beyond")}
+    for query_id, q, n in zip(queries["vec_id"], queries["embedding"], queries["n"], strict=True):
+        q = np.asarray(q, np.float64)
+        # -0.0 and 0.0 are one vector in Spark's grouping
+        key = hashlib.blake2b((q + 0.0).tobytes(), digest_size=16).digest()
+        scores, exact = postings.scores(q)
+        rows = copies
+        for i in range(*np.searchsorted(ids, [query_id, query_id + 1])) if query_id < HIGHEST else np.flatnonzero(ids == query_id):
+            if np.array_equal(vectors[i], q):
+                rows = copies.copy()
+                rows[i] -= 1
+        others = np.flatnonzero(rows > 0)
+        if exact:
+            sure = others[~np.isin(others, list(exact))]
+            top = [*sure[best_places(scores[sure], k)].tolist(), *(i for i in exact if rows[i] > 0)]
+            top = sorted(top, key=lambda i: (-exact.get(i, int(scores[i])), i))[:k]
         else:
-            key = scores[others].astype(np.int64) * (n + 1) - others
-            best = others[np.argpartition(-key, min(k, len(key)) - 1)[:k]] if len(others) else others
-        found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": scores[best].astype(np.int64)}))
-    return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
+            top = others[best_places(scores[others], k)]
+        top = np.asarray(top, np.int64)
+        own = np.minimum(rows[top], k)
+        size = int(own.sum())
+        beyond = [ordered_bytes(exact[i]) if i in exact and not LOWEST < exact[i] < HIGHEST else None for i in top.tolist()]
+        found["query_id"].append(np.full(size, query_id, np.int64))
+        found["query_key"].extend([key] * size)
+        found["query_rows"].append(np.full(size, n, np.int64))
+        found["vec_id"].append(np.repeat(ids[top], own))
+        found["score"].append(np.repeat(scores[top].astype(np.int64), own))
+        found["beyond"].extend(b for b, c in zip(beyond, own.tolist(), strict=True) for _ in range(c))
+    for c in ("query_id", "query_rows", "vec_id", "score"):
+        found[c] = np.concatenate(found[c]) if found[c] else np.zeros(0, np.int64)
+    return pd.DataFrame(found)
 
 
 def top_k(vectors: DataFrame, is_query, *, k: int = 20, scale: int = 64, query_block: int = 1024, block: int = 4096) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` best other rows of each row that fits ``is_query``.
 
     ``vectors`` needs vec_id and embedding (an array of numbers); other columns are left
-    out. Score: inner product of the quantised vectors, missing components counting as
-    zero. Ties go to the smaller vec_id. Null vec_ids take no part; rows that repeat a
-    vec_id each are candidates, and a query's rows are answered together, once. Fewer
-    than ``k`` others give fewer rows. Blocks are dealt by hash of id and vector; their
-    number follows the counts of rows, so a task's memory doesn't grow with the input.
+    out. Score: inner product of the vectors floor(``scale`` * x), missing components
+    counting as zero; it is exact and ranks exactly at any size, but one that 64 bits
+    can't hold is shown as the nearest 64-bit integer. Ties go to the smaller vec_id. Null
+    vec_ids and vectors that are null or hold a null or non-finite component take no part.
+    Each row is a query and a candidate of its own, also where rows repeat a vec_id or are
+    equal; only a query's own row isn't its candidate, so a vec_id with two query rows has
+    two lists. Fewer than ``k`` others give fewer rows; an empty table gives none. Blocks
+    are dealt by hash of id and vector, equal rows as one with their number; the number of
+    blocks follows the counts of rows, so a task's memory doesn't grow with the input.
     """
-    rows = quantised(vectors, scale).where(F.col("vec_id").isNotNull())
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
+    rows = written(distinct_vectors(vectors), "vectors")
+    queries = rows.where(is_query)
     n, m = rows.count(), queries.count()
     c, d = max(1, -(-n // block)), max(1, -(-m // query_block))
-    deal = F.xxhash64("vec_id", "q")
-    left = queries.select("vec_id", "q", F.pmod(deal, F.lit(d)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("cb"))
-    right = rows.select("vec_id", "q", F.pmod(deal, F.lit(c)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("qb"))
+    deal = F.xxhash64("vec_id", "embedding")
+    left = queries.select("vec_id", "embedding", "n", F.pmod(deal, F.lit(d)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("cb"))
+    right = rows.select("vec_id", "embedding", "n", F.pmod(deal, F.lit(c)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("qb"))
     pairs = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
-    best = pairs.applyInPandas(lambda q, x: search_block(q, x, k), RESULT)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = pairs.applyInPandas(lambda q, x: search_block(q, x, k, scale), RESULT)
+    rank = F.row_number().over(W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("query_rows").cast("int")))).select("query_id", "rank", "vec_id", "score")
