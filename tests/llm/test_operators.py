@@ -251,6 +251,94 @@ def test_every_mention_is_regularised():
     assert abs(odds[0] - odds[1]) < 0.1
 
 
+def test_toxicity_features_by_brute_force():
+    rows = [(t, y) for t, y in named_rows("muslim", 200)]
+    texts_ = [(set(re.findall(r"[a-z]+", t)), y) for t, y in rows]
+    want = []
+    beginnings = {w[:n] + "-" for t, _ in texts_ for w in t for n in (4, 5, 6) if len(w) > n} - {w[:n] + "-" for w in toxicity.IDENTITY_TERMS for n in (4, 5, 6)}
+    for k in beginnings | {w for t, _ in texts_ for w in t}:
+        a, b = (sum(y == c and any(w == k or k[-1] == "-" and w.startswith(k[:-1]) for w in t) for t, y in texts_) for c in (1, 0))
+        expected = (a + b) / 2
+        if a >= 4 and a >= 3 * (b + 0.5) and (a - expected) ** 2 / expected > 12 and k not in toxicity.NAMES.known:
+            want.append(k)
+    chosen = toxicity.choose(rows, 2000, 4)
+    named = len(toxicity.IDENTITY_TERMS)
+    assert set(chosen[:-named]) == set(want) and tuple(chosen[-named:]) == toxicity.IDENTITY_TERMS
+    assert {"scoundrel", "scou-"} <= set(want)
+
+
+def test_toxicity_gradient_and_clamp():
+    rng = np.random.default_rng(2)
+    texts_ = [sorted(rng.choice(12, 4, replace=False).tolist()) for _ in range(40)]
+    frames = [[k for k in x if k < 9] for x in texts_]
+    problem = toxicity.Problem(texts_, rng.integers(0, 2, 40).astype(float), frames, 12, 3, penalty=4.0, decay=0.1, prior=0.3)
+    rows, pairs = toxicity.Rows(frames, 12), np.column_stack([rng.integers(0, 2, 40), rng.integers(2, 4, 40)])
+    w, b, step = rng.normal(0, 1, 12), 0.3, 1e-6
+    g = problem.gradient(w, b, rows, pairs)
+    for i in range(13):
+        up, down = (problem.value(w + s * np.eye(13)[i][:12], b + s * np.eye(13)[i][12], rows, pairs) for s in (step, -step))
+        assert math.isclose((up - down) / (2 * step), g[i], rel_tol=1e-4, abs_tol=1e-7)
+    # the mentions' part of the value, from all swaps one by one
+    swaps = [(w[k] - w[o]) ** 2 for x in texts_ for k in x if k >= 9 for o in range(9, 12) if o not in x]
+    swaps += [w[k] ** 2 for x in texts_ for k in x if k >= 9 for _ in range(2)]
+    assert problem.mentions == len(swaps) and math.isclose(w[9:] @ problem.pull @ w[9:], sum(swaps) / len(swaps))
+    rows_ = [("muslim fool", 1)] * 9 + [("kind muslim words", 0)] * 30 + [("kind words", 0)] * 9 + [("fool", 1)] * 9
+    vocabulary = ["fool", "kind", "muslim", "sikh"]
+    found = [toxicity.numbers(t, {k: i for i, k in enumerate(vocabulary)}, toxicity.Names(["muslim", "sikh"])) for t, _ in rows_]
+    model = toxicity.fit_rows(vocabulary, [x for x, _ in found], [f for _, f in found], np.array([y for _, y in rows_], float), toxicity.Names(["muslim", "sikh"]), penalty=0.0)
+    assert model.weights["fool"] > 0 and "kind" not in model.weights and model.weights["muslim"] < 0
+
+
+def test_swaps_in_sentences_lower_the_change_of_the_score():
+    rows = named_rows("muslim")
+    model, loose = toxicity.fit(rows), toxicity.fit(rows, penalty=0.0)
+    assert model.pairs > 300_000
+    sentences = ["a neighbour talks", "you scoundrel", "scoundrel and his friends sing"]
+    terms = toxicity.Names(["muslim", "women", "sikh"])
+    assert toxicity.mean_change(model, sentences, terms) < 0.1 * toxicity.mean_change(loose, sentences, terms)
+    plain = [(t.replace("muslim", "x").replace("women", "x"), y) for t, y in rows]
+    assert toxicity.fit(plain).pairs >= 300_000  # also where no text names a group
+
+
+def test_toxicity_learned_by_spark_equals_the_local_fit(spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate(named_rows("muslim", 300))]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(df, labels)
+    learned = sorted((i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 != 0)
+    local = toxicity.fit([(t, y) for _, t, y in learned])
+    assert model.weights.keys() == local.weights.keys() and all(math.isclose(v, local.weights[k], rel_tol=1e-6) for k, v in model.weights.items())
+    texts_ = ["you scoundrel", "a muslim sings", "", None]
+    got = [r["__score"] for r in toxicity.score_toxicity(spark.createDataFrame([(t,) for t in texts_], "text string").coalesce(1), model).collect()]
+    for t, s in zip(texts_, got, strict=True):
+        z = model.intercept + sum(model.weights.get(k, 0) for w in set((t or "").split()) for k in model.names.keys(w))
+        assert math.isclose(s, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_keep_clean_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("you scoundrel", 0.25, 7, "x"), ("fine", 0.5, 8, "y"), (None, 0.5, 8, "y")], "text string, __score double, __predicted int, __doc string")
+    model = toxicity.Toxicity({"scoundrel": 9.0}, -3.0)
+    assert sorted(map(str, toxicity.keep_clean(df, model).collect())) == sorted(map(str, df.where("text is null or text = 'fine'").collect()))
+
+
+def test_ranking_gradient_and_threshold():
+    rng = np.random.default_rng(1)
+    d, w, step = rng.normal(0, 1, (50, 4)), rng.normal(0, 1, 4), 1e-6
+    g = quality_rank.gradient(w, d, 0.1)
+    for i in range(4):
+        up, down = (quality_rank.loss(w + s * np.eye(4)[i], d, 0.1) for s in (step, -step))
+        assert math.isclose((up - down) / (2 * step), g[i], rel_tol=1e-5, abs_tol=1e-8)
+    assert math.isclose(quality_rank.loss(w, d, 0.1), sum(math.log(1 + math.exp(-x)) for x in (d @ w).tolist()) / 50 + 0.05 * float(w @ w))
+    x, y = rng.normal(0, 1, (400, 3)), rng.integers(0, 2, 400)
+    x[:, 0] += 1.5 * y
+    model = quality_rank.fit(x, y)
+    raw = model.raw(x)
+    tried = [((raw[y == 1] >= c).mean() + (raw[y == 0] < c).mean()) / 2 for c in np.quantile(raw, np.linspace(0.005, 0.995, 199))]
+    assert math.isclose(((raw[y == 1] >= model.cut).mean() + (raw[y == 0] < model.cut).mean()) / 2, max(tried), abs_tol=1e-9)
+    assert np.array_equal(model.score(x, 0.3) >= 0.3, raw >= model.cut)
+    assert math.isclose(quality_rank.fit(x, y, quantile=0.25).cut, np.quantile(quality_rank.fit(x, y, quantile=0.25).raw(x), 0.25))
+
+
 def test_classifiers_without_labels_and_on_odd_texts(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     odd = odd_docs(spark)

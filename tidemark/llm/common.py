@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.workdir import work_folder
@@ -18,10 +18,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts may be long, so Arrow batches hold fewer rows than Spark's default of 10,000."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 64 << 20) -> None:
+    """Texts may be long, so Arrow batches hold fewer rows than Spark's default of 10,000, and end at ``size`` bytes.
+
+    A setting of the session, as Spark reads it when the query runs; a bound in bytes that the session has stays.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` and the struct __doc of all of ``docs``, so that no name of its columns clashes with one made here."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
 
 
 def word_count(text: str):
@@ -34,21 +44,22 @@ def crc_fold(key, folds: int):
     return F.crc32(key.cast("string").cast("binary")) % F.lit(folds)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) rows to fit a classifier on: at most ``per_class`` rows of label 0 and of label 1.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_class: int, max_chars: int) -> DataFrame:
+    """Rows (doc_id, text, label) to fit a classifier on: at most ``per_class`` rows of label 0 and of label 1.
 
     Only labels whose fold isn't ``held_out`` are read. The rows of a class with the
     smallest hash of doc_id are taken; of these, texts above ``max_chars`` characters
     are left out of the fit (never of the scoring). Null labels, ids and texts take no
-    part; with two labels for an id the larger one holds.
+    part; with two labels for an id the larger one holds, with two texts the larger text.
+    The rows are written to the shared folder; an empty table gives none.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_out))
-    own = own.groupBy("doc_id").agg(F.max(label).alias("__label"))
+    own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = None
     for value in (0, 1):
-        part = own.where(F.col("__label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = own.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
     # picked has at most 2 * per_class rows of two integers: a bounded broadcast
-    texts = docs.select("doc_id", F.col("text").alias("__text")).where(F.col("__text").isNotNull() & (F.length("__text") <= max_chars))
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("__text").alias("__text"), F.max("__label").alias("__label"))
-    return [(r["__text"], r["__label"]) for r in rows.orderBy("doc_id").collect()]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    return written(rows, "labelled-rows")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_fold, labelled_sample, small_batches
+from tidemark.llm.common import crc_fold, labelled_rows, small_batches
 
 FEATURES = (
     "log_words", "short", "mean_word", "symbols", "marks", "capitals", "digits", "repeated_words", "repeated_lines",
@@ -73,6 +73,15 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def loss(w: np.ndarray, d: np.ndarray, decay: float) -> float:
+    """The mean logistic loss of pairs' feature differences ``d`` (better minus worse), with half of ``decay`` times the squared weights."""
+    return float(np.logaddexp(0, -(d @ w)).mean() + decay * (w @ w) / 2)
+
+
+def gradient(w: np.ndarray, d: np.ndarray, decay: float) -> np.ndarray:
+    return -(d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(axis=0) + decay * w
+
+
 def fit(x: np.ndarray, y: np.ndarray, *, quantile: float | None = None, rounds: int = 400, pairs: int = 4096, decay: float = 1e-3, seed: int = 42) -> Ranking | None:
     """Gradient descent on pairs drawn anew each round; None if a class is missing.
 
@@ -88,7 +97,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, quantile: float | None = None, rounds:
     w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for t in range(1, rounds + 1):
         d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-        g = -(d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(axis=0) + decay * w
+        g = gradient(w, d, decay)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     s = z @ w
@@ -103,9 +112,17 @@ def fit(x: np.ndarray, y: np.ndarray, *, quantile: float | None = None, rounds:
 
 
 def train_ranking(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 5, held_out: int = 0, per_class: int = 3000, max_chars: int = 50_000) -> Ranking | None:
-    """Learns from at most ``per_class`` labelled texts of each class outside the held-out fold."""
-    rows = labelled_sample(docs, labels, label, folds=folds, held_out=held_out, per_class=per_class, max_chars=max_chars)
-    return fit(np.array([features(t) for t, _ in rows]), np.array([y for _, y in rows])) if rows else None
+    """Learns from at most ``per_class`` labelled texts of each class outside the held-out fold; their features alone reach the driver."""
+    rows = labelled_rows(docs, labels, label, folds=folds, held_out=held_out, per_class=per_class, max_chars=max_chars)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+
+    found = rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>").orderBy("doc_id").collect()
+    return fit(np.array([r["x"] for r in found]), np.array([r["label"] for r in found])) if found else None
 
 
 def score_quality(docs: DataFrame, model: Ranking | None, *, least: float = 0.3) -> DataFrame:
