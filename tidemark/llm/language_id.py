@@ -9,19 +9,20 @@ first to its last byte and the windows' log-odds are averaged.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_fold, small_batches, written
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter, for Spark's and Arrow's regular expressions alike: number signs aren't letters.
+LETTER = r"\p{L}"
 WIDTHS = (2, 3, 4)
 #: Bytes after the last one of a window, so that every filter has a full span.
 TAIL = max(WIDTHS) - 1
@@ -140,7 +141,7 @@ def train_language_id(docs: DataFrame, *, folds: int = 4, held_out: int = 2, per
     share = F.lit(2.0 * per_language + 50) / F.col("__n")
     low = F.pmod("__h", F.lit(1 << 40)) < share * (1 << 40)
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - length)).cast("int") + 1
-    rows = rows.join(counts, "lang").where(low & F.col("text").rlike(r"\p{L}")).select("lang", "__h", F.substr("text", place, F.lit(length)).alias("part"))
+    rows = rows.join(counts, "lang").where(low & F.col("text").rlike(LETTER)).select("lang", "__h", F.substr("text", place, F.lit(length)).alias("part"))
     rows = rows.withColumn("__turn", F.row_number().over(W.partitionBy("lang").orderBy("__h", "part"))).where(F.col("__turn") <= per_language)
     samples = [(r["lang"], r["part"].encode()[:length]) for r in rows.orderBy("lang", "__turn").collect()]
     return train(samples, length=length, **options)
@@ -170,17 +171,18 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang_pred, score (the language's probability).
 
     ``docs`` needs doc_id and text; other columns are left out and never are inputs.
-    ``und`` with score 0 for null texts and texts without a letter, and for all texts
-    without a model (nothing to learn from). An empty table gives no row.
+    ``und`` with score 0 for null texts and texts without a letter (number signs and marks
+    are none), and for all texts without a model (nothing to learn from). Repeated rows
+    and null ids give a row each. An empty table gives no row.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, lettered = batch.column(1).to_pylist(), pc.match_substring_regex(batch.column(1), LETTER).to_pylist()
             found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-            known = [i for i, x in enumerate(texts) if model and x and _LETTER.search(x)]
+            known = [i for i, yes in enumerate(lettered) if model and yes]
             group: list[int] = []
             held = 0
             for k, i in enumerate(known):
