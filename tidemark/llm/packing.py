@@ -26,11 +26,13 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 class SumOfSquares:
     """Fills windows of ``size`` tokens with pieces (doc_id, start, doc_tokens, ids as bytes).
 
-    ``counts[h]`` is the number of open windows filled to h. More than ``most_open``
-    open windows are closed together, their pieces cut to fit; so is what is open at the end.
+    ``counts[h]`` is the number of open windows filled to h. What is open at the end is
+    closed together, its pieces cut to fit; so is what is open above ``most_open`` windows,
+    should that be given. Without it open windows hold at most the ids of one partition,
+    which Spark's size of an input split bounds.
     """
 
-    def __init__(self, size: int, first_sequence: int, most_open: int = 8192):
+    def __init__(self, size: int, first_sequence: int, most_open: int | None = None):
         self.size, self.next_sequence, self.most_open = size, first_sequence, most_open
         self.counts = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = defaultdict(list)
@@ -68,7 +70,7 @@ class SumOfSquares:
         self.open[level + rest].append(window)
         self.counts[level + rest] += 1
         self.n_open += 1
-        if self.n_open > self.most_open:
+        if self.most_open is not None and self.n_open > self.most_open:
             yield from self.finish()
 
     def _close(self, window: list[tuple]) -> Iterator[tuple]:
