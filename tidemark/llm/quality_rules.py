@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, written
+from tidemark.llm.common import WORD, packed, written
 
 #: The characters that count as symbols, and white space.
 SYMBOLS = "#*$%&|<>"
@@ -176,8 +176,13 @@ def judge_quality(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, least: fl
 
 
 def keep_quality(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that the base rule or the posterior rejects; columns stay as they are."""
-    rows = once(text_counts(docs), "__votes", votes(rules))
-    patterns = written(rows.groupBy(F.col("__votes").alias("votes")).agg(F.count("*").alias("n")), "quality-patterns")
-    model = fit(patterns, len(rules))
-    return rows.where(~base_failed() & (posterior(model) >= least)).select(*docs.columns)
+    """``docs`` without the rows that the base rule or the posterior rejects; columns stay as they are, whatever their names.
+
+    Null and empty texts fail the base rule; repeated rows and null ids are judged row by
+    row; an empty table gives none. The rows are written to the shared folder once with
+    their counts and votes, then read for the patterns and for the result.
+    """
+    counted = text_counts(packed(docs, F.col("text"))).withColumn("__votes", votes(rules)).withColumn("__base", base_failed())
+    rows = written(counted.select("__doc", "__votes", "__base"), "quality-counts")
+    model = fit(rows.groupBy(F.col("__votes").alias("votes")).agg(F.count("*").alias("n")), len(rules))
+    return rows.where(~F.col("__base") & (posterior(model) >= least)).select("__doc.*")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, written
+from tidemark.llm.common import packed, small_batches, written
 from tidemark.llm.components import connected_components
 from tidemark.llm.near_copies import copy_roots, shingle_sets
 
@@ -244,6 +244,6 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id, then hash of the text, of each group of ``found`` (doc_id, text_hash, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     best = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__best"), F.col("first.text_hash").alias("__best_text"))
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    own = packed(docs, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__text"))
     kept = own.join(best, F.col("__id").eqNullSafe(F.col("__best")) & (F.col("__text") == F.col("__best_text")), "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    return kept.dropDuplicates(["__id", "__text"]).select("__doc.*")
