@@ -115,6 +115,47 @@ def test_splitting_tree_is_exact(spark):
     assert all(abs(k - 700 / 16) < 20 for _, _, k in by_rank[1])
 
 
+def test_splits_follow_the_hypergeometric_law(spark):
+    n = 20000
+    for quotas, mean in ([(1, 5), (2, 7), (3, 1)], 5), ([(1, 400), (2, 3000)], 400), ([(1, 2000), (2, 1)], 2000):
+        total = sum(k for _, k in quotas)
+        nodes = spark.range(n).selectExpr("id as first", "2L as shards", "array(" + ", ".join(f"struct({r} as rank, {k}L as n)" for r, k in quotas) + ") as quotas")
+        got = mixing._split(nodes, 3).where("shards = 1").selectExpr("first", "aggregate(filter(quotas, q -> q.rank = 1), 0L, (s, q) -> s + q.n) as g", "aggregate(quotas, 0L, (s, q) -> s + q.n) as room").collect()
+        rooms = {r["room"] for r in got}
+        assert rooms <= {total // 2, -(-total // 2)}
+        counts = collections.Counter((r["g"], r["room"]) for r in got)
+        by_room = collections.Counter(r["room"] for r in got)
+        chi = cells = 0
+        for room in rooms:
+            for g in range(mean + 1):
+                p = math.comb(mean, g) * math.comb(total - mean, room - g) / math.comb(total, room) if 0 <= room - g <= total - mean else 0
+                want = by_room[room] * p
+                assert want or not counts[g, room]
+                if want > 20:
+                    chi, cells = chi + (counts[g, room] - want) ** 2 / want, cells + 1
+        assert chi < cells + 5 * math.sqrt(2 * cells) + 5
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_running_sums_by_ranges(spark, ranges):
+    rng = random.Random(1)
+    rows = [(rng.randrange(3), rng.choice([rng.randrange(2**60), 5, 2**60 - 1]), i, rng.randrange(9)) for i in range(300)]
+    got = mixing.running(spark.createDataFrame(rows, "rank int, o long, tie long, n long"), F.col("o"), F.lit(ranges), F.col("n"), "tie").collect()
+    for r in got:
+        assert r["before"] == sum(n for k, o, t, n in rows if k == r["rank"] and (o, t) < (r["o"], r["tie"]))
+    assert len(got) == len(rows)
+
+
+def test_mix_cuts_through_a_hot_id(spark):
+    rows = [(None if i % 3 else 7, f"{'word ' * 20}{i}", "a") for i in range(900)] + [(i, "b c d", "b") for i in range(900)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["__size"] * len(r["__shards"])
+        target[r["source"]] = r["__target"]
+    assert all(abs(taken[s] - target[s]) <= 21 for s in target)
+
+
 def test_mix_takes_no_python(spark, docs):
     mix, _ = mixing.mix_sources(docs)
     assert not re.search("Python|Pandas|Arrow", mix._jdf.queryExecution().executedPlan().toString())
@@ -754,6 +795,37 @@ def test_language_tables_equal_the_network():
     assert [x for x, _ in language_id.predict(model, ["the cat the cat", "zwx qkj zwx"], model.tables())] == ["a", "b"]
 
 
+def test_number_signs_are_no_letters(spark):
+    model = language_id.train([("a", b"the cat " * 40), ("b", b"zwx qkj " * 40)], length=64, rounds=20)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ²", "Ⅷ", "12 — 3", "é", "漢", "ª"])], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language_id.predict_language(df, model).orderBy("doc_id").collect()] == [True] * 3 + [False] * 3
+
+
+def clashing(df):
+    """The table with more columns, named as the operators name theirs."""
+    names = "__size __key __t __a __counts __votes __base __id __text __doc __score __shards __order __rank rank block root fp cell n key size".split()
+    return df.select("*", *[F.lit(f"own {n}").alias(n) for n in names if n not in df.columns])
+
+
+def test_columns_of_clashing_names_pass_unchanged(spark, docs):
+    df = clashing(docs.limit(60))
+    rows = {r["doc_id"]: r for r in df.collect()}
+    for f in (quality_rules.keep_quality, simhash.keep_one, mixing.mixed_documents, lambda d: toxicity.keep_clean(d, None)):
+        got = f(df)
+        found = got.collect()
+        assert got.columns == df.columns and found and all(r == rows[r["doc_id"]] for r in found)
+    assert mixing.mix_sources(df)[0].count() == len(rows) == quality_rules.judge_quality(df).count() == simhash.near_duplicates(df).count()
+    assert packing.pack_documents(df, BYTES).count() >= len(rows) and token_counts.count_tokens(df, WORDS).count() == len(rows)
+
+
+def test_packing_keeps_any_number_of_windows_open():
+    p = packing.SumOfSquares(64, 0)
+    rows = [r for i in range(9000) for r in p.add(i, np.zeros(40, "<u4").tobytes())]
+    assert not rows and p.n_open == 9000  # two of 40 never fit a window
+    rows = list(p.finish())
+    assert sum(r[2] for r in rows) == 9000 * 40 and {n & (n - 1) for n in collections.Counter(r[4] for r in rows for _ in range(r[2])).values()} == {0}
+
+
 def test_language_without_letters_or_model(spark):
     model = language_id.train([("a", b"the cat " * 40), ("b", b"zwx qkj " * 40)], length=64, rounds=20)
     got = [(r["lang_pred"], r["score"]) for r in language_id.predict_language(odd_docs(spark), model).collect()]
