@@ -480,18 +480,52 @@ def joined(values, edges):
 
 def test_blocks_of_a_hot_cell_keep_links_between_trees():
     left, right = [0xF000, 0xF00FF, 0x000F], [0x00, 0xFF]
-    edges = simhash._between(np.array(left, np.uint64), np.array(right, np.uint64), 4)
+    edges = simhash._between(np.array(left, np.uint64), np.array(right, np.uint64), simhash.Steps(4))
     assert len(edges) == 4 and set(joined(left + right, edges).values()) == {0}
     rng = random.Random(8)
     for _ in range(30):
         values = list({sum(1 << b for b in rng.sample(range(14), rng.randrange(8))) for _ in range(60)})
         left, right = values[::2], values[1::2]
         links = [(u, v) for u in left for v in right if (u ^ v).bit_count() <= 2]
-        edges = simhash._between(np.array(left, np.uint64), np.array(right, np.uint64), 2)
+        edges = simhash._between(np.array(left, np.uint64), np.array(right, np.uint64), simhash.Steps(2))
         assert set(edges) <= set(links) and joined(values, edges) == joined(values, links)
         assert len(edges) == len(values) - len(set(joined(values, links).values()))
 
 
+@pytest.mark.parametrize("reach", [1, 2, 4, 5, 7])
+def test_grids_hold_every_pair_in_reach(spark, reach):
+    rng = random.Random(reach)
+    pairs = []
+    for _ in range(3000):
+        a = rng.getrandbits(64)
+        pairs.append((a, a ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, reach + 1)))))
+    df = spark.createDataFrame([(i, v - 2**64 if v >= 2**63 else v) for i, p in enumerate(pairs) for v in p], "i int, fp long")
+    cells = collections.defaultdict(set)
+    for r in df.select("i", "fp", F.inline(simhash.grid_cells(reach))).collect():
+        cells[r["i"], r["fp"]].add((r["cell"], r["side"]))
+    for i, (a, b) in enumerate(pairs):
+        x, y = (cells[i, v - 2**64 if v >= 2**63 else v] for v in (a, b))
+        assert any(c == d and 3 in (s, t) for c, s in x for d, t in y)
+
+
+def test_bound_removes_pairs_before_the_exact_test(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(200)]
+    values = list({v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for v in base for _ in range(30)})
+    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+    r = simhash.pair_steps(df).first()
+    assert r["in_cells"] > r["in_bound"] >= r["linked"] > 0 and r["in_cells"] < len(values) ** 2 / 2
+
+
+def test_hub_join_equals_a_join(spark):
+    rows = [(0, i) for i in range(5000)] + [(k, k) for k in range(1, 3000)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    found = df.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    got = components.hub_join(df, found, "k", "v", len(rows))
+    assert got.columns == ["k", "v", "top"]
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter((k, v, 4999 if k == 0 else v) for k, v in rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 3)]
     got = {r["v"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+def hub_join(rows: DataFrame, found: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``found`` (one row for each ``key``, with the number ``n`` of rows that have it) by key.
+
+    Keys with more than a thousandth of all ``total`` rows, and than 1,000, are looked up
+    in a broadcast table, which so has at most 1,000 rows, and their rows are spread by
+    the column ``spread``: no task gets all rows of a hub.
+    """
+    per = max(1000, total // 1000)
+    values = F.struct(*[F.col(c) for c in found.columns if c not in (key, "n")])
+    hot = F.broadcast(found.where(F.col("n") > per).select(key, values.alias("__hot")))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(997)) + 1).cast("long"))
+    cold = found.where(F.col("n") <= per).select(key, F.lit(0).cast("long").alias("__salt"), values.alias("__cold"))
+    out = dealt.join(cold, [key, "__salt"], "left")
+    return out.select(*rows.columns, F.coalesce("__hot", "__cold").alias("__found")).select(*rows.columns, "__found.*")
+
+
+def _star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
     """One step: links neighbours to the smallest of a vertex and its neighbours (all larger ones, or all smaller ones)."""
     if large:
         sides = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    out = sides.join(lowest, "u")
+    lowest = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    out = hub_join(sides, lowest, "u", "v", total)
     if large:
         out = out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,11 +47,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the logarithm of the longest chain. Edges with a null end are left out.
     """
     pairs = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    state, total = None, pairs.count()
     for _ in range(most_rounds):
-        pairs = written(_star(_star(pairs, True), False), "edges")
+        pairs = written(_star(_star(pairs, True, 2 * total), False, total), "edges")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return pairs.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        state = now
+        state, total = now, now[0]
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

@@ -2,26 +2,27 @@
 
 Fingerprints are embedded as the counts of set bits in 32 segments of two bits. The
 Manhattan distance of two such vectors is at most the Hamming distance of the
-fingerprints. The segments are dealt into bands; with ``reach`` differing bits at least
-``bands - reach`` bands have equal counts, so each choice of that many bands is a grid
-whose cells hold every pair within reach. Inside a cell pairs are held against the
-Manhattan bound, then verified exactly. A cell gives the edges of a spanning forest of
-its links, never all pairs: components stay whole and the output stays linear.
+fingerprints. The segments are dealt into bands, each a grid over its segments' counts
+with a range of its own: ranges of 1, 1 and 0 for ``reach`` 4, as a distance of 4 can't
+exceed all of them (2 + 2 + 1 is 5). A fingerprint stands in its own cell of each grid and
+probes the cells in range that are one count higher, so a range join finds every pair
+that the bound allows in some band. Of these pairs the whole Manhattan bound removes what
+it can, and only the rest is verified exactly. A cell gives the edges of a spanning forest
+of its links, never all pairs: components stay whole and the output stays linear.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, small_batches, written
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, hub_join
 from tidemark.llm.near_copies import copy_roots, shingle_sets
 
 #: Bit patterns for counting set bits in segments of two bits.
@@ -72,36 +73,32 @@ def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _linked(fp: np.ndarray, counts: np.ndarray, other: np.ndarray, other_counts: np.ndarray, reach: int) -> np.ndarray:
-    near = _manhattan(counts, other_counts) <= reach
-    return near & (np.bitwise_count(fp ^ other) <= reach)
-
-
-def _forest(fp: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints: breadth first, each found member leaves the rest."""
-    counts, edges = _counts(fp), []
-    rest = np.arange(len(fp))
-    while len(rest):
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            x = frontier.pop()
-            hit = _linked(fp[x], counts[x], fp[rest], counts[rest], reach)
-            if hit.any():
-                found = rest[hit]
-                edges.extend((int(fp[x]), int(fp[y])) for y in found)
-                frontier.extend(found.tolist())
-                rest = rest[~hit]
-    return edges
+class Steps:
+    """The numbers of pairs that the grids give, that the Manhattan bound leaves, and that are linked."""
+
+    def __init__(self, reach: int):
+        self.reach, self.seen, self.bounded, self.linked = reach, 0, 0, 0
+
+    def hits(self, fp: np.ndarray, counts: np.ndarray, other: np.ndarray, other_counts: np.ndarray) -> np.ndarray:
+        """The places of the linked pairs: first by the bound, then exactly for what it leaves."""
+        left = np.flatnonzero(_manhattan(counts, other_counts) <= self.reach)
+        differing = (fp if np.ndim(fp) == 0 else fp[left]) ^ other[left]
+        found = left[np.bitwise_count(differing) <= self.reach]
+        self.seen, self.bounded, self.linked = self.seen + len(other), self.bounded + len(left), self.linked + len(found)
+        return found
 
 
-def _between(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between ``left`` and ``right``: each of ``left`` gets an edge to every separate tree it touches."""
+def _between(left: np.ndarray, right: np.ndarray, steps: Steps) -> list[tuple[int, int]]:
+    """Edges that join what the links between ``left`` and ``right`` join: each of ``left`` gets one to every separate tree it touches.
+
+    A fingerprint may stand on both sides; its link to itself then joins its two places and is no edge.
+    """
     cl, cr, edges = _counts(left), _counts(right), []
     tree = np.arange(len(right))
     for x, c in zip(left, cl, strict=True):
-        hit = np.flatnonzero(_linked(x, c, right, cr, reach))
+        hit = steps.hits(x, c, right, cr)
         touched, first = np.unique(tree[hit], return_index=True)
-        edges.extend((int(x), int(y)) for y in right[hit[first]])
+        edges.extend((int(x), int(y)) for y in right[hit[first]] if y != x)
         if len(touched) > 1:
             joined = np.zeros(len(right), bool)
             joined[touched] = True
@@ -109,11 +106,16 @@ def _between(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int,
     return edges
 
 
-def cell_edges(cells: Iterator[pa.RecordBatch], reach: int, small: int = 48) -> Iterator[pa.RecordBatch]:
+#: Sides of a row in its cell: it is compared with those on the other side.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def cell_edges(cells: Iterator[pa.RecordBatch], steps: Steps, small: int = 48) -> Iterator[pa.RecordBatch]:
     """Edges from rows (cell, part, side, fp) that come sorted, so that a cell's rows stand together.
 
     Small cells are compared whole batches at a time, a row with the k-th after it for
-    each k; larger ones grow forests. Only the last, unfinished cell is kept between batches.
+    each k; larger ones a row of the left side at a time. Only the last, unfinished cell
+    is kept between batches.
     """
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -124,25 +126,20 @@ def cell_edges(cells: Iterator[pa.RecordBatch], reach: int, small: int = 48) ->
         edges_u, edges_v = [], []
         member = np.repeat(size, size)
         run = np.repeat(np.arange(len(size)), size)
-        few = np.flatnonzero((member > 1) & (member <= small) & (part < 0))
-        f, r = fp[few], run[few]
+        few = np.flatnonzero((member > 1) & (member <= small))
+        f, r, s = fp[few], run[few], side[few]
         c = _counts(f)
         for k in range(1, min(small, len(few))):
-            same = np.flatnonzero(r[k:] == r[:-k])
-            if not len(same):
+            same = r[k:] == r[:-k]
+            if not same.any():
                 break
-            hit = same[_linked(f[same], c[same], f[same + k], c[same + k], reach)]
+            same = np.flatnonzero(same & ((s[k:] & LEFT) & (s[:-k] >> 1) | (s[:-k] & LEFT) & (s[k:] >> 1)).astype(bool))
+            hit = same[steps.hits(f[same], c[same], f[same + k], c[same + k])]
             edges_u.append(f[hit])
             edges_v.append(f[hit + k])
-        for at, n in zip(starts.tolist(), size.tolist(), strict=True):
-            own = slice(at, at + n)
-            if part[at] >= 0:
-                s = side[own]
-                edges = _between(fp[own][s == 0], fp[own][s == 1], reach) if (s == 1).any() else _forest(fp[own], reach)
-            elif n > small:
-                edges = _forest(fp[own], reach)
-            else:
-                continue
+        for at in np.flatnonzero(size > small).tolist():
+            own = slice(starts[at], starts[at] + size[at])
+            edges = _between(fp[own][(side[own] & LEFT) > 0], fp[own][(side[own] & RIGHT) > 0], steps)
             if edges:
                 u, v = np.array(edges, np.uint64).T
                 edges_u.append(u)
@@ -172,35 +169,72 @@ def cell_edges(cells: Iterator[pa.RecordBatch], reach: int, small: int = 48) ->
             yield out
 
 
-def near_fingerprints(fps: DataFrame, *, reach: int = 4, bands: int = 6, hot: int = 16384) -> DataFrame:
-    """Edges (u, v) of spanning forests of the links among distinct fingerprints ``fp``.
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
 
-    A cell with more than ``hot`` members is cut into blocks of about half that many by
-    hash; each pair of its blocks is a cell of its own, so no task gets an unbounded cell.
+def grid_cells(reach: int) -> Column:
+    """Array of the (cell, side) of a fingerprint ``fp``: its own cell of each band's grid, and the cells in range that it probes.
+
+    Bands have a range of 1 or 0, so that the ranges plus one sum up to ``reach`` + 1. Of
+    two counts that differ by one in one segment the lower one probes the higher one's cell.
     """
-    segments = np.array_split(np.arange(32), bands)
+    bands = max(3, -(-(reach + 1) // 2))
     odd, high = F.lit(_ODD), F.shiftrightunsigned("fp", 1)
+    # in unary, a count is 00, 01 or 11
     counts = F.col("fp").bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(high).bitwiseAND(odd), 1))
-    grids = []
-    for i, chosen in enumerate(combinations(range(bands), bands - reach)):
-        mask = sum(3 << int(2 * s) for b in chosen for s in segments[b])
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        grids.append(F.xxhash64(F.lit(i), F.col("__counts").bitwiseAND(F.lit(signed).cast("long"))))
-    keyed = fps.select("fp", counts.alias("__counts")).select("fp", F.explode(F.array(*grids)).alias("cell"))
+    cells = []
+    for i, segments in enumerate(np.array_split(np.arange(32), bands)):
+        own = counts.bitwiseAND(_signed(sum(3 << int(2 * s) for s in segments)))
+        cells.append(F.struct(F.xxhash64(F.lit(i), own).alias("cell"), F.lit(BOTH).alias("side")))
+        for s in segments.tolist() if i < reach + 1 - bands else ():
+            one, two = (own.bitwiseOR(_signed(1 << (2 * s + j))) for j in (0, 1))
+            higher = F.when(own.bitwiseAND(_signed(1 << 2 * s)) == 0, one).when(own.bitwiseAND(_signed(2 << 2 * s)) == 0, two)
+            cells.append(F.when(higher.isNotNull(), F.struct(F.xxhash64(F.lit(i), higher).alias("cell"), F.lit(RIGHT).alias("side"))))
+    return F.array_compact(F.array(*cells))
+
+
+def dealt_cells(fps: DataFrame, *, reach: int = 4, hot: int = 16384) -> DataFrame:
+    """Rows (cell, part, side, fp), a cell's part in one partition and together.
+
+    A cell with more than ``hot`` members is cut into blocks of about that many by hash;
+    each block's own fingerprints meet each block's members in a part of its own, so no
+    task gets an unbounded cell.
+    """
+    keyed = fps.select("fp", F.inline(grid_cells(reach)))
     heavy = keyed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    heavy = written(heavy.select("cell", F.ceil(F.col("n") * 2 / hot).cast("int").alias("blocks")), "hot-cells")
+    heavy = written(heavy.select("cell", F.ceil(F.col("n") / hot).cast("int").alias("blocks")), "hot-cells")
     if heavy.isEmpty():
-        parts = keyed.select("cell", F.lit(-1).alias("part"), F.lit(0).alias("side"), "fp")
+        parts = keyed.select("cell", F.lit(0).alias("part"), "side", "fp")
     else:
         split = keyed.join(heavy, "cell", "left").withColumn("b", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
-        lower, upper = F.least("b", F.col("o")), F.greatest("b", F.col("o"))
-        split = split.withColumn("o", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        parts = split.select("cell", F.when(F.col("blocks").isNull(), -1).otherwise(lower * F.col("blocks") + upper).cast("int").alias("part"), F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "fp")
-    ordered = parts.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return ordered.mapInArrow(lambda batches: cell_edges(batches, reach), "u long, v long").distinct()
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        rights = F.transform(others, lambda o: F.struct((o * F.col("blocks") + F.col("b")).alias("part"), F.lit(RIGHT).alias("side")))
+        lefts = F.transform(others, lambda o: F.struct((F.col("b") * F.col("blocks") + o).alias("part"), F.lit(LEFT).alias("side")))
+        places = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("part"), "side"))).when(F.col("side") == BOTH, F.concat(lefts, rights)).otherwise(rights)
+        parts = split.select("cell", "fp", F.inline(places)).select("cell", "part", "side", "fp")
+    return parts.repartition("cell", "part").sortWithinPartitions("cell", "part")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, reach: int = 4, bands: int = 6) -> DataFrame:
+def near_fingerprints(fps: DataFrame, *, reach: int = 4, hot: int = 16384) -> DataFrame:
+    """Edges (u, v) that join what the links among distinct fingerprints ``fp`` join."""
+    return dealt_cells(fps, reach=reach, hot=hot).mapInArrow(lambda batches: cell_edges(batches, Steps(reach)), "u long, v long").distinct()
+
+
+def pair_steps(fps: DataFrame, *, reach: int = 4) -> DataFrame:
+    """One row: the pairs of distinct fingerprints that the grids give, that the bound leaves, and that are linked (a pair as often as cells give it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = Steps(reach)
+        for _ in cell_edges(batches, steps):
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (steps.seen, steps.bounded, steps.linked)], ["in_cells", "in_bound", "linked"])
+
+    counts = dealt_cells(fps, reach=reach).mapInArrow(run, "in_cells long, in_bound long, linked long")
+    return counts.agg(*[F.sum(c).alias(c) for c in counts.columns])
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, reach: int = 4) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     ``docs`` needs doc_id and text; other columns are left out whatever their names.
@@ -211,16 +245,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, reach: i
     are never compared with each other. An empty table gives no row.
     """
     rows = written(fingerprints(docs, width=width, seed=seed), "fingerprints")
-    return rows.join(roots(rows, reach=reach, bands=bands), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def roots(rows: DataFrame, *, reach: int = 4, bands: int = 6) -> DataFrame:
-    """fp, root (a fingerprint of its component) and component_id of each distinct fingerprint of ``rows`` (doc_id, fp)."""
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    links = connected_components(near_fingerprints(distinct.select("fp"), reach=reach, bands=bands))
-    member = distinct.join(links.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(member.join(smallest, "root").select("fp", "root", "component_id"), "roots")
+    found = roots(rows, reach=reach).select("fp", "component_id", "n")
+    shown = hub_join(rows, found, "fp", "doc_id", rows.count())
+    return shown.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def roots(rows: DataFrame, *, reach: int = 4) -> DataFrame:
+    """fp, root (a fingerprint of its component), component_id and n (rows) of each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    links = connected_components(near_fingerprints(distinct.select("fp"), reach=reach))
+    member = distinct.join(links.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", F.col("n").alias("rows"))
+    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = hub_join(member.select("fp", "root", "rows"), smallest, "root", "fp", distinct.count())
+    return written(found.select("fp", "root", "component_id", F.col("rows").alias("n")), "roots")
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, least: float = 0.8, seed: int = 42, bands: int = 32, rows: int = 6) -> DataFrame:
