@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Observation
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,7 @@ from tidemark.operators import clean, dedupe, merge, quality, rules, runlog
 from tidemark.plans import marts, reports
 from tidemark.sources import extract, files
 from tidemark.sources.workdir import work_folder
+from tidemark.streaming import ingest
 
 D = dt.datetime
 
@@ -129,6 +131,53 @@ def test_versions_switch_after_the_write(spark):
     assert t.read().count() == 5 and t.version() == 2
 
 
+def test_upsert_rewrites_only_the_buckets_of_its_keys(spark):
+    t = merge.VersionedTable(spark, work_folder(spark, "buckets"), buckets=8)
+    t.upsert(spark.range(100).withColumn("v", F.lit("a")), ["id"], "r1")
+    t.upsert(spark.createDataFrame([(3, "b"), (200, "b")], "id long, v string"), ["id"], "r2")
+    changed = t.log().where("run_id = 'r2'").first()["changed"]
+    assert 1 <= len(changed) <= 2
+    assert {r["__bucket"] for r in spark.read.parquet(f"{t.path}/version=2").select("__bucket").distinct().collect()} == set(changed)
+    want = {i: "b" if i in (3, 200) else "a" for i in [*range(100), 200]}
+    assert {r["id"]: r["v"] for r in t.read().collect()} == want
+    t.upsert(spark.createDataFrame([], "id long, v string"), ["id"], "r3")
+    assert t.has_run("r3") and {r["id"]: r["v"] for r in t.read().collect()} == want
+    t.upsert(spark.createDataFrame([(3, "c", 1.5), (None, "n", None)], "id long, v string, more double"), ["id"], "r4")  # a new column, a null key
+    got = t.read()
+    assert got.columns == ["id", "v", "more"] and got.count() == 102
+    assert got.where("id = 3").first()["more"] == 1.5 and got.where("id = 4").first()["more"] is None
+    t.upsert(spark.createDataFrame([(9, "a", 0.0)], "id long, v string, more double"), ["v"], "r5")  # another key: written whole
+    assert {r["v"] for r in t.read().collect()} == {"a", "b", "c", "n"} and t.read().where("v = 'a'").count() == 1
+    t.write(t.read().limit(0), "r6", ["v"])
+    assert t.read().count() == 0
+
+
+def test_log_lines_of_a_stream_keep_their_numbers(spark):
+    path, state = work_folder(spark, "equal-lines"), work_folder(spark, "state")
+    spark.createDataFrame([("{}",), ("{}",), ("{}",), ("no",)], "value string").coalesce(1).write.text(path)
+    t = merge.VersionedTable(spark, work_folder(spark, "equal-table"))
+    for _ in range(2):  # the second run finds no new file
+        ingest.upsert_stream(ingest.stream_weblogs(spark, path), t, ["event_id"], lambda b: ingest.parsed_weblogs(b, "r", "").select("event_id", "event_ts"), ["event_ts"], state).awaitTermination()
+    assert t.read().count() == 3 and t.version() == 1
+
+
+def test_late_rows_by_either_policy(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 7), (3, None), (4, 8)], "id int, at int")
+    current = spark.createDataFrame([(9, 7)], "id int, at int")
+    assert [r["id"] for r in ingest.after_mark("at")(rows, current).collect()] == [4]
+    assert [r["id"] for r in ingest.after_mark("at", inclusive=True)(rows, current).collect()] == [2, 4]
+    assert ingest.after_mark("at")(rows, current.limit(0)).count() == 4
+
+
+def test_work_folder_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    with pytest.raises(ValueError):
+        work_folder(type("Session", (), {"conf": Conf()})(), "x")
+
+
 def test_incremental_equals_full_on_slices(spark):
     old = spark.createDataFrame([(1, D(2026, 1, 1), "x"), (2, D(2026, 1, 2), "x")], "id int, at timestamp_ntz, v string")
     new = spark.createDataFrame([(1, D(2026, 1, 1), "x"), (2, D(2026, 1, 2), "tie"), (3, D(2026, 1, 3), "x"), (0, D(2025, 1, 1), "late")], "id int, at timestamp_ntz, v string")

@@ -48,10 +48,13 @@ def prep_leads(df: DataFrame) -> DataFrame:
 
 
 def prep_weblogs(df: DataFrame) -> DataFrame:
-    return _with(df, {
+    made = {
         "event_id": F.col("event_id").cast("string"), "event_ts": parse_ts_lenient(F.col("event_ts").cast("string")),
         "status_code": F.col("status_code").try_cast("bigint"), "_source_line": F.col("_source_line").try_cast("bigint") if "_source_line" in df.columns else F.lit(None),
-    })
+    }
+    if "_ingested_at" in df.columns:
+        made["_ingested_at"] = parse_ts_lenient(F.col("_ingested_at").cast("string"))
+    return _with(df, made)
 
 
 def prep_decimal(df: DataFrame) -> DataFrame:

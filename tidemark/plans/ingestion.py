@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.contracts import Contract
 from tidemark.operators import clean, runlog
 from tidemark.operators.merge import VersionedTable, replace_snapshot
+from tidemark.sources import extract
 
 
 def load_dataset(spark: SparkSession, contract: Contract, raw: DataFrame, root: str, run_id: str) -> dict:
@@ -30,22 +33,79 @@ def load_dataset(spark: SparkSession, contract: Contract, raw: DataFrame, root:
     return {"records": seen.get["n_rows"] - seen.get["n_bad"], "bad_records": seen.get["n_bad"]}
 
 
+def _attempt(spark: SparkSession, root: str, run_id: str, key: tuple, at: dt.datetime, work: Callable[[], dict], fail_fast: bool) -> None:
+    """Does one dataset's work between a started row and a completed or failed one."""
+    history = f"{root}/history/runs"
+    runlog.append(runlog.run_row(spark, run_id, *key, "started", at), history)
+    try:
+        outcome = {"status": "completed", **work()}
+    except Exception as e:
+        if fail_fast:
+            raise
+        outcome = {"status": "failed", "error": str(e)[:2000]}
+    status = outcome.pop("status")
+    runlog.append(runlog.run_row(spark, run_id, *key, status, at + dt.timedelta(milliseconds=1), **outcome), history)
+
+
+def _states(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    return runlog.run_states(spark.read.schema(runlog.RUNS).parquet(f"{root}/history/runs")).where(f"run_id = '{run_id}'")
+
+
 def run(spark: SparkSession, raw: list[tuple[Contract, DataFrame]], root: str, run_id: str, now: dt.datetime | None = None, fail_fast: bool = False) -> DataFrame:
     """Loads datasets in turn; one that fails leaves its tables as they were and a failed row, and the rest go on.
 
     Gives the run's newest row for each dataset. Repeating a run id changes no table's rows.
     """
     at = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    history = f"{root}/history/runs"
     for i, (contract, df) in enumerate(raw):
         key = ("files" if contract.mode == "files" else "db", contract.name, "load")
-        runlog.append(runlog.run_row(spark, run_id, *key, "started", at + dt.timedelta(milliseconds=2 * i)), history)
-        try:
-            outcome = {"status": "completed", **load_dataset(spark, contract, df, root, run_id)}
-        except Exception as e:
-            if fail_fast:
-                raise
-            outcome = {"status": "failed", "error": str(e)[:2000]}
-        status = outcome.pop("status")
-        runlog.append(runlog.run_row(spark, run_id, *key, status, at + dt.timedelta(milliseconds=2 * i + 1), **outcome), history)
-    return runlog.run_states(spark.read.schema(runlog.RUNS).parquet(history)).where(f"run_id = '{run_id}'")
+        _attempt(spark, root, run_id, key, at + dt.timedelta(milliseconds=2 * i), lambda c=contract, d=df: load_dataset(spark, c, d, root, run_id), fail_fast)
+    return _states(spark, root, run_id)
+
+
+def stored_mark(spark: SparkSession, root: str, dataset: str) -> str | None:
+    """The newest stored cursor value of a dataset; None before its first run."""
+    try:
+        marks = spark.read.schema(runlog.WATERMARKS).parquet(f"{root}/history/watermarks")
+    except Exception as e:  # no mark yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    row = runlog.watermark_states(marks).where((F.col("source") == "db") & (F.col("dataset") == dataset) & (F.col("stage") == "raw")).first()
+    return row["value"] if row else None
+
+
+def capture(spark: SparkSession, contract: Contract, source: DataFrame, root: str, run_id: str, at: dt.datetime) -> dict:
+    """One dataset from its source: the window from the stored mark to the source's frozen mark, written, loaded, then marked.
+
+    The raw rows' path and schema are rows of the history. The mark is stored after the
+    load only, so a failed run is read again; an empty window keeps it. Raw rows lie in
+    the order of the cursor inside each file.
+    """
+    path, low, high = f"{root}/raw/dataset={contract.name}/run_id={run_id}", None, None
+    rows = extract.scan_full_snapshot(source)
+    if contract.cursor:
+        low, high = stored_mark(spark, root, contract.name), extract.high_watermark(source, contract.cursor).first()[0]
+        kind = "id" if contract.mode == "incremental_id" else "timestamp"
+        rows = extract.scan_window(source, contract.cursor, high, low, kind).sortWithinPartitions(contract.cursor)
+    rows.write.mode("overwrite").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    listed = runlog.run_row(spark, run_id, "db", contract.name, "raw", "completed", at).withColumn("paths", F.array(F.lit(path)))
+    runlog.append(runlog.paths_to_rows(listed, "paths", "raw_path"), f"{root}/history/paths")
+    columns = runlog.schema_snapshot(rows, rows.count()).select(F.lit(run_id).alias("run_id"), F.lit(contract.name).alias("dataset"), "*")
+    runlog.append(columns, f"{root}/history/schemas")
+    outcome = load_dataset(spark, contract, rows, root, run_id)
+    after = extract.next_watermark(high, low)
+    after = None if after is None else str(after)
+    if after is not None:
+        runlog.append(spark.createDataFrame([("db", contract.name, "raw", run_id, after, at)], runlog.WATERMARKS), f"{root}/history/watermarks")
+    return {**outcome, "watermark_before": low, "watermark_after": after}
+
+
+def run_sources(spark: SparkSession, sources: list[tuple[Contract, DataFrame]], root: str, run_id: str, now: dt.datetime | None = None, fail_fast: bool = False) -> DataFrame:
+    """A run over whole source tables, each read from its stored mark on; gives the run's newest row for each dataset."""
+    at = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    for i, (contract, df) in enumerate(sources):
+        own = at + dt.timedelta(milliseconds=2 * i)
+        _attempt(spark, root, run_id, ("db", contract.name, "raw"), own, lambda c=contract, d=df, t=own: capture(spark, c, d, root, run_id, t), fail_fast)
+    return _states(spark, root, run_id)

@@ -93,20 +93,33 @@ for _n in MODELS:
 CUT = "timestamp '1998-06-01 00:00:00'"
 EVENT_CUT = "timestamp '2024-01-15 00:00:00'"
 DAY = "timestamp '2024-01-31 00:00:00'"
-# For K1 and K2 a merge equals a full build of rows that only gain: the newest state of each key.
-ORACLE["inc_orders"] = full("select * from fct_orders where source_updated_at <= " + CUT + " union all select * from fct_orders where source_updated_at > " + CUT)
-ORACLE["inc_order_items"] = full("select * from fct_order_items")
+# A merge: the rows from the target's mark on, and the target's other rows, of which some are changed and some missing.
+MERGED = "select * from delta union all select * from old where not exists (select 1 from delta d where d.{key} = old.{key})"
+ORACLE["inc_orders"] = full(f"""
+, old as (select * replace (case when order_id % 3 = 0 then 'STALE' else order_status end as order_status) from fct_orders where source_updated_at <= {CUT} and order_id % 7 <> 0),
+delta as (select * from fct_orders where source_updated_at >= (select max(source_updated_at) from old))
+{MERGED.format(key='order_id')}""")
+ORACLE["inc_order_items"] = full(f"""
+, old as (select * replace (case when order_item_id % 3 = 0 then 0 else quantity end as quantity) from fct_order_items
+  where order_item_id <= (select max(order_item_id) // 2 from stg_order_items) and order_item_id % 7 <> 0),
+delta as (select * from fct_order_items where order_item_id > (select max(order_item_id) from old))
+{MERGED.format(key='order_item_id')}""")
 ORACLE["inc_catalog_prices"] = full(f"""
 , mark as (select max(updated_at) as top from stg_company_catalogs where updated_at <= {CUT}),
 old as (select distinct on (company_cuit, product_id) * from stg_company_catalogs where updated_at <= {CUT} order by company_cuit, product_id, updated_at desc, created_at desc, sale_price desc),
 delta as (select distinct on (company_cuit, product_id) * from stg_company_catalogs where updated_at >= (select top from mark) order by company_cuit, product_id, updated_at desc, created_at desc, sale_price desc),
 merged as (select * from delta union all select * from old where not exists (select 1 from delta d where d.company_cuit = old.company_cuit and d.product_id = old.product_id))
 select company_cuit, product_id, {money('sale_price')} as current_sale_price, created_at, updated_at, {LOADED} as loaded_at from merged""")
-ORACLE["inc_leads_current"] = full("select * from fct_leads_current")
+ORACLE["inc_leads_current"] = full("select * from fct_leads_current union all select * replace ('X' || lead_id as lead_id, 'STALE' as status) from fct_leads_current where lead_id like '%3'")
 ORACLE["inc_leads_history"] = full(f"""
 , mark as (select max(_ingested_at) as top from stg_leads where _ingested_at <= {EVENT_CUT})
 select * from fct_leads_history where _ingested_at <= {EVENT_CUT} union all select * from fct_leads_history where _ingested_at > (select top from mark)""")
-ORACLE["inc_webserver_logs"] = full("select * from fct_webserver_logs")
+ORACLE["inc_webserver_logs"] = full(f"""
+, numbered as (select *, substr(event_id, 2)::bigint as n from fct_webserver_logs),
+old as (select * exclude (n) replace (case when n % 3 = 0 then '/stale' else request_path end as request_path) from numbered where _ingested_at <= {EVENT_CUT} and n % 7 <> 0),
+delta as (select * exclude (n) from numbered where _ingested_at > (select max(_ingested_at) from old)
+  union all select * exclude (n) replace (timestamp '2024-02-05' as _ingested_at, 503 as status_code, '5xx' as status_class, true as is_error) from numbered where _ingested_at <= {EVENT_CUT} and n % 17 = 0)
+{MERGED.format(key='event_id')}""")
 
 ORACLE["monthly_sales"] = full(f"""
 , s as (select date_trunc('month', order_date)::date as month_start, sum(order_total) filter (order_status = 'COMPLETED') as g, coalesce(sum(order_total) filter (order_status = 'RETURNED'), 0) as r,
@@ -263,7 +276,13 @@ ORACLE["manifest_metrics"] = full("select run_id, stage, count(distinct dataset)
 ORACLE["run_paths"] = full("select run_id, dataset, 'raw_path' as path_kind, array_to_string(list_transform(range(0, bad_records + 1), lambda i: 'p' || i), ',') as paths from state", HISTORY)
 ORACLE["schema_snapshot"] = full(", n as (select count(*) as n_rows from src_orders)\nselect * from (values (0, 'id'), (1, 'company_cuit'), (2, 'customer_id'), (3, 'status'), (4, 'order_date'), (5, 'total_amount'), (6, 'created_at'), (7, 'updated_at')) t(column_index, name) cross join n")
 
-ORACLE["stream_weblogs_upsert"] = full("select event_id, username, date_trunc('second', event_ts) as event_ts, request_path, status_code::varchar as status_code from webserver_logs where _source_line % 11 <> 0")
+LOG_ROW = "username, date_trunc('second', event_ts) as event_ts, request_path, status_code::varchar as status_code from webserver_logs"
+ORACLE["stream_weblogs_upsert"] = full(f"""select event_id, {LOG_ROW} where _source_line % 11 <> 0
+union all select 'made', {LOG_ROW} where _source_line % 11 = 0 union all select 'made', {LOG_ROW} where _source_line % 11 = 0 and request_path = '/click'""")
+ORACLE["stream_bad_lines"] = "select count(*) + count(*) filter (event_type = 'click') + bad as n_lines, bad as n_bad, 2::bigint as batches from events, (select count(*) filter (event_id % 50 = 0) + count(*) filter (event_id % 90 = 0) as bad from events) group by bad"
+ORACLE["stream_two_into_one"] = full(f"select event_id, {LOG_ROW} where _source_line % 11 <> 0")
+ORACLE["stream_late_rows"] = f"""with e as (select event_id, event_type, ts, ts <= {EVENT_CUT} and event_id % 4 <> 0 as early from events)
+select event_id, event_type from e where early or ts > (select max(ts) from e where early)"""
 ORACLE["stream_leads_current"] = full(CLEAN_LEADS.replace("contact_email desc, country_code desc", "country_code desc").replace("industry desc, ", "").replace("last_activity_at desc, ", ""))
 
 ORACLE["stream_events_once"] = "select event_id, event_type from events"
@@ -273,5 +292,27 @@ ORACLE["ingestion_run"] = full("""
 select 'orders' as "table", orders as n_rows, 'completed' as status, orders as records, 0::bigint as bad_records from n
 union all select 'order_items', items, 'completed', items, 0 from n union all select 'companies', good, null, null, null from n union all select 'ref_countries', null, 'failed', null, null""")
 
+ORACLE["ingestion_cursor_runs"] = full(f"""
+, o as (select updated_at as c, id from src_orders), m as (select max(c) as top, max(c) filter (c <= {CUT}) as mid, count(*) as n, count(*) filter (c <= {CUT}) as n1 from o),
+i as (select max(id) as top, max(id) filter (id <= 1000000) as mid, count(*) as n, count(*) filter (id <= 1000000) as n1 from order_items),
+r as (select count(*) as n from ref_countries)
+select t.*, 1::bigint as n_paths from (
+select 'run-1' as run_id, 'orders' as dataset, 'completed' as status, n1 as records, null::varchar as watermark_before, mid::varchar as watermark_after, 8::bigint as n_columns, n as n_rows from m
+union all select 'run-2', 'orders', 'completed', n - n1, mid::varchar, top::varchar, 8, n from m union all select 'run-3', 'orders', 'completed', 0, top::varchar, top::varchar, 8, n from m
+union all select 'run-1', 'order_items', 'completed', n1, null, mid::varchar, 5, n from i union all select 'run-2', 'order_items', 'completed', n - n1, mid::varchar, top::varchar, 5, n from i
+union all select 'run-3', 'order_items', 'completed', 0, top::varchar, top::varchar, 5, n from i
+union all select x, 'ref_countries', 'completed', n, null, null, 2, n from r, (values ('run-1'), ('run-2'), ('run-3')) v(x)) t""")
+ORACLE["mart_tables"] = full("""select 'dim_countries' as "table", count(*) as n_rows from dim_countries union all select 'dim_companies', count(*) from dim_companies
+union all select 'fct_orders', count(*) from fct_orders union all select 'dim_absent', 0 union all select 'peek', 5""")
+CONVERSIONS = """select 'L' || user_id as lead_id, case when event_id % 5 = 0 then 'S' else 'C' end || user_id as company_cuit, case when event_id % 3 <> 0 then 'N' || (user_id % 30) end as country_code,
+case when event_id % 10 <> 1 then ts end as converted_at from events where event_type = 'purchase'"""
+ORACLE["dq_conversions"] = full(checks({
+    "conversion_company": "select 1 from conversions where company_cuit is null or company_cuit not in (select cuit from companies)",
+    "conversion_company_type": "select 1 from conversions c join companies k on k.cuit = c.company_cuit where k.type <> 'Client'",
+    "conversion_country": "select 1 from conversions where country_code is not null and country_code not in (select code from ref_countries)",
+    "conversion_time": "select 1 from conversions where converted_at is null",
+}), {"conversions": CONVERSIONS})
+ORACLE["tolerant_flags"] = "select event_id, event_id % 8 < 4 as flag from events"
+
 # A body that begins with more common table expressions goes on where the models' list ends.
 ORACLE = {k: re.sub(r"\)\n\s*,\s", "),\n", v, count=1) if re.search(r"\)\n\s*,\s", v) else v for k, v in ORACLE.items()}

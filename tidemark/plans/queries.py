@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import contracts
-from tidemark.functions.expressions import cents, first_set, parse_ts_lenient, trade_lane, ts, user_cohort
+from tidemark.functions.expressions import cents, first_set, parse_ts_lenient, tolerant_bool, trade_lane, ts, user_cohort
 from tidemark.operators import clean, dedupe, merge, quality, rules, runlog
 from tidemark.plans import ingestion, marts, reports, staging, warehouse
 from tidemark.plans.fixtures import dataset, table
@@ -87,10 +89,15 @@ for _name in MODELS:
 # --- incremental models: a target of the rows up to a cut, then a merge of the whole source
 
 
+# A target that differs from its source shows which rows a merge replaces: some of its rows are changed, some are missing.
+
+
 @query
 def inc_orders(spark, sf_dir):
+    """Rows at the mark are taken again; changed rows below it stay as they are, missing ones stay away."""
     m = Models(spark, sf_dir)
-    old = marts.fct_orders(m["stg_orders"].where(F.col("updated_at") <= ts(CUT)), m["stg_order_items"], _loaded())
+    old = marts.fct_orders(m["stg_orders"].where(F.col("updated_at") <= ts(CUT)), m["stg_order_items"], _loaded()).where(F.col("order_id") % 7 != 0)
+    old = old.withColumn("order_status", F.when(F.col("order_id") % 3 == 0, "STALE").otherwise(F.col("order_status")))
     out = merge.incremental_merge(
         old, m["stg_orders"], ["order_id"], lambda d: marts.fct_orders(d, m["stg_order_items"], _loaded(), delta=True),
         cursor=first_set("updated_at", "order_ts"), target_cursor=F.coalesce("source_updated_at", "order_ts"), floor="1900-01-01 00:00:00",
@@ -100,9 +107,12 @@ def inc_orders(spark, sf_dir):
 
 @query
 def inc_order_items(spark, sf_dir):
+    """Loaded items are frozen and late ids stay away: only ids above the mark are taken."""
     m = Models(spark, sf_dir)
     half = m["stg_order_items"].agg(F.max("order_item_id")).first()[0] // 2
-    old = marts.fct_order_items(m["stg_order_items"].where(F.col("order_item_id") <= half), m["stg_orders"], m["stg_products"], _loaded())
+    items = m["stg_order_items"].where((F.col("order_item_id") <= half) & (F.col("order_item_id") % 7 != 0))
+    old = marts.fct_order_items(items, m["stg_orders"], m["stg_products"], _loaded())
+    old = old.withColumn("quantity", F.when(F.col("order_item_id") % 3 == 0, 0).otherwise(F.col("quantity")).cast(old.schema["quantity"].dataType))
     out = merge.incremental_merge(
         old, m["stg_order_items"], ["order_item_id"], lambda d: marts.fct_order_items(d, m["stg_orders"], m["stg_products"], _loaded()),
         cursor=F.col("order_item_id"), target_cursor=F.col("order_item_id"), inclusive=False, floor=0,
@@ -123,8 +133,11 @@ def inc_catalog_prices(spark, sf_dir):
 
 @query
 def inc_leads_current(spark, sf_dir):
+    """Each run takes the whole source: changed rows are replaced, and leads that the source no longer has stay."""
     m = Models(spark, sf_dir)
-    old = marts.fct_marketing_leads_current(m["stg_leads"].where(F.col("_ingested_at") <= ts(EVENT_CUT)), m["dim_companies"], _loaded())
+    now = m["fct_leads_current"]
+    gone = now.where(F.col("lead_id").endswith("3")).withColumn("lead_id", F.concat(F.lit("X"), "lead_id"))
+    old = marts.fct_marketing_leads_current(m["stg_leads"].where(F.col("_ingested_at") <= ts(EVENT_CUT)), m["dim_companies"], _loaded()).unionByName(gone).withColumn("status", F.lit("STALE"))
     return merge.incremental_merge(old, m["stg_leads"], ["lead_id"], lambda d: marts.fct_marketing_leads_current(d, m["dim_companies"], _loaded()))
 
 
@@ -140,10 +153,14 @@ def inc_leads_history(spark, sf_dir):
 
 @query
 def inc_webserver_logs(spark, sf_dir):
+    """Events that are sent again after the mark replace their rows; changed and missing events up to the mark stay so."""
     m = Models(spark, sf_dir)
-    old = marts.fct_webserver_logs(m["stg_webserver_logs"].where(F.col("_ingested_at") <= ts(EVENT_CUT)), _loaded())
+    logs, n = m["stg_webserver_logs"], F.substr("event_id", F.lit(2)).cast("long")
+    again = logs.where((F.col("_ingested_at") <= ts(EVENT_CUT)) & (n % 17 == 0)).withColumns({"_ingested_at": ts("2024-02-05 00:00:00"), "status_code": F.lit(503)})
+    old = marts.fct_webserver_logs(logs.where((F.col("_ingested_at") <= ts(EVENT_CUT)) & (n % 7 != 0)), _loaded())
+    old = old.withColumn("request_path", F.when(n % 3 == 0, "/stale").otherwise(F.col("request_path")))
     return merge.incremental_merge(
-        old, m["stg_webserver_logs"], ["event_id"], lambda d: marts.fct_webserver_logs(d, _loaded()),
+        old, logs.unionByName(again), ["event_id"], lambda d: marts.fct_webserver_logs(d, _loaded()),
         cursor=first_set("_ingested_at", "event_ts"), target_cursor=F.coalesce("_ingested_at", "event_ts"), inclusive=False, floor="1900-01-01 00:00:00",
     )
 
@@ -601,22 +618,62 @@ def schema_snapshot(spark, sf_dir):
 # --- streams: two sets of files, loaded one after the other
 
 
+#: The second set of files holds the clicks again.
+LOG_PARTS = ("value not like '%/view%'", "value like '%/view%' or value like '%/click%'")
+
+
+def _log_rows(batch: DataFrame) -> DataFrame:
+    return ingest.parsed_weblogs(batch, RUN, INGESTED).select("event_id", "username", parse_ts_lenient("event_ts").alias("event_ts"), "request_path", "status_code")
+
+
 @query
 def stream_weblogs_upsert(spark, sf_dir):
+    """Lines without an id get one of their file and line, so such a line is a row of its own in each file."""
     path, table_path, checkpoint = (work_folder(spark, n) for n in ("stream-logs", "logs-table", "stream-state"))
-    lines = _log_lines(spark, sf_dir).where("length(trim(value)) = 0 or value not like '%\"event_id\":\"\"%'")
     t = merge.VersionedTable(spark, table_path)
+    for part in LOG_PARTS:
+        _log_lines(spark, sf_dir).where(part).write.mode("append").text(path)
+        ingest.upsert_stream(ingest.stream_weblogs(spark, path), t, ["event_id"], _log_rows, ["event_ts"], checkpoint).awaitTermination()
+    return t.read().withColumn("event_id", F.when(F.col("event_id").contains(":"), "made").otherwise(F.col("event_id")))
+
+
+@query
+def stream_bad_lines(spark, sf_dir):
+    """Lines and bad lines of all batches, as their audit wrote them."""
+    path, table_path, checkpoint, audit = (work_folder(spark, n) for n in ("stream-logs", "logs-table", "stream-state", "bad-lines"))
+    t = merge.VersionedTable(spark, table_path)
+    for part in LOG_PARTS:
+        _log_lines(spark, sf_dir).where(part).write.mode("append").text(path)
+        ingest.upsert_stream(ingest.stream_weblogs(spark, path), t, ["event_id"], _log_rows, ["event_ts"], checkpoint, audit=ingest.count_bad_lines(audit)).awaitTermination()
+    return spark.read.parquet(audit).agg(F.sum("n_lines").alias("n_lines"), F.sum("n_bad").alias("n_bad"), F.countDistinct("batch").alias("batches"))
 
-    def prepare(batch: DataFrame) -> DataFrame:
-        rows = ingest.parsed_weblogs(batch, RUN, INGESTED)
-        return rows.select("event_id", "username", parse_ts_lenient("event_ts").alias("event_ts"), "request_path", "status_code")
 
-    for part in ("value not like '%/view%'", "value like '%/view%' or value like '%/click%'"):
-        lines.where(part).write.mode("append").text(path)
-        ingest.upsert_stream(ingest.stream_weblogs(spark, path), t, ["event_id"], prepare, ["event_ts"], checkpoint).awaitTermination()
+@query
+def stream_two_into_one(spark, sf_dir):
+    """Two streams with checkpoints of their own load one table; both begin at batch 0."""
+    t = merge.VersionedTable(spark, work_folder(spark, "logs-table"))
+    lines = _log_lines(spark, sf_dir).where("value like '{%}' and value not like '%\"event_id\":\"\"%'")
+    for part in LOG_PARTS:
+        path, checkpoint = work_folder(spark, "stream-logs"), work_folder(spark, "stream-state")
+        lines.where(part).write.text(path)
+        ingest.upsert_stream(ingest.stream_weblogs(spark, path), t, ["event_id"], _log_rows, ["event_ts"], checkpoint).awaitTermination()
     return t.read()
 
 
+@query
+def stream_late_rows(spark, sf_dir):
+    """Files of a second load hold rows up to the table's mark, too: by the exclusive policy these are late and left out."""
+    path, table_path, checkpoint = (work_folder(spark, n) for n in ("stream-events", "events-table", "stream-state"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("event_ts"), "event_type")
+    t = merge.VersionedTable(spark, table_path)
+    early = (F.col("event_ts") <= ts(EVENT_CUT)) & (F.col("event_id") % 4 != 0)
+    for part in (early, ~early):
+        events.where(part).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        ingest.upsert_stream(stream, t, ["event_id"], lambda d: d, ["event_ts"], checkpoint, late=ingest.after_mark("event_ts")).awaitTermination()
+    return t.read().select("event_id", "event_type")
+
+
 @query
 def stream_leads_current(spark, sf_dir):
     path, table_path, checkpoint = (work_folder(spark, n) for n in ("stream-leads", "leads-table", "stream-state"))
@@ -668,3 +725,52 @@ def ingestion_run(spark, sf_dir):
     loaded = quality.row_counts({n: merge.VersionedTable(spark, f"{root}/tables/{n}").read() for n in ("orders", "companies", "order_items")})
     outcome = states.select(F.col("dataset").alias("table"), "status", "records", "bad_records")
     return loaded.join(outcome, "table", "full_outer")
+
+
+@query
+def ingestion_cursor_runs(spark, sf_dir):
+    """Three runs over the sources from stored marks: a part of the rows, then all, then nothing new."""
+    root = work_folder(spark, "cursor-runs")
+    orders, items, countries = dataset(spark, sf_dir, "src_orders"), dataset(spark, sf_dir, "order_items").withColumn("quantity", F.col("quantity").cast("int")), dataset(spark, sf_dir, "ref_countries")
+    first = [(contracts.ORDERS, orders.where(F.col("updated_at") <= ts(CUT))), (contracts.ORDER_ITEMS, items.where(F.col("id") <= 1_000_000)), (contracts.REF_COUNTRIES, countries)]
+    whole = [(contracts.ORDERS, orders), (contracts.ORDER_ITEMS, items), (contracts.REF_COUNTRIES, countries)]
+    states = None
+    for run_id, sources in (("run-1", first), ("run-2", whole), ("run-3", whole)):
+        one = ingestion.run_sources(spark, sources, root, run_id)
+        states = one if states is None else states.unionAll(one)
+    loaded = quality.row_counts({n: merge.VersionedTable(spark, f"{root}/tables/{n}").read() for n in ("orders", "order_items", "ref_countries")})
+    paths = spark.read.parquet(f"{root}/history/paths").groupBy("run_id", "dataset").agg(F.count("*").alias("n_paths"))
+    columns = spark.read.parquet(f"{root}/history/schemas").groupBy("run_id", "dataset").agg(F.count("*").alias("n_columns"))
+    out = states.select("run_id", "dataset", "status", "records", "watermark_before", "watermark_after").join(paths, ["run_id", "dataset"]).join(columns, ["run_id", "dataset"])
+    return out.join(loaded.select(F.col("table").alias("dataset"), "n_rows"), "dataset")
+
+
+@query
+def mart_tables(spark, sf_dir):
+    """Marts as tables of a database, read back by name; a table that is asked for and absent is listed with no rows."""
+    m, database = Models(spark, sf_dir), f"marts_{uuid.uuid4().hex[:12]}"
+    location = work_folder(spark, "mart-tables")
+    for name in ("dim_countries", "dim_companies", "fct_orders"):
+        warehouse.materialize_table(m[name], name, database, location)
+    made = {n: extract.warehouse_source(spark, n, database) for n in ("dim_countries", "dim_companies", "fct_orders")}
+    missing = quality.missing_tables(made, (*made, "dim_absent"))
+    return quality.row_counts({**made, **{n: warehouse.head_rows(made["dim_countries"], 0) for n in missing}, "peek": warehouse.head_rows(made["fct_orders"], 5)})
+
+
+@query
+def dq_conversions(spark, sf_dir):
+    """Purchases as lead conversions, some with an unknown company, country or no time."""
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    side = F.when(F.col("event_id") % 5 == 0, "S").otherwise("C")
+    c = e.select(
+        F.concat(F.lit("L"), F.col("user_id").cast("string")).alias("lead_id"), F.concat(side, F.col("user_id").cast("string")).alias("company_cuit"),
+        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("N"), (F.col("user_id") % 30).cast("string"))).alias("country_code"), F.when(F.col("event_id") % 10 != 1, F.col("ts")).alias("converted_at"),
+    )
+    checks = quality.business_checks({**_sources(spark, sf_dir), "lead_conversions": c})
+    return quality.run_checks({k: v for k, v in checks.items() if k.startswith("conversion")})
+
+
+@query
+def tolerant_flags(spark, sf_dir):
+    texts = F.element_at(F.array(*[F.lit(x) for x in (" Yes ", "T", "1", "true", "no", None, "0", "yess")]), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", tolerant_bool(texts).alias("flag"))

@@ -13,11 +13,11 @@ def materialize_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def materialize_table(df: DataFrame, name: str, database: str | None = None) -> DataFrame:
-    """A mart as a table that is rewritten whole; the database is made if absent."""
+def materialize_table(df: DataFrame, name: str, database: str | None = None, location: str | None = None) -> DataFrame:
+    """A mart as a table that is rewritten whole; the database is made if absent, in the warehouse or at ``location``."""
     spark = df.sparkSession
     if database:
-        spark.sql(f"create database if not exists {database}")
+        spark.sql(f"create database if not exists {database}" + (f" location '{location}'" if location else ""))
     full = f"{database}.{name}" if database else name
     df.write.mode("overwrite").saveAsTable(full)
     return spark.table(full)

@@ -68,21 +68,29 @@ def scan_leads_csv(spark: SparkSession, paths: list[str], run_id: str, ingested_
     return add_provenance(spark.read.schema(LEADS_TEXT).option("header", True).option("multiLine", False).csv(paths), run_id, ingested_at)
 
 
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every line (raw, file, line): its place in its file from 0, blank ones included.
+def raw_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a text reader, of files or of a stream of files, with their file and the start of their split."""
+    return lines.select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Lines (raw, file, start) to (raw, file, line): each one's place in its file from 0, blank ones included.
 
     Lines get an id that rises within a split; each split's lines are counted, and the
     running sum over a file's splits (a row for each split, not for each line) is added.
     """
-    lines = spark.read.text(paths).select(
-        F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"),
-    )
+    lines = lines.select("raw", "file", "start", F.monotonically_increasing_id().alias("id"))
     splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("file", "start", (before - F.col("least")).alias("shift"))
     return lines.join(splits, ["file", "start"]).select("raw", "file", (F.col("id") + F.col("shift")).alias("line"))
 
 
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Every line (raw, file, line) of the files."""
+    return number_lines(raw_lines(spark.read.text(paths)))
+
+
 def parse_weblogs(lines: DataFrame, run_id: str, ingested_at: str) -> DataFrame:
     """Lines (raw, file, line) to log rows and a column ``_bad`` for lines that aren't JSON objects; blank ones go."""
     text = stripped(F.expr("make_valid_utf8(cast(raw as string))"))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.expressions import ts
 from tidemark.operators.dedupe import keep_last
-from tidemark.operators.merge import VersionedTable, upsert
-from tidemark.sources.files import LEADS_TEXT, parse_weblogs
+from tidemark.operators.merge import VersionedTable
+from tidemark.sources.files import LEADS_TEXT, number_lines, parse_weblogs, raw_lines
+from tidemark.sources.workdir import staged
 
 
 def stream_leads(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -19,35 +21,68 @@ def stream_leads(spark: SparkSession, path: str, files_per_trigger: int = 100) -
 
 
 def stream_weblogs(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """New log lines (raw, file); lines are numbered and parsed batch by batch."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return lines.select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    """New log lines (raw, file, start); a file comes in one batch, where its lines are numbered and parsed."""
+    return raw_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
 def parsed_weblogs(lines: DataFrame, run_id: str, ingested_at: str) -> DataFrame:
-    """Good log rows of a batch; lines without an id get one from file and content, as a stream has no line numbers."""
-    keyed = lines.withColumn("line", F.xxhash64("raw"))
-    return parse_weblogs(keyed, run_id, ingested_at).where(~F.col("_bad")).drop("_bad")
+    """Good log rows of a batch; lines without an id get one from file and line number, as in batch reading."""
+    return parse_weblogs(number_lines(lines), run_id, ingested_at).where(~F.col("_bad")).drop("_bad")
 
 
-def upsert_stream(stream: DataFrame, table: VersionedTable, keys: list[str], prepare: Callable[[DataFrame], DataFrame], order: list[str], checkpoint: str, late: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Loads all files there are, then ends. A batch that is repeated is skipped: its id is in the table's log.
+def count_bad_lines(path: str) -> Callable[[DataFrame, str], None]:
+    """An audit of log batches: lines and bad lines by file, under ``path``; a repeated batch replaces its own counts."""
 
-    In a batch the newest row of a key counts; between batches the newest by ``order``
-    does, too, so a late older row doesn't replace a newer one.
+    def audit(batch: DataFrame, run_id: str) -> None:
+        rows = parse_weblogs(number_lines(batch), run_id, "")
+        counts = rows.groupBy("_source_file").agg(F.count("*").alias("n_lines"), F.sum(F.col("_bad").cast("long")).alias("n_bad"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={run_id.replace('/', '-')}")
+
+    return audit
+
+
+def after_mark(column: str, inclusive: bool = False) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The late-data policy of a cursor: rows from the table's high-water mark on; exclusive, ties at the mark are late, too.
+
+    Late rows, and rows without a value, are left out; all rows of the first batch are taken.
     """
 
+    def late(rows: DataFrame, current: DataFrame) -> DataFrame:
+        mark = current.agg(F.max(column)).first()[0]
+        if mark is None:
+            return rows
+        at = ts(str(mark)) if hasattr(mark, "isoformat") else F.lit(mark)
+        return rows.where(F.col(column) >= at if inclusive else F.col(column) > at)
+
+    return late
+
+
+def upsert_stream(
+    stream: DataFrame, table: VersionedTable, keys: list[str], prepare: Callable[[DataFrame], DataFrame], order: list[str], checkpoint: str,
+    late: Callable[[DataFrame, DataFrame], DataFrame] | None = None, audit: Callable[[DataFrame, str], None] | None = None,
+) -> StreamingQuery:
+    """Loads all files there are, then ends. A batch that is repeated is skipped: its run id is in the table's log.
+
+    The run id is the id of the query, which its checkpoint keeps, with the batch's number:
+    several streams may load one table, and a new checkpoint starts anew. In a batch the
+    newest row of a key counts; between batches the newest by ``order`` does, too, so a
+    late older row doesn't replace a newer one. ``late`` picks the batch's rows that the
+    table takes, given the table; ``audit`` gets each batch before it is loaded.
+    """
+    spark = stream.sparkSession
+
     def load(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"batch-{batch_id}"
-        if table.log().where(F.col("run_id") == run_id).limit(1).count():
-            return
-        rows, current = keep_last(prepare(batch), keys, order), table.read()
-        if current is None:
-            table.write(rows, run_id)
+        run_id = f"{spark.read.json(f'{checkpoint}/metadata').first()['id']}/{batch_id}"
+        if table.has_run(run_id):
             return
-        rows = late(rows, current) if late else rows
-        both = current.join(rows.select(*keys).distinct(), keys, "left_semi").unionByName(rows, allowMissingColumns=True)
-        table.write(upsert(current, keep_last(both, keys, order), keys), run_id)
+        if audit:
+            audit(batch, run_id)
+        rows, current = staged(keep_last(prepare(batch), keys, order), "batch"), table.read()
+        if current is not None:
+            rows = late(rows, current) if late else rows
+            older = current.join(rows.select(*keys).distinct(), keys, "left_semi")
+            rows = staged(keep_last(older.unionByName(rows, allowMissingColumns=True), keys, order), "batch")
+        table.upsert(rows, keys, run_id)
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
