@@ -279,8 +279,10 @@ def keep_one(docs: DataFrame, *, width: int = 5, least: float = 0.8, seed: int =
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id, then hash of the text, of each group of ``found`` (doc_id, text_hash, root)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    best = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__best"), F.col("first.text_hash").alias("__best_text"))
-    own = packed(docs, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__text"))
-    kept = own.join(best, F.col("__id").eqNullSafe(F.col("__best")) & (F.col("__text") == F.col("__best_text")), "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).select("__doc.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text"))).alias("first")
+    best = found.groupBy("root").agg(first).select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("none", "id", "text")])
+    doc_id = F.col("doc_id").cast("long")
+    own = packed(docs, doc_id.isNull().alias("__none"), F.coalesce(doc_id, F.lit(0)).alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__text"))
+    # both by the same columns, so that the texts are shuffled once
+    keys = ["__none", "__id", "__text"]
+    return own.join(best, keys, "left_semi").dropDuplicates(keys).select("__doc.*")
