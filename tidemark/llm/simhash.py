@@ -13,7 +13,7 @@ of its links, never all pairs: components stay whole and the output stays linear
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +173,23 @@ def _signed(bits: int) -> Column:
     return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def _band_cells(own: Column, band: int, segments: list[int], ranged: bool) -> Column:
+    """The cell of a band's counts ``own``, and with a range of one those one count higher in one segment."""
+    home = F.array(F.struct(F.xxhash64(F.lit(band), own).alias("cell"), F.lit(BOTH).alias("side")))
+    if not ranged:
+        return home
+    # in unary a count is 00, 01 or 11: shifted with a new bit it is one higher, but for 11, which stays
+    bits = F.array(*[_signed(1 << 2 * s) for s in segments])
+    higher = F.transform(bits, lambda b: own.bitwiseOR(F.shiftleft(own, 1).bitwiseOR(b).bitwiseAND(F.shiftleft(b, 1).bitwiseOR(b))))
+    probes = F.transform(F.filter(higher, lambda x: x != own), lambda x: F.struct(F.xxhash64(F.lit(band), x).alias("cell"), F.lit(RIGHT).alias("side")))
+    return F.concat(home, probes)
+
+
 def grid_cells(reach: int) -> Column:
     """Array of the (cell, side) of a fingerprint ``fp``: its own cell of each band's grid, and the cells in range that it probes.
 
@@ -181,17 +198,13 @@ def grid_cells(reach: int) -> Column:
     """
     bands = max(3, -(-(reach + 1) // 2))
     odd, high = F.lit(_ODD), F.shiftrightunsigned("fp", 1)
-    # in unary, a count is 00, 01 or 11
     counts = F.col("fp").bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(high).bitwiseAND(odd), 1))
-    cells = []
-    for i, segments in enumerate(np.array_split(np.arange(32), bands)):
-        own = counts.bitwiseAND(_signed(sum(3 << int(2 * s) for s in segments)))
-        cells.append(F.struct(F.xxhash64(F.lit(i), own).alias("cell"), F.lit(BOTH).alias("side")))
-        for s in segments.tolist() if i < reach + 1 - bands else ():
-            one, two = (own.bitwiseOR(_signed(1 << (2 * s + j))) for j in (0, 1))
-            higher = F.when(own.bitwiseAND(_signed(1 << 2 * s)) == 0, one).when(own.bitwiseAND(_signed(2 << 2 * s)) == 0, two)
-            cells.append(F.when(higher.isNotNull(), F.struct(F.xxhash64(F.lit(i), higher).alias("cell"), F.lit(RIGHT).alias("side"))))
-    return F.array_compact(F.array(*cells))
+
+    def band(c: Column, i: int, segments: list[int]) -> Column:
+        own = c.bitwiseAND(_signed(sum(3 << 2 * s for s in segments)))
+        return _bound(own, lambda x: _band_cells(x, i, segments, i < reach + 1 - bands))
+
+    return _bound(counts, lambda c: F.concat(*[band(c, i, s.tolist()) for i, s in enumerate(np.array_split(np.arange(32), bands))]))
 
 
 def dealt_cells(fps: DataFrame, *, reach: int = 4, hot: int = 16384) -> DataFrame:
