@@ -571,7 +571,7 @@ def test_keep_one_drops_copies_at_similarity_0_8_and_no_others(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [i for i in range(at) if i % 3 != 1]
 
 
-@pytest.mark.parametrize("hot", [4, 4096])
+@pytest.mark.parametrize("hot", [4, 16, 4096])
 def test_near_copies_equal_brute_force(spark, hot):
     rng = random.Random(12)
     sets = []
@@ -585,6 +585,15 @@ def test_near_copies_equal_brute_force(spark, hot):
     assert {i: got.get(i, i) for i in range(len(sets))} == joined(range(len(sets)), links)
 
 
+def test_sets_of_the_largest_tree_are_not_paired(spark):
+    """One tree needs no second deal; with three sets outside of it each of the others is dealt once."""
+    rows = [(i, 1, 25, i % 25, 0) for i in range(100)] + [(1000 + i, 2, 25, i % 25, 1000 if i < 97 else 1000 + i) for i in range(100)]
+    member = spark.createDataFrame(rows, "key long, cluster long, blocks int, b int, tree long")
+    dealt = collections.Counter((r["key"], r["side"]) for r in near_copies.second_deal(member, 8).collect())
+    want = {(1000 + i, 1): 1 for i in range(100)} | {(1000 + i, 0): 25 for i in range(97, 100)}
+    assert dealt == want
+
+
 # --- 6: packing
 
 
