@@ -585,6 +585,19 @@ def test_near_copies_equal_brute_force(spark, hot):
     assert {i: got.get(i, i) for i in range(len(sets))} == joined(range(len(sets)), links)
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_marked_rows_hold_all_keys(spark, bits):
+    """Every key is held; the two parts are all rows, nulls and repeats included; no key holds no row."""
+    rows = spark.createDataFrame([(i % 5000 if i % 7 else None, i % 3) for i in range(10_000)], "a long, b int")
+    keys = rows.where("a % 50 = 0 or a is null").distinct()
+    held, rest = (collections.Counter(map(tuple, common.marked(rows, keys, ["a", "b"], held=h, bits=bits).collect())) for h in (True, False))
+    wanted = set(map(tuple, keys.collect()))
+    assert held + rest == collections.Counter(map(tuple, rows.collect())) and wanted <= set(held) and not wanted & set(rest)
+    assert len(set(held) - wanted) < 200
+    assert common.marked(rows, keys.limit(0), ["a", "b"], held=True, bits=bits).count() == 0
+    assert common.marked(rows, keys.limit(0), ["a", "b"], held=False, bits=bits).count() == 10_000
+
+
 def test_sets_of_the_largest_tree_are_not_paired(spark):
     """One tree needs no second deal; with three sets outside of it each of the others is dealt once."""
     rows = [(i, 1, 25, i % 25, 0) for i in range(100)] + [(1000 + i, 2, 25, i % 25, 1000 if i < 97 else 1000 + i) for i in range(100)]

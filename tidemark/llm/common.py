@@ -34,6 +34,22 @@ def packed(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
 
 
+def marked(rows: DataFrame, keys: DataFrame, columns: list[str], *, held: bool, bits: int = 1 << 26) -> DataFrame:
+    """The rows whose key of ``columns`` may be among ``keys`` (``held``), or the rest, whose key surely isn't.
+
+    The keys' hashes are bits of a bitmap of ``bits`` bits, which alone is broadcast: 8 MB
+    at most, however many keys there are. It spares a shuffle of wide rows; with many more
+    keys than bits it spares less. The two parts are all rows of ``rows``.
+    """
+    place = F.pmod(F.xxhash64(*columns, F.lit(17)), F.lit(bits))
+    bucket, bit = F.shiftright(place, 15).alias("__bucket"), place.bitwiseAND(32767)
+    bitmap = keys.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    own = rows.withColumn("__bucket", bucket).join(F.broadcast(bitmap), "__bucket", "inner" if held else "left")
+    return own.where(found if held else ~found).select(*rows.columns)
+
+
 def word_count(text: str):
     """Number of words of a text column, null for null."""
     return F.regexp_count(F.col(text), F.lit(WORD)).cast("long")

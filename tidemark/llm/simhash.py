@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, small_batches, written
+from tidemark.llm.common import marked, packed, small_batches, written
 from tidemark.llm.components import connected_components, hub_join
 from tidemark.llm.near_copies import copy_roots, shingle_sets
 
@@ -292,10 +292,13 @@ def keep_one(docs: DataFrame, *, width: int = 5, least: float = 0.8, seed: int =
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id, then hash of the text, of each group of ``found`` (doc_id, text_hash, root)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text"))).alias("first")
-    best = found.groupBy("root").agg(first).select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("none", "id", "text")])
+    keys = ["__none", "__id", "__text"]
+    found = found.select("root", F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_hash").alias("__text"))
+    best = written(found.groupBy("root").agg(F.min(F.struct(*keys)).alias("first")).select("first.*"), "first-rows")
     doc_id = F.col("doc_id").cast("long")
     own = packed(docs, doc_id.isNull().alias("__none"), F.coalesce(doc_id, F.lit(0)).alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__text"))
-    # both by the same columns, so that the texts are shuffled once
-    keys = ["__none", "__id", "__text"]
-    return own.join(best, keys, "left_semi").dropDuplicates(keys).select("__doc.*")
+    # a row that is its group's first and the only one of its key stays where it is; the texts of the rest are shuffled
+    counted = found.groupBy(*keys).agg(F.count("*").alias("__n")).join(best.withColumn("__best", F.lit(True)), keys, "left")
+    unsure = written(counted.where("__n > 1 or __best is null").select(*keys), "unsure-rows")
+    settled = marked(own, unsure, keys, held=True).join(best, keys, "left_semi").dropDuplicates(keys)
+    return marked(own, unsure, keys, held=False).unionAll(settled).select("__doc.*")
