@@ -180,6 +180,19 @@ def library_ids(path, text):
     return tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
+def test_packed_bits_lie_side_by_side_at_every_width():
+    rng = np.random.default_rng(5)
+    for w in range(1, 33):
+        values = rng.integers(0, 1 << w, (3, token_files.BLOCK), np.uint64).astype(np.uint32)
+        values[0, :2] = 0, (1 << w) - 1
+        rows = token_files._packed(values, w)
+        assert rows.shape == (3, w * token_files.BLOCK // 8)
+        for row, own in zip(rows, values, strict=True):
+            assert int.from_bytes(row.tobytes(), "little") == sum(int(v) << w * i for i, v in enumerate(own))
+        assert np.array_equal(token_files._unpacked(rows, w), values)
+    assert token_files._unpacked(np.zeros((0, 48), np.uint8), 3).shape[0] == 0
+
+
 def test_token_files_hold_every_document_in_order(spark, docs, texts):
     path = common.work_folder(spark, "t")
     token_files.write_token_files(docs, path, BYTES, segment_ids=3000, partitions=3)

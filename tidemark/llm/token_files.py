@@ -36,6 +36,32 @@ def _groups(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(w), np.flatnonzero(width == w)
 
 
+def _packed(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values as rows of bytes, ``w`` bits a value, lowest first: eight values fill ``w`` bytes."""
+    eights = np.ascontiguousarray(values.reshape(-1, 8).T).astype(np.uint64)
+    out = np.zeros((w, eights.shape[1]), np.uint8)
+    for j, value in enumerate(eights):
+        at, shift = divmod(j * w, 8)
+        value <<= shift
+        for k in range(at, -(-(shift + w) // 8) + at):
+            out[k] |= value.astype(np.uint8)
+            value >>= 8
+    return out.T.reshape(len(values), values.shape[1] * w // 8)
+
+
+def _unpacked(rows: np.ndarray, w: int) -> np.ndarray:
+    """The values of rows of bytes that ``_packed`` made."""
+    columns = np.ascontiguousarray(rows.reshape(-1, w).T).astype(np.uint64)
+    out = np.empty((8, columns.shape[1]), np.uint32)
+    for j in range(8):
+        at, shift = divmod(j * w, 8)
+        value = columns[at] >> shift
+        for k in range(1, -(-(shift + w) // 8)):
+            value |= columns[at + k] << (8 * k - shift)
+        out[j] = value & ((1 << w) - 1)
+    return out.T.reshape(len(rows), rows.shape[1] * 8 // w)
+
+
 def encode_ids(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     """Unsigned 32-bit ids as one payload: magic, count, index, packed blocks with their exceptions."""
     n = len(ids)
@@ -62,9 +88,7 @@ def encode_ids(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     body = np.zeros(int(starts[-1]), np.uint8)
     low = off & limit[:, None].astype(np.uint32)
     for w, own in _groups(width):
-        bits = np.unpackbits(low[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4), axis=2, bitorder="little", count=w)
-        packed = np.packbits(bits.reshape(len(own), BLOCK * w), axis=1, bitorder="little")
-        body[starts[own][:, None] + np.arange(w * (BLOCK // 8))] = packed
+        body[starts[own][:, None] + np.arange(w * (BLOCK // 8))] = _packed(low[own], w)
     if len(rows):
         turn = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = starts[rows] + width[rows].astype(np.int64) * (BLOCK // 8) + turn * 5
@@ -86,10 +110,7 @@ def decode_ids(payload: bytes, first_block: int = 0, n_blocks: int | None = None
     starts, width = index["start"].astype(np.int64), index["width"]
     out = np.zeros((len(index), BLOCK), np.uint32)
     for w, own in _groups(width):
-        packed = body[starts[own][:, None] + np.arange(w * (BLOCK // 8))]
-        bits = np.zeros((len(own), BLOCK, 32), np.uint8)
-        bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-        out[own] = np.packbits(bits, axis=2, bitorder="little").reshape(len(own), BLOCK * 4).view("<u4")
+        out[own] = _unpacked(body[starts[own][:, None] + np.arange(w * (BLOCK // 8))], w)
     counts = index["exceptions"].astype(np.int64)
     if counts.any():
         rows = np.repeat(np.arange(len(index)), counts)
