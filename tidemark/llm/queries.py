@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, mixing, packing, quality_rank, quality_rules, simhash, token_counts, token_files, toxicity, vector_search
-from tidemark.llm.common import work_folder
+from tidemark.llm import language_id, lexical_search, mixing, packing, prefix_trie, quality_rank, quality_rules, simhash, token_counts, token_files, toxicity, vector_search
+from tidemark.llm.common import work_folder, written
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -73,13 +73,24 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     return language_id.predict_language(docs, model).select("doc_id", quality_rank.held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark, sf_dir: str) -> DataFrame:
+    turns, lengths = prefix_trie.rebuilt_turns(prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations")))
+    nodes = prefix_trie.conversation_trie(turns, lengths)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_lexical_search(spark, sf_dir: str) -> DataFrame:
+    index = written(lexical_search.index_documents(_table(spark, sf_dir, "documents")), "lexical-index")
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_quality_ranking, op4_near_duplicates, op5_toxicity, op6_pack, op7_quality_rules, op8_token_counts, op9_vector_search, op10_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_quality_ranking, op4_near_duplicates, op5_toxicity, op6_pack, op7_quality_rules, op8_token_counts, op9_vector_search, op10_language_id, op11_prefix_trie, op12_lexical_search, pipeline)}
 
 ORACLE_SQL = {
     "op9_vector_search": """
@@ -88,4 +99,33 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::doub
 s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 20""",
+    # DuckDB has no crc32: the bits of its polynomial, one byte after another
+    "op11_prefix_trie": r"""
+with recursive bytes as (select conv_id, conv_id::varchar as s, 0 as i, 4294967295::bigint as c from (select distinct conv_id from conversations where conv_id is not null)
+    union all select conv_id, s, i + 1, list_reduce([xor(c, ascii(s[i + 1]))::bigint, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: xor(x >> 1, (x & 1) * 3988292384)) from bytes where i < length(s)),
+h as (select conv_id, conv_id - conv_id % 20 as base, case when conv_id % 20 = 0 then 0 else xor(c, 4294967295) % 4 end as h from bytes where i = length(s)),
+t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos from conversations where conv_id is not null),
+b as (select h.conv_id, 0 as own, pos, role, text from h join t on t.conv_id = h.base and t.pos <= h.h
+    union all select h.conv_id, 1, pos, role, text from h join t using (conv_id) where pos > h.h),
+r as (select conv_id, row_number() over (partition by conv_id order by own, pos) as d, {'role': role, 'text': text} as turn from b),
+w as (select h.conv_id, coalesce(list(turn order by d) filter (d is not null), []) as turns from h left join r using (conv_id) group by h.conv_id),
+p as (select conv_id, d, turns[:d] as prefix, len(turns) = d as last from (select conv_id, turns, unnest(range(len(turns) + 1)) as d from w)),
+n as (select prefix, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '') as ends from p group by prefix),
+k as (select prefix[:len(prefix) - 1] as prefix, count(*) as n_children from n where depth > 0 group by 1),
+f as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(prefix[depth].text, '[^\x20\x09-\x0D]+')) end as saved from n left join k using (prefix)),
+u as (select prefix[:a] as prefix, saved, n_children from (select prefix, saved, n_children, unnest(range(depth + 1)) as a from f)),
+x as (select prefix, sum(saved)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves from u group by prefix)
+select f.conv_id, f.depth::bigint as depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) as ends_sha256
+from f join x using (prefix) left join f q on f.depth > 0 and q.prefix = f.prefix[:f.depth - 1]""",
+    "op12_lexical_search": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+p as (select r, any_value(doc_id) as doc_id, term, count(*) as tf from (select r, doc_id, unnest(terms) as term from d) group by r, term),
+l as (select r, len(terms)::bigint as n from d where len(terms) > 0),
+s as (select count(*)::bigint as total, sum(n)::bigint as words from l),
+m as (select r, 10 + (90 * n * total) // words as m from l cross join s),
+w as (select term, floor(1000 * ln((2 * any_value(total) + 2) / (2 * count(*) + 1)))::bigint as w from p cross join s group by term),
+q as (select distinct item_id, term from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)),
+x as (select item_id, r, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join p using (term) join w using (term) join m using (r) group by item_id, r),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from x where score > 0)
+select item_id, rank::integer as rank, doc_id, score from k where rank <= 10""",
 }
