@@ -9,6 +9,8 @@ from tidemark.sources.workdir import work_folder
 
 #: Fixed value: a word is a run of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Of the bytes of UTF-8 digits, letters and those beyond ASCII stay, A-Z in lower case; all others part terms.
+TERM_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b > 127 else 32 for b in range(256))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +52,11 @@ def marked(rows: DataFrame, keys: DataFrame, columns: list[str], *, held: bool,
     return own.where(found if held else ~found).select(*rows.columns)
 
 
+def terms_of(text: bytes | None) -> list[bytes]:
+    """The terms of a text in UTF-8, in order: maximal runs of digits, letters and characters beyond ASCII, A-Z in lower case."""
+    return (text or b"").translate(TERM_BYTES).split()
+
+
 def word_count(text: str):
     """Number of words of a text column, null for null."""
     return F.regexp_count(F.col(text), F.lit(WORD)).cast("long")

@@ -24,10 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, written
+from tidemark.llm.common import small_batches, terms_of, written
 
-#: Bytes of terms stay, A-Z become lower case, all others part terms: `[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+` of UTF-8.
-TERM_BYTES = bytes(ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalnum() else b if b > 127 else 32 for b in range(256))
 #: A sketch has between 2^6 and 2^18 coordinates, 32 or more for each distinct term below that; most are zero, which Parquet compresses.
 LEAST_BITS, MOST_BITS, ROOM = 6, 18, 32
 #: The byte of a coordinate with so many occurrences or more; its impact is bounded by the limit of all.
@@ -36,11 +34,6 @@ INDEX = "doc_id long, n long, terms binary, counts binary, sketch binary"
 RESULT = "query long, doc_id long, score long"
 
 
-def terms_of(text: bytes | None) -> list[bytes]:
-    """The terms of a text in UTF-8, in order; A-Z in lower case."""
-    return (text or b"").translate(TERM_BYTES).split()
-
-
 def sketch_of(terms: list[bytes], counts: np.ndarray) -> np.ndarray:
     """The maximum of the counts, at most MANY, of the terms of each coordinate."""
     bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * len(terms) - 1).bit_length()))

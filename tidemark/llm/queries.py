@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, lexical_search, mixing, packing, prefix_trie, quality_rank, quality_rules, simhash, token_counts, token_files, toxicity, vector_search
+from tidemark.llm import decontamination, language_id, lexical_search, mixing, packing, prefix_trie, quality_rank, quality_rules, simhash, token_counts, token_files, toxicity, vector_search
 from tidemark.llm.common import work_folder, written
 
 
@@ -84,13 +84,20 @@ def op12_lexical_search(spark, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
 
 
+def op13_decontamination(spark, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    hit = F.coalesce(F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0).cast("long"))
+    items = F.sha2(F.array_join("__items", ","), 256)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), items.alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def pipeline(spark, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_quality_ranking, op4_near_duplicates, op5_toxicity, op6_pack, op7_quality_rules, op8_token_counts, op9_vector_search, op10_language_id, op11_prefix_trie, op12_lexical_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_quality_ranking, op4_near_duplicates, op5_toxicity, op6_pack, op7_quality_rules, op8_token_counts, op9_vector_search, op10_language_id, op11_prefix_trie, op12_lexical_search, op13_decontamination, pipeline)}
 
 ORACLE_SQL = {
     "op9_vector_search": """
@@ -128,4 +135,14 @@ q as (select distinct item_id, term from (select item_id, unnest(regexp_extract_
 x as (select item_id, r, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join p using (term) join w using (term) join m using (r) group by item_id, r),
 k as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from x where score > 0)
 select item_id, rank::integer as rank, doc_id, score from k where rank <= 10""",
+    "op13_decontamination": r"""
+with d as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words from documents),
+q as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+w as (select distinct item_id, words[p:p + 9] as phrase, least(len(words), 10) as n from (select item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as p from q where len(words) > 0)),
+g as (select r, p, n, words[p:p + n - 1] as phrase from (select r, words, n, unnest(range(1, len(words) - n + 2)) as p from d cross join (select distinct n from w))),
+o as (select r, p, g.n, item_id from g join w using (phrase)),
+h as (select r, count(distinct place) as n_hit from (select r, unnest(range(p, p + n)) as place from (select distinct r, p, n from o)) group by r),
+i as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from o group by r)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (r) left join i using (r)""",
 }
