@@ -99,8 +99,9 @@ class FMIndex:
     """
 
     def __init__(self, words: np.ndarray, places: np.ndarray, size: int, every: int = 16):
-        words = np.concatenate([[0], np.asarray(words, np.int64)])
-        places = np.concatenate([[-1], np.asarray(places, np.int64)])
+        # gaps at both ends, so that each word has a suffix after it and one before
+        words = np.concatenate([[0], np.asarray(words, np.int64), [0]])
+        places = np.concatenate([[-1], np.asarray(places, np.int64), [-1]])
         gap = words == 0
         gaps = int(gap.sum())
         order = suffix_order(np.where(gap, np.cumsum(gap) - 1, words + gaps - 1))
