@@ -1,17 +1,15 @@
-"""Loads: keyed upsert, snapshot replacement, incremental models, and versioned Parquet tables."""
+"""Loads: keyed upsert, snapshot replacement, incremental models; versioned tables are in ``versions``."""
 
 from __future__ import annotations
 
-import datetime as dt
-import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.expressions import ts
 from tidemark.operators.dedupe import keep_first
+from tidemark.operators.versions import CommitConflict, VersionedTable  # noqa: F401
 from tidemark.sources.workdir import staged
 
 
@@ -73,92 +71,3 @@ def incremental_merge(target: DataFrame, source: DataFrame, keys: list[str], tra
         at = F.lit(mark) if not hasattr(mark, "isoformat") else ts(str(mark))
         delta = source.where(cursor >= at if inclusive else cursor > at)
     return upsert(target, staged(transform(delta), "delta"), keys)
-
-
-class VersionedTable:
-    """A table of Parquet versions, in buckets by hash of its key; a row in ``log`` switches to a version.
-
-    A version holds the buckets that its run has changed, so an upsert reads and writes
-    those alone; ``write`` replaces the whole table. Readers take each bucket from the
-    newest logged version that wrote it: a failed write changes nothing, and a run that is
-    repeated writes a version of its own. The log has a row for each version.
-    """
-
-    LOG = T.StructType([
-        T.StructField("version", T.LongType()), T.StructField("run_id", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("buckets", T.IntegerType()),
-        T.StructField("changed", T.ArrayType(T.IntegerType())), T.StructField("schema", T.StringType()), T.StructField("committed_at", T.TimestampType()),
-    ])
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log")
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.LOG)
-
-    def version(self) -> int | None:
-        return self.log().agg(F.max("version")).first()[0]
-
-    def has_run(self, run_id: str) -> bool:
-        return not self.log().where(F.col("run_id") == run_id).isEmpty()
-
-    def _entries(self) -> list:
-        """The log from the newest whole version on, oldest first."""
-        log = self.log()
-        whole = log.where("changed is null").agg(F.max("version")).first()[0]
-        return [] if whole is None else log.where(F.col("version") >= whole).orderBy("version").collect()
-
-    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
-        """The table, or the rows of some of its buckets; None before the first version."""
-        entries = self._entries()
-        if not entries:
-            return None
-        newest = {b: e["version"] for e in entries[1:] for b in e["changed"]}
-        schema = T.StructType.fromJson(json.loads(entries[-1]["schema"]))
-        typed = T.StructType([*schema.fields, T.StructField("__bucket", T.IntegerType())])
-        out = None
-        for v in sorted({entries[0]["version"], *newest.values()}):
-            rows = self.spark.read.schema(typed).parquet(f"{self.path}/version={v}")
-            own = F.col("__bucket").isin([b for b, n in newest.items() if n == v])
-            rows = rows.where(own if v != entries[0]["version"] else ~F.col("__bucket").isin(list(newest)))
-            rows = (rows if buckets is None else rows.where(F.col("__bucket").isin(buckets))).drop("__bucket")
-            out = rows if out is None else out.unionAll(rows)
-        return out
-
-    def _commit(self, df: DataFrame | None, run_id: str, keys: list[str], buckets: int, changed: list[int] | None, schema: T.StructType, rows_per_file: int) -> int:
-        v = (self.version() or 0) + 1
-        if df is not None:
-            dealt = df.withColumn("__bucket", self._bucket(keys, buckets)).hint("rebalance", "__bucket")
-            dealt.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/version={v}")
-        entry = self.spark.createDataFrame([(v, run_id, keys, buckets, changed, schema.json(), dt.datetime.now())], self.LOG)
-        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-        return v
-
-    def _bucket(self, keys: list[str], buckets: int) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
-
-    def write(self, df: DataFrame, run_id: str, keys: list[str] | None = None, rows_per_file: int = 0) -> int:
-        """Writes the next version whole, then commits it; ``df`` may read the current version."""
-        return self._commit(df, run_id, keys or [], self.buckets, None, df.schema, rows_per_file)
-
-    def upsert(self, source: DataFrame, keys: list[str], run_id: str, rows_per_file: int = 0) -> int:
-        """Creates the table from the source's shape if absent; else rewrites the buckets of the source's keys.
-
-        The source is read three times: stage it if it costs more than a read.
-        """
-        entries = self._entries()
-        if not entries:
-            return self.write(source, run_id, keys, rows_per_file)
-        if entries[-1]["keys"] != list(keys):
-            return self.write(upsert(self.read(), source, keys), run_id, keys, rows_per_file)
-        buckets = entries[-1]["buckets"]
-        changed = sorted(r[0] for r in source.select(self._bucket(keys, buckets)).distinct().collect())
-        if not changed:
-            schema = T.StructType.fromJson(json.loads(entries[-1]["schema"]))
-            return self._commit(None, run_id, list(keys), buckets, [], schema, rows_per_file)
-        rows = upsert(self.read(changed), source, keys)
-        return self._commit(rows, run_id, list(keys), buckets, changed, rows.schema, rows_per_file)

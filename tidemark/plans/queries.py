@@ -665,7 +665,7 @@ def stream_late_rows(spark, sf_dir):
     """Files of a second load hold rows up to the table's mark, too: by the exclusive policy these are late and left out."""
     path, table_path, checkpoint = (work_folder(spark, n) for n in ("stream-events", "events-table", "stream-state"))
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("event_ts"), "event_type")
-    t = merge.VersionedTable(spark, table_path)
+    t = merge.VersionedTable(spark, table_path, cursors=("event_ts",))
     early = (F.col("event_ts") <= ts(EVENT_CUT)) & (F.col("event_id") % 4 != 0)
     for part in (early, ~early):
         events.where(part).write.mode("append").parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.expressions import ts
 from tidemark.operators.dedupe import keep_last
-from tidemark.operators.merge import VersionedTable
+from tidemark.operators.versions import CommitConflict, VersionedTable
 from tidemark.sources.files import LEADS_TEXT, number_lines, parse_weblogs, raw_lines
 from tidemark.sources.workdir import staged
 
@@ -41,14 +41,15 @@ def count_bad_lines(path: str) -> Callable[[DataFrame, str], None]:
     return audit
 
 
-def after_mark(column: str, inclusive: bool = False) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def after_mark(column: str, inclusive: bool = False) -> Callable[[DataFrame, DataFrame | VersionedTable], DataFrame]:
     """The late-data policy of a cursor: rows from the table's high-water mark on; exclusive, ties at the mark are late, too.
 
-    Late rows, and rows without a value, are left out; all rows of the first batch are taken.
+    The mark of a versioned table that keeps the cursor is read from its log. Late rows, and
+    rows without a value, are left out; all rows of the first batch are taken.
     """
 
-    def late(rows: DataFrame, current: DataFrame) -> DataFrame:
-        mark = current.agg(F.max(column)).first()[0]
+    def late(rows: DataFrame, current: DataFrame | VersionedTable) -> DataFrame:
+        mark = current.agg(F.max(column)).first()[0] if isinstance(current, DataFrame) else current.mark(column)
         if mark is None:
             return rows
         at = ts(str(mark)) if hasattr(mark, "isoformat") else F.lit(mark)
@@ -59,15 +60,17 @@ def after_mark(column: str, inclusive: bool = False) -> Callable[[DataFrame, Dat
 
 def upsert_stream(
     stream: DataFrame, table: VersionedTable, keys: list[str], prepare: Callable[[DataFrame], DataFrame], order: list[str], checkpoint: str,
-    late: Callable[[DataFrame, DataFrame], DataFrame] | None = None, audit: Callable[[DataFrame, str], None] | None = None,
+    late: Callable[[DataFrame, VersionedTable], DataFrame] | None = None, audit: Callable[[DataFrame, str], None] | None = None,
 ) -> StreamingQuery:
     """Loads all files there are, then ends. A batch that is repeated is skipped: its run id is in the table's log.
 
     The run id is the id of the query, which its checkpoint keeps, with the batch's number:
-    several streams may load one table, and a new checkpoint starts anew. In a batch the
-    newest row of a key counts; between batches the newest by ``order`` does, too, so a
-    late older row doesn't replace a newer one. ``late`` picks the batch's rows that the
-    table takes, given the table; ``audit`` gets each batch before it is loaded.
+    several streams may load one table, also at once, and a new checkpoint starts anew. In
+    a batch the newest row of a key counts; between batches the newest by ``order`` does,
+    too, so a late older row doesn't replace a newer one: a batch reads the table's files
+    that may hold its keys, and is held again if another writer changed these meanwhile.
+    ``late`` picks the batch's rows that the table takes, given the table; ``audit`` gets
+    each batch before it is loaded.
     """
     spark = stream.sparkSession
 
@@ -77,12 +80,19 @@ def upsert_stream(
             return
         if audit:
             audit(batch, run_id)
-        rows, current = staged(keep_last(prepare(batch), keys, order), "batch"), table.read()
-        if current is not None:
-            rows = late(rows, current) if late else rows
-            older = current.join(rows.select(*keys).distinct(), keys, "left_semi")
-            rows = staged(keep_last(older.unionByName(rows, allowMissingColumns=True), keys, order), "batch")
-        table.upsert(rows, keys, run_id)
+        rows = staged(keep_last(prepare(batch), keys, order), "batch")
+        for attempt in range(10):
+            version, own = table.version() or 0, rows
+            if version:
+                own = late(rows, table) if late else rows
+                older = table.read_keys(own.select(*keys))
+                own = staged(keep_last(older.unionByName(own, allowMissingColumns=True), keys, order), "batch")
+            try:
+                table.upsert(own, keys, run_id, expected=version)
+                return
+            except CommitConflict:
+                if attempt == 9:
+                    raise
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
