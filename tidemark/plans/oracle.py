@@ -316,3 +316,15 @@ ORACLE["tolerant_flags"] = "select event_id, event_id % 8 < 4 as flag from event
 
 # A body that begins with more common table expressions goes on where the models' list ends.
 ORACLE = {k: re.sub(r"\)\n\s*,\s", "),\n", v, count=1) if re.search(r"\)\n\s*,\s", v) else v for k, v in ORACLE.items()}
+
+ORACLE["upsert_key_types"] = full("select kind::integer as kind, id, case when id % 10 = 0 then 'CHANGED' else status end as status from src_orders, (select unnest([0, 1, 2]) as kind)")
+ORACLE["upsert_two_writers"] = full("select id, status, (id % 3 = 0)::integer + (id % 2 = 0)::integer as times, 1 as conflicts from src_orders")
+ORACLE["merge_on_read"] = full("select id, case when id % 15 = 0 then 'DAY4' when id % 14 = 0 then 'DAY3' when id % 13 = 0 then 'DAY2' when id % 12 = 0 then 'DAY1' when id % 11 = 0 then 'DAY0' else status end as status, total_amount, order_date, phase from src_orders, (select unnest(['deltas', 'folded', 'base']) as phase)")
+ORACLE["file_skipping"] = full("select id, order_id, case when id % 97 = 0 then 0 else quantity end as quantity, true as few_opened, true as many_present from order_items where id in ((select min(id) from order_items), (select max(id) from order_items))")
+
+ORACLE["ingestion_runs_repeated"] = full(f"""select 'run-1' as run_id, count(*) as n_rows, sum(id)::bigint as ids, 1::bigint as n_paths from src_orders where updated_at <= {CUT}
+union all select 'run-2', count(*), sum(id)::bigint, 1 from src_orders where updated_at > {CUT}""")
+ORACLE["ingestion_file_runs"] = """with n as (select count(*) as n, count(*) filter (event_id % 3 < 2) as n1 from events)
+select 'run-1' as run_id, 'completed' as status, n1 as records, '20240102_000000' as cursor, 2::bigint as n_files, n as n_rows, 1::bigint as listed from n
+union all select 'run-2', 'completed', n - n1, '20240103_000000', 1, n, 1 from n union all select 'run-3', 'completed', 0, '20240103_000000', null, n, 1 from n"""
+ORACLE["write_sorted_lines"] = full("select count(*) as n_rows, min(_source_line) as low, max(_source_line) as high, true as in_order from webserver_logs")

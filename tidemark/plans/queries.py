@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import contracts
@@ -737,6 +738,7 @@ def ingestion_cursor_runs(spark, sf_dir):
     states = None
     for run_id, sources in (("run-1", first), ("run-2", whole), ("run-3", whole)):
         one = ingestion.run_sources(spark, sources, root, run_id)
+        one = ingestion.run_sources(spark, sources, root, run_id)  # repeated, it changes nothing
         states = one if states is None else states.unionAll(one)
     loaded = quality.row_counts({n: merge.VersionedTable(spark, f"{root}/tables/{n}").read() for n in ("orders", "order_items", "ref_countries")})
     paths = spark.read.parquet(f"{root}/history/paths").groupBy("run_id", "dataset").agg(F.count("*").alias("n_paths"))
@@ -774,3 +776,140 @@ def dq_conversions(spark, sf_dir):
 def tolerant_flags(spark, sf_dir):
     texts = F.element_at(F.array(*[F.lit(x) for x in (" Yes ", "T", "1", "true", "no", None, "0", "yess")]), (F.col("event_id") % 8 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", tolerant_bool(texts).alias("flag"))
+
+
+@query
+def ingestion_runs_repeated(spark, sf_dir):
+    """Raw rows and paths of two runs after each was repeated: those of the first time."""
+    root = work_folder(spark, "repeated-runs")
+    orders = dataset(spark, sf_dir, "src_orders")
+    for run_id, df in (("run-1", orders.where(F.col("updated_at") <= ts(CUT))), ("run-1", orders), ("run-2", orders), ("run-1", orders), ("run-2", orders.limit(0))):
+        ingestion.run_sources(spark, [(contracts.ORDERS, df)], root, run_id)
+    paths = spark.read.parquet(f"{root}/history/paths")
+    rows = files.scan_manifest(spark, [r["path"] for r in paths.collect()], orders.schema).select("id", "*", F.regexp_extract("_metadata.file_path", "run_id=([^/]+)", 1).alias("run_id"))
+    counts = rows.groupBy("run_id").agg(F.count("*").alias("n_rows"), F.sum("id").alias("ids"))
+    return counts.join(paths.groupBy("run_id").agg(F.count("*").alias("n_paths")), "run_id")
+
+
+def _named_file(lines: DataFrame, path: str) -> None:
+    """Lines as one file of a given name."""
+    beside = work_folder(lines.sparkSession, "named-file")
+    lines.coalesce(1).write.text(beside)
+    of = lines.sparkSession._jvm.org.apache.hadoop.fs.Path
+    fs = of(beside).getFileSystem(lines.sparkSession._jsc.hadoopConfiguration())
+    fs.mkdirs(of(path).getParent())
+    fs.rename(fs.globStatus(of(f"{beside}/part-*"))[0].getPath(), of(path))
+
+
+@query
+def ingestion_file_runs(spark, sf_dir):
+    """Log files in dated folders, read by runs from the stored cursor: two days, then the third, then nothing new; folders of past days aren't listed."""
+    root, folder = work_folder(spark, "file-runs"), work_folder(spark, "dated-logs")
+    record = F.struct(F.concat(F.lit("e"), "event_id").alias("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.concat(F.lit("/"), "event_type").alias("request_path"))
+    lines = table(spark, sf_dir, "events").select("event_id", F.to_json(record).alias("value"))
+    new = {"run-1": [(0, "2024-01-01"), (1, "day=20240102")], "run-2": [(2, "2024-01-03")], "run-3": []}
+    states = None
+    for run_id, days in new.items():
+        for third, day in days:
+            _named_file(lines.where(F.col("event_id") % 3 == third).select("value"), f"{folder}/{day}/access_2024010{third + 1}_000000.jsonl")
+        one = ingestion.run_files(spark, [(contracts.WEBSERVER_LOGS, folder, files.scan_weblogs_jsonl)], root, run_id)
+        states = one if states is None else states.unionAll(one)
+    runs = states.select("run_id", "status", "records", F.substring_index("watermark_after", " ", 1).alias("cursor"))
+    read = spark.read.parquet(f"{root}/history/files").groupBy("run_id").agg(F.count("*").alias("n_files"))
+    n_rows = merge.VersionedTable(spark, f"{root}/tables/webserver_logs").read().count()
+    listed = files.dated_files(spark, folder, "20240103_000000").count()
+    return runs.join(read, "run_id", "left").withColumn("n_rows", F.lit(n_rows)).withColumn("listed", F.lit(listed))
+
+
+@query
+def write_sorted_lines(spark, sf_dir):
+    """Log rows dumped as JSON lines in the order of a column, and read back: each file's first row follows the file before."""
+    path = work_folder(spark, "sorted-lines")
+    logs = dataset(spark, sf_dir, "webserver_logs").select("_source_line", "event_id")
+    files.write_jsonl(logs, path, "_source_line")
+    rows = spark.read.schema("_source_line long, event_id string").json(path).select("*", F.input_file_name().alias("file"))
+    ranges = rows.groupBy("file").agg(F.min("_source_line").alias("low"), F.max("_source_line").alias("high"), F.count("*").alias("n"))
+    ordered = ranges.withColumn("after", F.col("low") > F.coalesce(F.lag("high").over(W.orderBy("file")), F.lit(-1).cast("long")))
+    return ordered.agg(F.sum("n").alias("n_rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("after").alias("in_order"))
+
+
+# --- tables of versions
+
+
+@query
+def upsert_key_types(spark, sf_dir):
+    """Upserts whose keys have another width, scale or type than the stored ones meet them by value."""
+    orders = dataset(spark, sf_dir, "src_orders").select("id", "status", "order_date")
+    out = None
+    stored = {"bigint": "int", "decimal(12,2)": "decimal(18,4)", "date": "timestamp_ntz"}
+    for i, (own, other) in enumerate(stored.items()):
+        key = F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")) if own == "date" else F.col("id")
+        t = merge.VersionedTable(spark, work_folder(spark, "typed-table"))
+        t.upsert(orders.select(key.cast(own).alias("k"), "id", "status"), ["k"], "first")
+        t.upsert(orders.where("id % 10 = 0").select(key.cast(other).alias("k"), "id", F.lit("CHANGED").alias("status")), ["k"], "second")
+        one = t.read().select(F.lit(i).alias("kind"), "id", "status")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+class _Interleaved(merge.VersionedTable):
+    """A writer that another one overtakes between the writing of its rows and its commit."""
+
+    meanwhile = None
+
+    def _commit(self, entry, seen):
+        if self.meanwhile:
+            work, self.meanwhile = self.meanwhile, None
+            work()
+        return super()._commit(entry, seen)
+
+
+@query
+def upsert_two_writers(spark, sf_dir):
+    """Three writers at once: two blind upserts follow one another, one whose rows were read is told, and reads again."""
+    path = work_folder(spark, "shared-table")
+    orders = dataset(spark, sf_dir, "src_orders").select("id", "status", F.lit(0).alias("times"))
+    late, other = _Interleaved(spark, path), merge.VersionedTable(spark, path)
+    late.meanwhile = lambda: other.upsert(orders.where("id % 4 = 1"), ["id"], "creates too")
+    late.upsert(orders.where("id % 4 = 0"), ["id"], "creates")
+    late.meanwhile = lambda: other.upsert(orders.where("id % 4 = 2"), ["id"], "second")
+    late.upsert(orders.where("id % 4 = 3"), ["id"], "first")
+    conflicts = 0
+    late.meanwhile = lambda: other.upsert(other.read().where("id % 3 = 0").withColumn("times", F.col("times") + 1), ["id"], "counts")
+    for _ in range(3):
+        version = late.version()
+        try:
+            late.upsert(late.read().where("id % 2 = 0").withColumn("times", F.col("times") + 1), ["id"], "counts too", expected=version)
+            break
+        except merge.CommitConflict:
+            conflicts += 1
+    return late.read().withColumn("conflicts", F.lit(conflicts))
+
+
+@query
+def merge_on_read(spark, sf_dir):
+    """Five daily deltas over a base: the rows before folding, with like deltas folded, and all in the base."""
+    orders = dataset(spark, sf_dir, "src_orders").select("id", "status", "total_amount", "order_date")
+    t = merge.VersionedTable(spark, work_folder(spark, "daily-table"), fold=9.0)
+    t.upsert(orders, ["id"], "base")
+    for day in range(5):
+        t.upsert(orders.where(F.col("id") % (11 + day) == 0).select("id", F.lit(f"DAY{day}").alias("status"), "total_amount", "order_date"), ["id"], f"day-{day}", compact=False)
+    out = t.read().withColumn("phase", F.lit("deltas"))
+    assert t.compact() and len(t.state().deltas) == 1, "deltas of like sizes weren't folded"
+    out = out.unionAll(t.read().withColumn("phase", F.lit("folded")))
+    assert t.compact(everything=True) and not t.state().deltas, "deltas weren't folded into the base"
+    return out.unionAll(t.read().withColumn("phase", F.lit("base")))
+
+
+@query
+def file_skipping(spark, sf_dir):
+    """The rows of some keys, with the number of files that were opened for them and of those there are."""
+    items = dataset(spark, sf_dir, "order_items").select("id", "order_id", "quantity")
+    t = merge.VersionedTable(spark, work_folder(spark, "skipping-table"), buckets=8)
+    t.write(items, "whole", ["id"], rows_per_file=max(1, items.count() // 160))
+    t.upsert(items.where("id % 97 = 0").withColumn("quantity", F.lit(0).cast("long")), ["id"], "delta")
+    wanted = items.select(F.min("id").alias("id")).unionAll(items.select(F.max("id")))
+    opened = sum(map(len, t.files_of(wanted).values()))
+    present = t.stats().select("file").distinct().count()
+    rows = t.read_keys(wanted)
+    return rows.select("*", F.lit(opened <= 8).alias("few_opened"), F.lit(present >= 100).alias("many_present"))

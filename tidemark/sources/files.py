@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +44,37 @@ def glob_sources(spark: SparkSession, patterns: list[str]) -> DataFrame:
     return found.distinct().withColumn("file_ts", file_ts_key("path"))
 
 
+def dated_folders(spark: SparkSession, root: str, since: str | None = None) -> list[str]:
+    """The folders under ``root`` that may hold files from ``since`` (a time as in file names) on.
+
+    A folder named by a day (yyyymmdd, yyyy-mm-dd, or such a day after =) before that of
+    ``since`` is left out; folders of other names always stay. Only ``root`` itself is
+    listed here: a name for each day.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for s in fs.listStatus(place) if fs.exists(place) else []:
+        name = s.getPath().getName()
+        day = re.fullmatch(r"(?:[^=]*=)?(\d{4})-?(\d{2})-?(\d{2})", name)
+        if s.isDirectory() and not name.startswith(("_", ".")) and not (day and since and since != NO_TS and "".join(day.groups()) < since[:8]):
+            found.append(s.getPath().toString())
+    return sorted(found)
+
+
+def dated_files(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
+    """Files (path, file_ts) in the folders of ``dated_folders``, at any depth; those of earlier days aren't listed.
+
+    Spark lists many folders in tasks (``spark.sql.sources.parallelPartitionDiscovery.threshold``),
+    so a run's listing grows with its new folders and not with all that there ever were.
+    """
+    folders = dated_folders(spark, root, since)
+    if not folders:
+        return spark.createDataFrame([], "path string, file_ts string")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+    return listed.select("path").withColumn("file_ts", file_ts_key("path"))
+
+
 def new_files(files: DataFrame, last_path: str | None, last_ts: str | None) -> DataFrame:
     """Files after the cursor: a later time, or the same time and a greater base name or path in its folder.
 
@@ -130,4 +163,5 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str, order: str) -> None:
+    """JSON lines whose files, by name, are in the order of a column: ranges of it are sorted apart, not all rows in one task."""
     df.orderBy(order).write.mode("overwrite").json(path)
