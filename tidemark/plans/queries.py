@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import contracts
 from tidemark.functions.expressions import cents, first_set, parse_ts_lenient, tolerant_bool, trade_lane, ts, user_cohort
-from tidemark.operators import clean, dedupe, merge, quality, rules, runlog
+from tidemark.operators import audit, clean, dedupe, merge, quality, rules, runlog
 from tidemark.plans import ingestion, marts, reports, staging, warehouse
 from tidemark.plans.fixtures import dataset, table
 from tidemark.sources import extract, files
@@ -427,7 +427,7 @@ def _sources(spark, sf_dir) -> dict[str, DataFrame]:
 
 @query
 def dq_business(spark, sf_dir):
-    return quality.run_checks(quality.business_checks(_sources(spark, sf_dir)))
+    return audit.run_audits(audit.business_audits(_sources(spark, sf_dir)))
 
 
 @query
@@ -438,14 +438,14 @@ def dq_business_broken(spark, sf_dir):
     t["products"] = t["products"].where("id % 100 <> 0")
     t["orders"] = t["orders"].where("id % 1000 <> 0").withColumn("total_amount", F.when(F.col("id") % 500 == 1, 0.0).otherwise(F.col("total_amount")))
     t["customers"] = t["customers"].withColumn("email", F.when(F.col("id") % 50 == 0, "x@example.com").otherwise(F.col("email"))).where("id <> 5")
-    return quality.run_checks(quality.business_checks(t))
+    return audit.run_audits(audit.business_audits(t))
 
 
 @query
 def dq_generic(spark, sf_dir):
     m = Models(spark, sf_dir)
     models = {n: m[n] for n in ("dim_countries", "dim_companies", "dim_customers", "dim_products", "dim_datetime", "fct_orders", "fct_order_items", "fct_webserver_logs")}
-    return quality.run_checks(quality.warehouse_tests(models | {"fct_marketing_leads_current": m["fct_leads_current"]}))
+    return audit.run_audits(audit.warehouse_audits(models | {"fct_marketing_leads_current": m["fct_leads_current"]}))
 
 
 @query
@@ -768,8 +768,7 @@ def dq_conversions(spark, sf_dir):
         F.concat(F.lit("L"), F.col("user_id").cast("string")).alias("lead_id"), F.concat(side, F.col("user_id").cast("string")).alias("company_cuit"),
         F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("N"), (F.col("user_id") % 30).cast("string"))).alias("country_code"), F.when(F.col("event_id") % 10 != 1, F.col("ts")).alias("converted_at"),
     )
-    checks = quality.business_checks({**_sources(spark, sf_dir), "lead_conversions": c})
-    return quality.run_checks({k: v for k, v in checks.items() if k.startswith("conversion")})
+    return audit.run_audits(audit.business_audits({**_sources(spark, sf_dir), "lead_conversions": c})[-1:])
 
 
 @query

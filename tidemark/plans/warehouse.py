@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tidemark.operators import quality
+from tidemark.operators import audit
 from tidemark.plans import marts, staging
 
 
@@ -67,4 +67,4 @@ def build(spark: SparkSession, sources: dict[str, DataFrame], database: str | No
     models = mart_models(views, as_of, loaded_at)
     if database:
         models = {name: materialize_table(df, name, database) for name, df in models.items()}
-    return quality.run_checks(quality.warehouse_tests(models))
+    return audit.run_audits(audit.warehouse_audits(models))
