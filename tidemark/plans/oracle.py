@@ -328,3 +328,19 @@ ORACLE["ingestion_file_runs"] = """with n as (select count(*) as n, count(*) fil
 select 'run-1' as run_id, 'completed' as status, n1 as records, '20240102_000000' as cursor, 2::bigint as n_files, n as n_rows, 1::bigint as listed from n
 union all select 'run-2', 'completed', n - n1, '20240103_000000', 1, n, 1 from n union all select 'run-3', 'completed', 0, '20240103_000000', null, n, 1 from n"""
 ORACLE["write_sorted_lines"] = full("select count(*) as n_rows, min(_source_line) as low, max(_source_line) as high, true as in_order from webserver_logs")
+
+#: The tables that the reports by deltas end with, in place of the models they come from.
+CHANGED_ORDERS = MODELS["stg_orders"].replace("from src_orders", """from (select * replace (case when id % 11 = 0 then 'CANCELLED' else status end as status, case when id % 13 = 0 then order_date + interval 1 month else order_date end as order_date,
+  case when id % 17 = 0 then 'C' || (customer_id % 100 + 1) else company_cuit end as company_cuit) from src_orders)""")
+CHANGED_ITEMS = MODELS["stg_order_items"].replace("quantity, unit_price, quantity * unit_price as line_amount", "case when id % 7 = 0 then quantity + 1 else quantity end as quantity, unit_price, case when id % 7 = 0 then quantity * unit_price / 2 else quantity * unit_price end as line_amount")
+CHANGED_LOGS = f"select * replace (case when _source_line % 5 = 0 then 'curl/9' else user_agent end as user_agent, case when _source_line % 10 = 0 then '-' else username end as username) from ({duckdb_view('webserver_logs')})"
+
+
+def with_tables(name: str, first: str, tables: dict[str, str]) -> str:
+    """A query's SQL from its own expression ``first`` on, over other tables."""
+    return re.sub(r"\)\n\s*,\s", "),\n", full("\n, " + ORACLE[name][ORACLE[name].rindex(f"\n{first} as (") + 1 :], tables), count=1)
+
+
+ORACLE["monthly_sales_by_deltas"] = with_tables("monthly_sales", "s", {"stg_orders": CHANGED_ORDERS})
+ORACLE["top_devices_by_deltas"] = with_tables("top_devices", "f", {"webserver_logs": CHANGED_LOGS})
+ORACLE["top_products_by_deltas"] = with_tables("top_products_in_top_country", "c", {"stg_orders": CHANGED_ORDERS, "stg_order_items": CHANGED_ITEMS, "webserver_logs": CHANGED_LOGS})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import contracts
 from tidemark.functions.expressions import cents, first_set, parse_ts_lenient, tolerant_bool, trade_lane, ts, user_cohort
-from tidemark.operators import audit, clean, dedupe, merge, quality, rules, runlog
+from tidemark.operators import audit, clean, dedupe, merge, quality, rollup, rules, runlog
 from tidemark.plans import ingestion, marts, reports, staging, warehouse
 from tidemark.plans.fixtures import dataset, table
 from tidemark.sources import extract, files
@@ -912,3 +912,53 @@ def file_skipping(spark, sf_dir):
     present = t.stats().select("file").distinct().count()
     rows = t.read_keys(wanted)
     return rows.select("*", F.lit(opened <= 8).alias("few_opened"), F.lit(present >= 100).alias("many_present"))
+
+
+# --- reports kept by deltas
+
+
+def _changed_orders(orders: DataFrame) -> DataFrame:
+    """Every eleventh order cancelled, every thirteenth a month later, every seventeenth with the next customer's company."""
+    i = F.col("order_id")
+    moved = F.when(i % 17 == 0, F.concat(F.lit("C"), (F.col("customer_id") % 100 + 1).cast("string"))).otherwise(F.col("company_cuit"))
+    status, date = F.when(i % 11 == 0, "CANCELLED").otherwise(F.col("order_status")), F.when(i % 13 == 0, F.add_months("order_date", 1)).otherwise(F.col("order_date"))
+    return orders.where((i % 11 == 0) | (i % 13 == 0) | (i % 17 == 0)).withColumns({"order_status": status, "order_date": date, "company_cuit": moved})
+
+
+def _reports_by_deltas(spark, sf_dir, *, logs: bool = False, sales: bool = False) -> tuple[rollup.ReportStore, Models]:
+    """Reports after three merges: a half, the other half, and changes to both; the last one is repeated."""
+    store, m = rollup.ReportStore(spark, work_folder(spark, "report-store")), Models(spark, sf_dir)
+    orders, items, requests = m["stg_orders"], m["stg_order_items"], m["stg_webserver_logs"]
+    if logs:
+        changed = requests.where("_source_line % 5 = 0").withColumn("user_agent", F.lit("curl/9")).withColumn("username", F.when(F.col("_source_line") % 10 == 0, "-").otherwise(F.col("username")))
+        for run, df in (("a", requests.where("_source_line % 2 = 0")), ("b", requests.where("_source_line % 2 = 1")), ("c", changed), ("c", changed)):
+            store.merge_logs(df, run)
+    if sales:
+        for run, df in (("a", items.where("order_item_id % 3 <> 0")), ("b", items.where("order_item_id % 3 = 0"))):
+            store.merge_items(df, run)
+    if sales or not logs:
+        for run, df in (("a", orders.where("order_id % 2 = 0")), ("b", orders.where("order_id % 2 = 1")), ("c", _changed_orders(orders)), ("c", _changed_orders(orders))):
+            store.merge_orders(df, run)
+    if sales:
+        fewer = items.where("order_item_id % 7 = 0").withColumns({"quantity": F.col("quantity") + 1, "line_amount": F.col("line_amount") / 2})
+        for _ in range(2):
+            store.merge_items(fewer, "c")
+    return store, m
+
+
+@query
+def monthly_sales_by_deltas(spark, sf_dir):
+    store, _ = _reports_by_deltas(spark, sf_dir)
+    return store.monthly_sales(F.lit(AS_OF))
+
+
+@query
+def top_devices_by_deltas(spark, sf_dir):
+    store, _ = _reports_by_deltas(spark, sf_dir, logs=True)
+    return store.top_devices()
+
+
+@query
+def top_products_by_deltas(spark, sf_dir):
+    store, m = _reports_by_deltas(spark, sf_dir, logs=True, sales=True)
+    return store.top_products_in_top_country(m["dim_customers"], m["dim_companies"], m["dim_products"])
