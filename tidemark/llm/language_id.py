@@ -130,18 +130,21 @@ def train(samples: list[tuple[str, bytes]], *, length: int = 256, embed: int = 8
 def train_language_id(docs: DataFrame, *, folds: int = 4, held_out: int = 2, per_language: int = 600, length: int = 256, **options) -> ByteNetwork | None:
     """Learns from one window each of at most ``per_language`` texts of each language outside the held-out fold.
 
-    The texts with the smallest hash are taken, the window's place in the text by hash too.
-    Null languages, ids and texts without letters take no part. From the number of rows of
-    a language follows a bound on the hash that lets through about twice the limit; only
-    such rows are shuffled, so one language may hold any share of the rows.
+    The texts with the smallest hash of id and text are taken, the window's place in the
+    text by hash too; equal rows count as one. Null languages, ids and texts without
+    letters take no part. From the number of a language's distinct rows follows a bound on
+    the hash that lets through about twice the limit, or all where there are fewer: only
+    such rows are shuffled, combined before it, so one language, id or text may hold any
+    share of the rows, and each language with a row to learn from is learned.
     """
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out))
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("__h"), "doc_id", "text")
-    counts = written(rows.groupBy("lang").agg(F.count("*").alias("__n")), "language-counts")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out) & F.col("text").rlike(LETTER))
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("__h"), "text")
+    counts = written(rows.groupBy("lang").agg(F.approx_count_distinct("__h", 0.05).alias("__n")), "language-counts")
     share = F.lit(2.0 * per_language + 50) / F.col("__n")
     low = F.pmod("__h", F.lit(1 << 40)) < share * (1 << 40)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - length)).cast("int") + 1
-    rows = rows.join(counts, "lang").where(low & F.col("text").rlike(LETTER)).select("lang", "__h", F.substr("text", place, F.lit(length)).alias("part"))
+    place = F.pmod(F.xxhash64("__h", F.lit(1)), F.greatest(F.lit(1), F.length("text") - length)).cast("int") + 1
+    # a row for each language: small, but as languages are data no broadcast is asked for
+    rows = rows.join(counts, "lang").where(low).groupBy("lang", "__h").agg(F.min(F.substr("text", place, F.lit(length))).alias("part"))
     rows = rows.withColumn("__turn", F.row_number().over(W.partitionBy("lang").orderBy("__h", "part"))).where(F.col("__turn") <= per_language)
     samples = [(r["lang"], r["part"].encode()[:length]) for r in rows.orderBy("lang", "__turn").collect()]
     return train(samples, length=length, **options)
