@@ -344,3 +344,4 @@ def with_tables(name: str, first: str, tables: dict[str, str]) -> str:
 ORACLE["monthly_sales_by_deltas"] = with_tables("monthly_sales", "s", {"stg_orders": CHANGED_ORDERS})
 ORACLE["top_devices_by_deltas"] = with_tables("top_devices", "f", {"webserver_logs": CHANGED_LOGS})
 ORACLE["top_products_by_deltas"] = with_tables("top_products_in_top_country", "c", {"stg_orders": CHANGED_ORDERS, "stg_order_items": CHANGED_ITEMS, "webserver_logs": CHANGED_LOGS})
+ORACLE["stream_newest_events"] = "select event_id, ts + (2 + event_id % 3) * interval 1 hour as event_ts, event_type || '+' || (2 + event_id % 3) as event_type from events"

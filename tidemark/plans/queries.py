@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from tidemark.plans import ingestion, marts, reports, staging, warehouse
 from tidemark.plans.fixtures import dataset, table
 from tidemark.sources import extract, files
 from tidemark.sources.workdir import work_folder
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, newest
 
 #: The day of the reports: the last order date at every scale; and what loaded_at is set to.
 AS_OF = "2001-08-01"
@@ -701,6 +702,20 @@ def stream_events_once(spark, sf_dir):
     return spark.read.schema(events.schema).parquet(out).select("event_id", "event_type")
 
 
+@query
+def stream_newest_events(spark, sf_dir):
+    """Events that come three times, the newest in the middle: the stream's table ends as the batch rule has it."""
+    path, checkpoint = work_folder(spark, "stream-events"), work_folder(spark, "stream-state")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("event_ts"), "event_type")
+    t = merge.VersionedTable(spark, work_folder(spark, "newest-table"))
+    for hours in (F.lit(0).cast("long"), 2 + F.col("event_id") % 3, F.lit(1).cast("long")):
+        later = events.withColumn("event_ts", F.timestamp_add("HOUR", hours, "event_ts")).withColumn("event_type", F.concat_ws("+", "event_type", hours.cast("string")))
+        later.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        newest.upsert_newest(stream, t, "event_id", "event_ts", checkpoint, dt.timedelta(days=40)).awaitTermination()
+    return t.read().select("event_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "event_type")
+
+
 # --- whole runs
 
 
