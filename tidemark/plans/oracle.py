@@ -345,3 +345,11 @@ ORACLE["monthly_sales_by_deltas"] = with_tables("monthly_sales", "s", {"stg_orde
 ORACLE["top_devices_by_deltas"] = with_tables("top_devices", "f", {"webserver_logs": CHANGED_LOGS})
 ORACLE["top_products_by_deltas"] = with_tables("top_products_in_top_country", "c", {"stg_orders": CHANGED_ORDERS, "stg_order_items": CHANGED_ITEMS, "webserver_logs": CHANGED_LOGS})
 ORACLE["stream_newest_events"] = "select event_id, ts + (2 + event_id % 3) * interval 1 hour as event_ts, event_type || '+' || (2 + event_id % 3) as event_type from events"
+ORACLE["price_then_valid"] = re.sub(r"\)\n\s*,\s", "),\n", full("""
+, listed as (select *, case when product_id % 3 = 0 then updated_at else created_at end as listed_at from stg_company_catalogs),
+p as (select company_cuit, product_id, listed_at, max(sale_price) as sale_price from listed group by all),
+i as (select order_item_id, product_id, company_cuit, order_ts from stg_order_items join stg_orders using (order_id))
+select order_item_id, round(p.sale_price * 100) as sale_price, p.listed_at from i asof left join p on i.company_cuit = p.company_cuit and i.product_id = p.product_id and i.order_ts >= p.listed_at"""), count=1)
+ORACLE["last_view_before_purchase"] = """with v as (select user_id, ts, max(event_id) as event_id from events where event_type = 'view' group by all), p as (select * from events where event_type = 'purchase')
+select p.event_id, p.user_id, v.event_id as view_id, v.ts as viewed_at from p asof left join v on p.user_id = v.user_id and p.ts > v.ts"""
+ORACLE["eligible_customers"] = full("select o.order_id, (select count(*) from stg_orders k where k.company_cuit = o.company_cuit and date_trunc('day', k.order_ts) + interval 6 month <= o.order_ts)::integer as n_eligible from stg_orders o")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import contracts
 from tidemark.functions.expressions import cents, first_set, parse_ts_lenient, tolerant_bool, trade_lane, ts, user_cohort
-from tidemark.operators import audit, clean, dedupe, merge, quality, rollup, rules, runlog
+from tidemark.operators import asof, audit, clean, dedupe, merge, quality, rollup, rules, runlog
 from tidemark.plans import ingestion, marts, reports, staging, warehouse
 from tidemark.plans.fixtures import dataset, table
 from tidemark.sources import extract, files
@@ -929,6 +929,38 @@ def file_skipping(spark, sf_dir):
     return rows.select("*", F.lit(opened <= 8).alias("few_opened"), F.lit(present >= 100).alias("many_present"))
 
 
+# --- matches in time
+
+
+@query
+def price_then_valid(spark, sf_dir):
+    """For each item the price of its company and product at the time of its order, from all that were ever listed."""
+    m = Models(spark, sf_dir)
+    items = m["stg_order_items"].join(m["stg_orders"].select("order_id", "company_cuit", "order_ts"), "order_id")
+    listed = m["stg_company_catalogs"].withColumn("listed_at", F.when(F.col("product_id") % 3 == 0, F.col("updated_at")).otherwise(F.col("created_at")))
+    found = asof.as_of_join(items, listed, ["company_cuit", "product_id"], "order_ts", "listed_at", ties=["sale_price"])
+    return found.select("order_item_id", F.round(F.col("matched.sale_price") * 100).alias("sale_price"), F.col("matched.listed_at").alias("listed_at"))
+
+
+@query
+def last_view_before_purchase(spark, sf_dir):
+    """For each purchase the user's last view before it; purchases before the first view have none."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    views, purchases = (e.where(F.col("event_type") == t).drop("event_type") for t in ("view", "purchase"))
+    found = asof.as_of_join(purchases, views, ["user_id"], "ts", "ts", ties=["event_id"], strict=True)
+    return found.select("event_id", "user_id", F.col("matched.event_id").alias("view_id"), F.col("matched.ts").cast("timestamp_ntz").alias("viewed_at"))
+
+
+@query
+def eligible_customers(spark, sf_dir):
+    """For each order how many of its company's users were known by then: the running number of the last one that is."""
+    orders = Models(spark, sf_dir)["stg_orders"].select("order_id", "company_cuit", "order_ts")
+    known = orders.select("company_cuit", F.add_months("order_ts", 6).cast("timestamp_ntz").alias("since"), F.col("order_id").alias("user_id"))
+    numbered = known.withColumn("n", F.row_number().over(W.partitionBy("company_cuit").orderBy("since", "user_id")))
+    found = asof.as_of_join(orders, numbered, ["company_cuit"], "order_ts", "since", ties=["user_id"])
+    return found.select("order_id", F.coalesce("matched.n", F.lit(0)).alias("n_eligible"))
+
+
 # --- reports kept by deltas
 
 
