@@ -226,3 +226,30 @@ def test_a_contract_prepares_its_own_dataset(spark):
     own = replace(contracts.ORDER_ITEMS, prepare=lambda df: df.withColumn("quantity", F.col("quantity") * 2))
     rows = spark.createDataFrame([(1, 1, 1, 4, 2.0)], "id long, order_id long, product_id long, quantity int, unit_price double")
     assert clean.process(rows, own).first()["quantity"] == 8
+
+
+def test_snapshots_replace_by_their_difference(spark):
+    t = table(spark, buckets=16)
+    first = spark.createDataFrame([(i, "x") for i in range(40)] + [(None, "n")], "k long, v string")
+    kinds = lambda df: {r["kind"]: r["n_keys"] for r in df.collect()}
+    assert kinds(t.replace(first, ["k"], "a")) == {"inserted": 41, "updated": 0, "deleted": 0, "unchanged": 0}
+    t.upsert(spark.createDataFrame([(3, "delta"), (50, "delta")], "k long, v string"), ["k"], "b", compact=False)
+    second = spark.createDataFrame([(i, "x" if i != 7 else "y") for i in range(1, 40)] + [(None, "n"), (60, "z")], "k int, v string")
+    assert kinds(t.replace(second, ["k"], "c")) == {"inserted": 1, "updated": 2, "deleted": 2, "unchanged": 38}
+    assert values(t.read(), "k", "v") == values(second, "k", "v")
+    changed = t.log().where("run_id = 'c'").first()["changed"]
+    assert 1 <= len(changed) <= 6
+    assert kinds(t.replace(second, ["k"], "d")) == {"inserted": 0, "updated": 0, "deleted": 0, "unchanged": 41} and t.has_run("d")
+    assert kinds(t.replace(second.limit(0), ["k"], "e"))["deleted"] == 41 and t.read().count() == 0
+    assert kinds(t.replace(first.withColumn("more", F.lit(1)), ["k"], "f"))["inserted"] == 41 and t.read().columns == ["k", "v", "more"]
+
+
+def test_a_bucket_that_two_snapshots_change_is_a_conflict(spark):
+    t = table(spark, buckets=1)
+    t.replace(spark.range(5), ["id"], "a")
+    slow = versions.VersionedTable(spark, t.path)
+    commit = slow._commit
+    slow._commit = lambda entry, seen: (t.upsert(spark.range(7, 8), ["id"], "b"), commit(entry, seen))[1]
+    with pytest.raises(versions.CommitConflict):
+        slow.replace(spark.range(3), ["id"], "c")
+    assert values(t.read(), "id") == [(0,), (1,), (2,), (3,), (4,), (7,)]

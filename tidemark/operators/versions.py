@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.workdir import staged
+
 LOG = T.StructType([
     T.StructField("version", T.LongType()), T.StructField("run_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("changed", T.ArrayType(T.IntegerType())),
     T.StructField("rows", T.LongType()), T.StructField("committed_at", T.StringType()), T.StructField("entry", T.StringType()),
@@ -95,6 +97,11 @@ def _value(plain: dict):
     return read(plain["value"])
 
 
+def _digest(df: DataFrame) -> Column:
+    """The sum of the rows' hashes: the same whatever their order."""
+    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))
+
+
 # --- the table ------------------------------------------------------------------------
 
 
@@ -111,7 +118,7 @@ class State:
         self.version = entry["version"]
         if entry["kind"] == "whole":
             self.base, self.deltas = [(entry, None)], []
-        elif entry["kind"] == "fold":
+        elif entry["kind"] in ("fold", "buckets"):
             self.deltas = [d for d in self.deltas if d["version"] not in entry["replaces"]]
             if entry["base"]:
                 every = range(entry["buckets"])
@@ -199,10 +206,10 @@ class VersionedTable:
     def _clash(self, mine: dict, other: dict) -> str | None:
         """Why a commit can't follow another that its rows weren't made from."""
         if mine["kind"] == "fold":
-            return "it replaced or folded versions" if other["kind"] in ("whole", "fold") else None
+            return "it replaced or folded versions" if other["kind"] in ("whole", "fold", "buckets") else None
         if other["kind"] == "fold":
-            return None
-        if mine["kind"] == "delta" and (other["kind"] == "whole" or other["schema"] != mine["from_schema"]):
+            return "it folded buckets that were read" if mine["kind"] == "buckets" and set(mine["changed"]) & set(other["changed"]) else None
+        if mine["kind"] in ("delta", "buckets") and (other["kind"] == "whole" or other["schema"] != mine["from_schema"]):
             return "it changed the table's shape"
         if mine["from_read"] and (mine["kind"] == "whole" or other["kind"] == "whole" or set(mine["changed"]) & set(other["changed"])):
             return "it changed buckets that were read"
@@ -362,7 +369,9 @@ class VersionedTable:
     def _put(self, kind: str, df: DataFrame, run_id: str, keys: list[str], buckets: int, rows_per_file: int, state: State, seen: int, from_read: bool, **more) -> int:
         entry = {"kind": kind, "run_id": run_id, "keys": list(keys), "buckets": buckets, "schema": df.schema.json(), "from_schema": state.head["schema"] if state.head else None, "from_read": from_read, "committed_at": dt.datetime.now(dt.timezone.utc).isoformat()}
         entry |= {"data": None, "rows": 0, "changed": [], "parts": 1, "marks": {}} | more
+        changed = entry["changed"]
         entry |= self._store(df, keys, buckets, rows_per_file, state.version, base=kind == "whole" or entry.get("base", False))
+        entry["changed"] = sorted({*changed, *entry["changed"]})
         return self._commit(entry, seen)
 
     def write(self, df: DataFrame, run_id: str, keys: list[str] | None = None, rows_per_file: int = 0, expected: int | None = None) -> int:
@@ -422,6 +431,59 @@ class VersionedTable:
         schema = T.StructType([*state.schema.fields, *added]).json() if added else state.head["schema"]
         return self._put("delta", own, run_id, keys, state.head["buckets"], rows_per_file, state, seen, expected is not None, schema=schema)
 
+    def replace(self, snapshot: DataFrame, keys: list[str], run_id: str) -> DataFrame:
+        """Makes the table equal to a whole snapshot by its difference; gives rows (kind, n_keys): inserted, updated, deleted, unchanged.
+
+        Hashes of rows are added up by bucket on both sides, and only buckets whose sums
+        differ are compared by key and written; of the rest unchanged counts the keys, too.
+        A snapshot of other columns, types or keys is written whole. Null keys are keys of
+        their own here, rows that share a key are compared together. The snapshot is read
+        up to three times: stage it if it costs more than a read. Of two writers the second
+        is a ``CommitConflict`` if their buckets meet.
+        """
+        state = self.state()
+        columns = None if not state.head else [f.name for f in state.schema.fields]
+        own = self._cast(snapshot, state) if columns == snapshot.columns and state.head["keys"] == list(keys) else None
+        if own is None:
+            old = None if not state.head else self._merged(state)
+            counts = self._difference(old, snapshot, keys)
+            self._put("whole", snapshot, run_id, keys, self.buckets, 0, state, state.version, True)
+            return counts
+        buckets, old = state.head["buckets"], self._merged(state)
+
+        def sums(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy(self._bucket(keys, buckets).alias("bucket")).agg(_digest(df).alias(name), F.countDistinct(F.struct(*keys)).alias(f"{name}_keys"))
+
+        both = sums(own, "new").join(sums(old, "old"), "bucket", "full").withColumn("same", F.col("new").eqNullSafe(F.col("old")))
+        rows = both.select("bucket", "same", F.coalesce("new_keys", F.lit(0)).alias("n")).collect()  # a row a bucket
+        changed = sorted(r["bucket"] for r in rows if not r["same"])
+        here = self._bucket(keys, buckets).isin(changed)
+        counts = self._difference(old.where(here), own.where(here), keys)
+        if changed:
+            inside = [d for d in state.deltas if set(d["changed"]) <= set(changed)]
+            partly = [d for d in state.deltas if d not in inside and set(d["changed"]) & set(changed)]
+            if partly:  # a delta that also has other buckets is folded first
+                self.compact(run_id=f"{run_id} (fold)", everything=True)
+                state, inside = self.state(), []
+            self._put("buckets", own.where(here), run_id, keys, buckets, 0, state, state.version, True, base=True, replaces=[d["version"] for d in inside], changed=changed, schema=state.head["schema"])
+        else:
+            self._put("delta", own.limit(0), run_id, keys, buckets, 0, state, state.version, False, schema=state.head["schema"])
+        rest = sum(r["n"] for r in rows if r["same"])
+        return counts.withColumn("n_keys", F.when(F.col("kind") == "unchanged", F.col("n_keys") + rest).otherwise(F.col("n_keys")))
+
+    def _difference(self, old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows (kind, n_keys) of two tables, staged, as the old one is about to be replaced."""
+
+        def by_key(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy(*[F.col(k).alias(f"{name}_{i}") for i, k in enumerate(keys)]).agg(_digest(df).alias(name))
+
+        old = new.limit(0) if old is None else old
+        on = [F.col(f"old_{i}").eqNullSafe(F.col(f"new_{i}")) for i in range(len(keys))]
+        pairs = by_key(old, "old").join(by_key(new, "new"), on, "full")
+        kind = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "deleted").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
+        kinds = self.spark.createDataFrame([(k,) for k in ("inserted", "updated", "deleted", "unchanged")], "kind string")
+        return staged(kinds.join(pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_keys")), "kind", "left").select("kind", F.coalesce("n_keys", F.lit(0)).alias("n_keys")), "difference")
+
     # folding
 
     def _plan(self, state: State) -> tuple[list[dict], bool]:

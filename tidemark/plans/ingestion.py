@@ -33,7 +33,7 @@ def load_dataset(spark: SparkSession, contract: Contract, raw: DataFrame, root:
     for target, key in (contract.targets or {contract.name: contract.key}).items():
         table = VersionedTable(spark, f"{root}/tables/{target}")
         if contract.mode == "full_snapshot":
-            table.write(replace_snapshot(table.read(), rows), run_id)
+            table.replace(replace_snapshot(None, rows), list(key), run_id)
         else:
             table.upsert(rows, list(key), run_id)
     return {"records": seen.get["n_rows"] - seen.get["n_bad"], "bad_records": seen.get["n_bad"]}

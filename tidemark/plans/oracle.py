@@ -353,3 +353,7 @@ select order_item_id, round(p.sale_price * 100) as sale_price, p.listed_at from
 ORACLE["last_view_before_purchase"] = """with v as (select user_id, ts, max(event_id) as event_id from events where event_type = 'view' group by all), p as (select * from events where event_type = 'purchase')
 select p.event_id, p.user_id, v.event_id as view_id, v.ts as viewed_at from p asof left join v on p.user_id = v.user_id and p.ts > v.ts"""
 ORACLE["eligible_customers"] = full("select o.order_id, (select count(*) from stg_orders k where k.company_cuit = o.company_cuit and date_trunc('day', k.order_ts) + interval 6 month <= o.order_ts)::integer as n_eligible from stg_orders o")
+ORACLE["snapshot_difference"] = full("""select kind, case kind when 'deleted' then (select count(*) from customers where id % 50 = 1) when 'updated' then (select count(*) from customers where id % 50 <> 1 and id % 60 = 2)
+  when 'inserted' then (select count(*) from customers where id % 70 = 3) else (select count(*) from customers where id % 50 <> 1 and id % 60 <> 2) end as n_keys,
+  true as equal, true as some_left from (select unnest(['inserted', 'updated', 'deleted', 'unchanged']) as kind)""")
+ORACLE["database_window"] = full("select id, order_id, product_id, quantity, true as even from order_items, (select max(order_id) // 2 as high from order_items) where order_id <= high and order_id > high // 4")

@@ -274,6 +274,19 @@ def clean_weblogs(spark, sf_dir):
     return clean.process(raw, contracts.WEBSERVER_LOGS).select("event_id", "username", "event_ts", "user_agent", "request_path", "status_code", "_source_line")
 
 
+@query
+def database_window(spark, sf_dir):
+    """Order items into a database through a staging table, swapped in twice, and a window of them read back by even ranges."""
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex[:12]};create=true"
+    items = dataset(spark, sf_dir, "order_items").select("id", "order_id", "product_id", "quantity")
+    extract.swap_jdbc(items.limit(10), url, "order_items")
+    extract.swap_jdbc(items.coalesce(4), url, "order_items")
+    high = items.agg(F.max("order_id")).first()[0] // 2
+    rows = extract.read_jdbc_evenly(spark, url, "order_items", "id", partitions=5, cursor="order_id", high=high, low=high // 4)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    return rows.withColumn("even", F.lit(len(sizes) == 5 and max(sizes) < 2 * min(sizes)))
+
+
 # --- files
 
 
@@ -915,6 +928,19 @@ def merge_on_read(spark, sf_dir):
     return out.unionAll(t.read().withColumn("phase", F.lit("base")))
 
 
+@query
+def snapshot_difference(spark, sf_dir):
+    """A snapshot replaces another by its difference: counts of each kind, and buckets without a change aren't written."""
+    customers = dataset(spark, sf_dir, "customers").select("id", "username", "email", "created_at")
+    t = merge.VersionedTable(spark, work_folder(spark, "snapshot-table"), buckets=256)
+    t.replace(customers, ["id"], "first")
+    second = customers.where("id % 50 <> 1").withColumn("email", F.when(F.col("id") % 60 == 2, "new@example.com").otherwise(F.col("email"))).unionByName(customers.where("id % 70 = 3").withColumn("id", -F.col("id")))
+    counts = t.replace(second, ["id"], "second")
+    written = t.log().where("run_id = 'second'").first()["changed"]
+    same = t.read().exceptAll(second).isEmpty() and second.exceptAll(t.read()).isEmpty()
+    return counts.select("*", F.lit(same).alias("equal"), F.lit(len(written) < 256).alias("some_left"))
+
+
 @query
 def file_skipping(spark, sf_dir):
     """The rows of some keys, with the number of files that were opened for them and of those there are."""
