@@ -62,7 +62,8 @@ def incremental_merge(target: DataFrame, source: DataFrame, keys: list[str], tra
 
     Without ``cursor`` the whole source is taken. ``inclusive`` takes the rows at the mark
     again (ties are redone); exclusive leaves them. ``floor`` is the mark of an empty target.
-    The transformed rows are staged, as their keys and they themselves are both read.
+    The transformed rows are staged, as their keys and they themselves are both read. So the
+    mark is read and the delta is computed when this is called, not when the result is read.
     """
     delta = source
     if cursor is not None:
