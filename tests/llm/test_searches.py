@@ -159,12 +159,19 @@ def test_sketches_bound_the_scores_and_spare_most_of_them(spark, sf):
     own.weigh(index.num_rows, Counter(t for terms in index["terms"].to_pylist() for t in terms.split(b" ")))
     for row in index.to_pylist():
         exact = [own.score(q, own.counts(row["terms"], row["counts"]), 100) for q in range(len(items))]
-        assert (own.bounds(np.frombuffer(row["sketch"], np.uint8), 100) >= exact).all()
+        assert (own.bounds(lexical_search.read_sketch(row["sketch"]), 100) >= exact).all()
     best = lexical_search.Best(len(items), 1)
     taken = lexical_search.search_batch(own, best, index, index.num_rows, sum(index["n"].to_pylist()))
     assert taken < 0.2 * index.num_rows * len(items)
 
 
+def test_stored_sketches_come_back():
+    for terms, counts in (([], []), ([b"a"], [3]), ([b"%d" % i for i in range(9000)], list(range(1, 9001)))):
+        sketch = lexical_search.sketch_of(terms, np.array(counts, np.int32))
+        assert np.array_equal(lexical_search.read_sketch(lexical_search.stored_sketch(sketch)), sketch)
+        assert len(terms) < 9000 or len(sketch) == 1 << lexical_search.MOST_BITS
+
+
 def test_many_occurrences_are_bounded():
     own = lexical_search.Queries([[b"a"]])
     own.weights[:] = 7

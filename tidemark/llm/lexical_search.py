@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, terms_of, written
 
-#: A sketch has between 2^6 and 2^18 coordinates, 32 or more for each distinct term below that; most are zero, which Parquet compresses.
+#: A sketch has between 2^6 and 2^18 coordinates, 32 or more for each distinct term below that; only those above zero are stored.
 LEAST_BITS, MOST_BITS, ROOM = 6, 18, 32
 #: The byte of a coordinate with so many occurrences or more; its impact is bounded by the limit of all.
 MANY, LIMIT = 255, 1_000_000
@@ -42,6 +42,19 @@ def sketch_of(terms: list[bytes], counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def stored_sketch(sketch: np.ndarray) -> bytes:
+    """A sketch's number of bits, then the coordinates above zero (32 bits each), then their bytes."""
+    own = np.flatnonzero(sketch)
+    return bytes([len(sketch).bit_length() - 1]) + own.astype("<i4").tobytes() + sketch[own].tobytes()
+
+
+def read_sketch(stored: bytes) -> np.ndarray:
+    out = np.zeros(1 << stored[0], np.uint8)
+    n = (len(stored) - 1) // 5
+    out[np.frombuffer(stored, "<i4", n, 1)] = np.frombuffer(stored, np.uint8, n, 1 + 4 * n)
+    return out
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {c: [] for c in ("n", "terms", "counts", "sketch")}
@@ -51,7 +64,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows["n"].append(int(counts.sum(dtype=np.int64)))
             rows["terms"].append(b" ".join(found))
             rows["counts"].append(counts.tobytes())
-            rows["sketch"].append(sketch_of(list(found), counts).tobytes())
+            rows["sketch"].append(stored_sketch(sketch_of(list(found), counts)))
         columns = [batch["doc_id"], pa.array(rows["n"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in ("terms", "counts", "sketch"))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "terms", "counts", "sketch"])
 
@@ -142,7 +155,7 @@ def search_batch(queries: Queries, best: Best, batch: pa.RecordBatch, n: int, to
     """Adds a batch of index rows to ``best``; gives the number of exact scores that it took."""
     ids, sizes, sketches = batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["sketch"]
     lengths = [10 + 90 * size * n // total for size in sizes]
-    bounds = np.stack([queries.bounds(np.frombuffer(s.as_buffer(), np.uint8), m) for s, m in zip(sketches, lengths, strict=True)])
+    bounds = np.stack([queries.bounds(read_sketch(s.as_py()), m) for s, m in zip(sketches, lengths, strict=True)])
     held: dict[int, np.ndarray] = {}
     taken = 0
     for q in np.flatnonzero((bounds >= best.least).any(axis=0)).tolist():
