@@ -354,6 +354,49 @@ def test_swaps_in_sentences_lower_the_change_of_the_score():
     assert toxicity.fit(plain).pairs >= 300_000  # also where no text names a group
 
 
+def test_penalty_works_on_names_that_no_text_has(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model, loose = toxicity.train_toxicity(docs, labels), toxicity.train_toxicity(docs, labels, penalty=0.0)
+    assert model.weights != loose.weights
+    held = sorted(d for d, y in held_out_labels(spark, "/root/testdata/sf0.1", "toxic").items() if y == 0)[:40]
+    texts_ = [r["text"] for r in docs.where(F.col("doc_id").isin(held)).orderBy("doc_id").collect()]
+    sentences = [s.strip() for t in texts_ for s in re.split(r"[.!?\n]+", t or "") if s.strip()][:200]
+    assert len(sentences) > 50
+    assert toxicity.mean_change(model, sentences) < 0.8 * toxicity.mean_change(loose, sentences)
+    named = [[m.score(f"a {k} sings") for k in toxicity.IDENTITY_TERMS] for m in (model, loose)]
+    assert max(named[0]) < 0.2 * max(named[1]) and max(named[1]) > 0.03
+
+
+def test_gradient_with_features_that_names_share():
+    rng = np.random.default_rng(5)
+    texts_ = [sorted(rng.choice(12, 4, replace=False).tolist()) for _ in range(30)]
+    frames, shared = [[k for k in x if k < 9] for x in texts_], [[0, 4], [], [4, 7]]
+    problem = toxicity.Problem(texts_, rng.integers(0, 2, 30).astype(float), frames, 12, 3, penalty=4.0, decay=0.1, prior=0.3, shared=shared)
+    rows, pairs = toxicity.Rows(frames, 12), np.column_stack([rng.integers(0, 2, 30), rng.integers(2, 4, 30)])
+    w, b, step = rng.normal(0, 1, 12), 0.3, 1e-6
+    g = problem.gradient(w, b, rows, pairs)
+    for i in range(13):
+        up, down = (problem.value(w + s * np.eye(13)[i][:12], b + s * np.eye(13)[i][12], rows, pairs) for s in (step, -step))
+        assert math.isclose((up - down) / (2 * step), g[i], rel_tol=1e-4, abs_tol=1e-7)
+
+    def score(frame, name):
+        own = set(frame) | (set(shared[name]) | {9 + name} if name < 3 else set())
+        return 1 / (1 + math.exp(-b - sum(w[k] for k in own)))
+
+    change = problem._change(w, b, rows, pairs)[0]
+    assert np.allclose(change, [score(f, i) - score(f, j) for f, (i, j) in zip(frames, pairs.tolist(), strict=True)])
+
+
+def test_runs_of_letters_by_brute_force():
+    names = toxicity.Names(["muslim", "sikh"], run=3)
+    assert set(names.keys("muslim")) == {"muslim", "+<mu", "+mus", "+usl", "+sli", "+lim", "+im>"}
+    assert set(names.keys("muslin")) == {"muslin", "+<mu", "+mus", "+usl", "+sli", "+lin", "+in>"}
+    assert set(names.keys("scoundrel")) == {"scoundrel", "scou-", "scoun-", "scound-"} | {f"+{x}" for x in ("<sc", "sco", "cou", "oun", "und", "ndr", "dre", "rel", "el>")}
+    assert names.keys("a") == ["a", "+<a>"] and toxicity.NAMES.keys("a") == ["a"]
+    assert names.text_keys("A sikh, a SIKH") == names.text_keys("sikh a") and names.text_keys(None) == set()
+
+
 def test_toxicity_learned_by_spark_equals_the_local_fit(spark):
     rows = [(i, t, y) for i, (t, y) in enumerate(named_rows("muslim", 300))]
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")

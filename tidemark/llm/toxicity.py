@@ -1,10 +1,13 @@
 """Operator 5: a toxicity classifier with a counterfactual penalty.
 
-Logistic regression on the presence of words and of their first letters. Names of groups
-are features of their own. Each labelled text gives a sentence with a place for a name,
-one that names a group if there is one; the place takes a name, then another one or none,
-and the squared change of the score is a penalty, so that a neutral mention of a group
-moves no score. So pairs exist whether or not a text names a group.
+Logistic regression on the presence of words, of their first letters and of their runs of
+three letters. Names of groups are features of their own and have the runs of three letters
+that other words have, too, so a name that no labelled text holds has a score as well. Each
+labelled text gives a sentence with a place for a name, one that names a group if there is
+one; the place takes a name, then another one or none, and the squared change of the score
+is a penalty, so that a neutral mention of a group moves no score. So pairs exist whether
+or not a text names a group, and runs that toxic words share with names lose their weight
+to features that no name has.
 """
 
 from __future__ import annotations
@@ -50,24 +53,40 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 class Names:
-    """Names of groups, and the beginnings of words that are no features, as a name has them."""
+    """Names of groups, the beginnings of words that are no features, as a name has them, and the length of runs of letters (0: none)."""
 
-    def __init__(self, terms: Iterable[str] = IDENTITY_TERMS, prefixes: tuple[int, ...] = (4, 5, 6)):
-        self.terms, self.prefixes = tuple(dict.fromkeys(t.lower() for t in terms)), prefixes
+    def __init__(self, terms: Iterable[str] = IDENTITY_TERMS, prefixes: tuple[int, ...] = (4, 5, 6), run: int = 0):
+        self.terms, self.prefixes, self.run = tuple(dict.fromkeys(t.lower() for t in terms)), prefixes, run
         self.known = frozenset(self.terms)
+        self.memo: dict[str, list[str]] = {}
         self.starts = frozenset(f"{w[:n]}-" for w in self.terms for n in prefixes if len(w) >= n)
 
     def keys(self, word: str) -> list[str]:
-        """A word's features: itself, and its first letters (which inflected forms share) unless a group's name has them, too.
+        """A word's features: itself, its first letters (which inflected forms share) unless a group's name has them, too, and its runs of letters.
 
-        A name of a group has no feature but itself, so that swapping it in a text swaps all it stands for.
+        A name of a group has itself and its runs; these are what swapping it in a text swaps.
         """
+        runs = self.runs(word)
         if word in self.known:
-            return [word]
-        return [word, *(p for n in self.prefixes if len(word) > n and (p := f"{word[:n]}-") not in self.starts)]
+            return [word, *runs]
+        return [word, *(p for n in self.prefixes if len(word) > n and (p := f"{word[:n]}-") not in self.starts), *runs]
+
+    def runs(self, word: str) -> list[str]:
+        """The distinct runs of ``run`` letters, marked at both ends of the word, each with a sign before it that no word has."""
+        marked = f"<{word}>"
+        return list(dict.fromkeys(f"+{marked[i : i + self.run]}" for i in range(len(marked) - self.run + 1))) if self.run else []
 
     def text_keys(self, text: str | None) -> set[str]:
-        return {k for w in set(_WORD.findall((text or "").lower())) for k in self.keys(w)}
+        """The features of a text's words; those of a word are kept for the texts that follow."""
+        if len(self.memo) > 200_000:
+            self.memo.clear()
+        found: set[str] = set()
+        for w in set(_WORD.findall((text or "").lower())):
+            own = self.memo.get(w)
+            if own is None:
+                own = self.memo[w] = self.keys(w)
+            found.update(own)
+        return found
 
     def frame(self, text: str | None) -> set[str]:
         """The features of a text's sentence around the place for a name: of the first that names a group, else of one by hash."""
@@ -80,6 +99,8 @@ class Names:
 
 
 NAMES = Names()
+#: Names and words with runs of three letters, which a name that was never seen shares with words that were.
+RUNS = Names(run=3)
 
 
 @dataclass
@@ -88,7 +109,7 @@ class Toxicity:
 
     weights: dict[str, float]
     intercept: float
-    names: Names = NAMES
+    names: Names = RUNS
     pairs: int = 0
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
@@ -155,12 +176,22 @@ class Problem:
     the log-odds where a text that names a group has the name swapped for each other
     one, and as often left out, plus ``penalty`` times the mean squared change of the
     score of a frame with names (a, b) in its place, b also none, drawn anew each round.
+    ``shared`` has for each name the numbers of the features that it shares with other
+    words. In a frame they change only where the frame itself hasn't got them; a text's
+    mention is penalised as if no other word of the text had them.
     """
 
-    def __init__(self, texts: list[list[int]], y: np.ndarray, frames: list[list[int]], width: int, n_names: int, *, penalty: float, decay: float, prior: float):
+    def __init__(self, texts: list[list[int]], y: np.ndarray, frames: list[list[int]], width: int, n_names: int, *, penalty: float, decay: float, prior: float, shared: list[list[int]] | None = None):
         self.x, self.frames, self.y = Rows(texts, width), frames, y
         self.width, self.first, self.penalty, self.decay = width, width - n_names, penalty, decay
         self.weight = np.where(y == 1, prior / (y == 1).sum(), (1 - prior) / (y == 0).sum())
+        # columns that names share with words, and which name has which; the row after the last name stands for none
+        self.common = np.array(sorted({k for own in shared or [] for k in own}), np.int64)
+        self.slot = np.full(width, -1)
+        self.slot[self.common] = np.arange(len(self.common))
+        self.has = np.zeros((n_names + 1, len(self.common)))
+        for i, own in enumerate(shared or []):
+            self.has[i, np.searchsorted(self.common, own)] = 1
         # each mention of a group in a labelled text, swapped for each other group that the text doesn't name; equal changes are counted
         named = np.zeros((len(texts), n_names))
         for i, own in enumerate(texts):
@@ -174,23 +205,35 @@ class Problem:
     def value(self, w: np.ndarray, b: float, rows: Rows, pairs: np.ndarray) -> float:
         z = self.x.times(w) + b
         loss = (self.weight * (np.logaddexp(0, z) - self.y * z)).sum() + self.decay * (w @ w) / (2 * self.width)
-        own = w[self.first :]
+        own = self._of_names(w)
         return float(loss + self.penalty * (own @ self.pull @ own) / 2 + self.penalty * (self._change(w, b, rows, pairs)[0] ** 2).mean())
 
-    def _change(self, w: np.ndarray, b: float, rows: Rows, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _of_names(self, w: np.ndarray) -> np.ndarray:
+        """What each name adds to the log-odds of a text that has none of its features."""
+        return w[self.first :] + self.has[:-1] @ w[self.common]
+
+    def _change(self, w: np.ndarray, b: float, rows: Rows, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The change of each pair's score, the slopes at both, and the shared features that each name brings to its frame."""
+        at = self.slot[rows.flat]
+        new = np.ones((rows.n, len(self.common)))
+        new[rows.owner[at >= 0], at[at >= 0]] = 0
+        brought = self.has[pairs] * new[:, None]
         # the number after the last name stands for none
-        z = (rows.times(w) + b)[:, None] + np.append(w[self.first :], 0)[pairs]
+        z = (rows.times(w) + b)[:, None] + np.append(w[self.first :], 0)[pairs] + brought @ w[self.common]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return p[:, 0] - p[:, 1], p * (1 - p)
+        return p[:, 0] - p[:, 1], p * (1 - p), brought
 
     def gradient(self, w: np.ndarray, b: float, rows: Rows, pairs: np.ndarray) -> np.ndarray:
         e = self.weight * (1 / (1 + np.exp(-np.clip(self.x.times(w) + b, -30, 30))) - self.y)
         g = np.append(self.x.back(e) + self.decay * w / self.width, e.sum())
-        g[self.first : self.width] += self.penalty * (self.pull @ w[self.first :])
+        moved = self.penalty * (self.pull @ self._of_names(w))
+        g[self.first : self.width] += moved
+        g[self.common] += moved @ self.has[:-1]
         if len(pairs):
-            change, slope = self._change(w, b, rows, pairs)
+            change, slope, brought = self._change(w, b, rows, pairs)
             pull = (2 * self.penalty / len(pairs) * change)[:, None] * slope * [1, -1]
             g[: self.width] += rows.back(pull.sum(axis=1)) + np.bincount((self.first + pairs).ravel(), pull.ravel(), self.width + 1)[: self.width]
+            g[self.common] += pull.ravel() @ brought.reshape(pull.size, -1)
             g[-1] += pull.sum()
         return g
 
@@ -203,7 +246,9 @@ def fit_rows(vocabulary: list[str], texts: list[list[int]], frames: list[list[in
     if not len(y) or y.min() == y.max():
         return None
     d, n_names = len(vocabulary), len(names.terms)
-    problem = Problem(texts, y, frames, d, n_names, penalty=penalty, decay=decay, prior=prior)
+    place = {k: i for i, k in enumerate(vocabulary)}
+    shared = [sorted(place[k] for k in names.runs(t) if k in place) for t in names.terms]
+    problem = Problem(texts, y, frames, d, n_names, penalty=penalty, decay=decay, prior=prior, shared=shared)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
@@ -214,7 +259,8 @@ def fit_rows(vocabulary: list[str], texts: list[list[int]], frames: list[list[in
         pairs = np.column_stack([one, np.where(rng.random(len(drawn)) < 0.5, other, n_names)])
         g = problem.gradient(w, b, Rows([frames[i] for i in drawn.tolist()], d), pairs)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        # gradients far below 1e-5 are the noise of the drawn swaps and must not become whole steps
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
         w -= step[:d]
         b -= step[d]
         # words other than names of groups only ever speak for toxicity
@@ -228,7 +274,7 @@ def numbers(text: str, place: dict[str, int], names: Names) -> tuple[list[int],
     return sorted(place[k] for k in names.text_keys(text) if k in place), sorted(place[k] for k in names.frame(text) if k in place)
 
 
-def fit(rows: list[tuple[str, int]], *, most: int = 2000, rare: int = 4, names: Names = NAMES, **options) -> Toxicity | None:
+def fit(rows: list[tuple[str, int]], *, most: int = 2000, rare: int = 4, names: Names = RUNS, **options) -> Toxicity | None:
     """Learns from (text, label) rows; None if a class is missing."""
     if len({label for _, label in rows}) < 2:
         return None
@@ -245,14 +291,14 @@ def mean_change(model: Toxicity, sentences: list[str], names: Names | None = Non
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = 3000, max_chars: int = 50_000, most: int = 2000, rare: int = 4, terms: Iterable[str] = IDENTITY_TERMS, **options
+    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, held_out: int = 0, per_class: int = 3000, max_chars: int = 50_000, most: int = 2000, rare: int = 4, terms: Iterable[str] = IDENTITY_TERMS, run: int = 3, **options
 ) -> Toxicity | None:
     """Learns from at most ``per_class`` labelled texts of each class outside the held-out fold.
 
     Features are counted and texts are turned into feature numbers in the executors; the
     driver gets the features that pass ``best`` and at most 2 * ``per_class`` rows of numbers.
     """
-    names = Names(terms)
+    names = Names(terms, run=run)
     rows = labelled_rows(docs, labels, label, folds=folds, held_out=held_out, per_class=per_class, max_chars=max_chars)
     small_batches(docs.sparkSession)
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
