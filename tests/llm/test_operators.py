@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -881,6 +882,24 @@ def test_sparse_and_long_vectors(spark, size):
     assert all(places is not None for places, _ in terms)
 
 
+def test_one_very_wide_vector_among_narrow_ones():
+    rng, width = np.random.default_rng(0), 400_000
+    vectors = [rng.integers(-3, 4, 5).astype(float) for _ in range(2000)]
+    vectors[7] = np.zeros(width)
+    vectors[7][[0, 3, width - 1]] = [1, 2, 3]
+    tracemalloc.start()
+    postings = vector_search.Postings(vectors, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 2,000 rows as wide as the widest would be 6.4 GB
+    query = np.zeros(width)
+    query[[0, 3, width - 1, 77]] = [0.5, -1, 2, 9]
+    for q in (query, query[:4], np.zeros(0)):
+        want = [64 * 64 * int(sum(2 * a * b for a, b in zip(q[:n].tolist(), v[:n].tolist(), strict=True))) // 2 for v in vectors for n in [min(len(v), len(q))]]
+        assert postings.scores(q)[0].tolist() == want
+    assert vector_search.Postings([], 64).scores(query)[0].tolist() == [] and vector_search.Postings([np.zeros(0)], 64).scores(query)[0].tolist() == [0]
+
+
 # --- 10: language
 
 

@@ -48,24 +48,36 @@ def ordered_bytes(v: int) -> bytes:
 
 
 class Postings:
-    """For each term the places and weights of the candidates that have it; places None: kept as a whole column, as most have it."""
+    """For each term the places and weights of the candidates that have it; places None: kept as a whole column, as most have it.
+
+    Vectors are laid end to end and sorted by term, so memory follows the number of
+    components, whatever the widest vector is. A term that no candidate has has no entry.
+    """
 
     def __init__(self, vectors: list[np.ndarray], scale: int):
-        n, width = len(vectors), max((len(x) for x in vectors), default=0)
-        self.vectors, self.scale, self.width, self.n = vectors, scale, width, n
-        dense = np.zeros((n, width))
-        if width:
-            dense[np.arange(width) < np.array([len(x) for x in vectors])[:, None]] = np.concatenate(vectors)
+        n, sizes = len(vectors), np.array([len(x) for x in vectors], np.int64)
+        self.vectors, self.scale, self.width, self.n = vectors, scale, int(sizes.max(initial=0)), n
+        flat = np.concatenate(vectors) if n else np.zeros(0)
         with np.errstate(over="ignore"):
-            dense = np.floor(dense * scale)
-        self.largest = np.abs(dense).max(axis=1, initial=0)
-        dense[self.largest >= SAFE] = 0
+            flat = np.floor(flat * scale)
+        place = np.repeat(np.arange(n), sizes)
+        self.largest = np.zeros(n)
+        np.maximum.at(self.largest, place, np.abs(flat))
         self.small = self.largest.max(initial=0) < 2**15
-        dense = dense.astype(np.int32 if self.small else np.int64)
+        kept = np.flatnonzero((flat != 0) & (self.largest < SAFE)[place])
+        term = kept - np.repeat(np.cumsum(sizes) - sizes, sizes)[kept]
+        kept = kept[np.argsort(term, kind="stable")]
+        term, place, weight = np.sort(term), place[kept], flat[kept].astype(np.int32 if self.small else np.int64)
+        #: The terms that a candidate has, ascending, and the postings of each.
+        self.known, first = np.unique(term, return_index=True)
         self.terms: list[tuple[np.ndarray | None, np.ndarray]] = []
-        for t in range(width):
-            own = np.flatnonzero(dense[:, t])
-            self.terms.append((None, np.ascontiguousarray(dense[:, t])) if 2 * len(own) > n else (own, dense[own, t]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(term)], strict=False):
+            if 2 * (b - a) > n:
+                column = np.zeros(n, weight.dtype)
+                column[place[a:b]] = weight[a:b]
+                self.terms.append((None, column))
+            else:
+                self.terms.append((place[a:b], weight[a:b]))
 
     def scores(self, query: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
         """The inner products, and the exact ones of the places where 64 bits may not hold the sum."""
@@ -78,13 +90,15 @@ class Postings:
         narrow = self.small and most.max(initial=0) < 2**30
         out = np.zeros(self.n, np.int32 if narrow else np.int64)
         buffer = np.empty_like(out)
-        for t in np.flatnonzero(q).tolist():
-            places, weights = self.terms[t]
+        _, at, of = np.intersect1d(np.flatnonzero(q), self.known, assume_unique=True, return_indices=True)
+        own = q[np.flatnonzero(q)[at]].tolist()
+        for x, i in zip(own, of.tolist(), strict=True):
+            places, weights = self.terms[i]
             if places is None:
-                np.multiply(weights, out.dtype.type(q[t]), out=buffer)
+                np.multiply(weights, out.dtype.type(x), out=buffer)
                 out += buffer
             else:
-                out[places] += weights * out.dtype.type(q[t])
+                out[places] += weights * out.dtype.type(x)
         exact = {}
         if not sure.all():
             own = [whole(x, self.scale) for x in query.tolist()]
