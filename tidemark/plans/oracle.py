@@ -280,7 +280,7 @@ LOG_ROW = "username, date_trunc('second', event_ts) as event_ts, request_path, s
 ORACLE["stream_weblogs_upsert"] = full(f"""select event_id, {LOG_ROW} where _source_line % 11 <> 0
 union all select 'made', {LOG_ROW} where _source_line % 11 = 0 union all select 'made', {LOG_ROW} where _source_line % 11 = 0 and request_path = '/click'""")
 ORACLE["stream_bad_lines"] = "select count(*) + count(*) filter (event_type = 'click') + bad as n_lines, bad as n_bad, 2::bigint as batches from events, (select count(*) filter (event_id % 50 = 0) + count(*) filter (event_id % 90 = 0) as bad from events) group by bad"
-ORACLE["stream_two_into_one"] = full(f"select event_id, {LOG_ROW} where _source_line % 11 <> 0")
+ORACLE["stream_two_into_one"] = ORACLE["stream_weblogs_upsert"]
 ORACLE["stream_late_rows"] = f"""with e as (select event_id, event_type, ts, ts <= {EVENT_CUT} and event_id % 4 <> 0 as early from events)
 select event_id, event_type from e where early or ts > (select max(ts) from e where early)"""
 ORACLE["stream_leads_current"] = full(CLEAN_LEADS.replace("contact_email desc, country_code desc", "country_code desc").replace("industry desc, ", "").replace("last_activity_at desc, ", ""))
