@@ -583,6 +583,23 @@ def test_hub_join_equals_a_join(spark):
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter((k, v, 4999 if k == 0 else v) for k, v in rows)
 
 
+def test_hub_join_spreads_hot_rows(spark):
+    """Where the other side is shuffled, the hub's rows still lie in all partitions."""
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+        found = df.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+        got = components.hub_join(df, found, "k", "v", 20_000).withColumn("part", F.spark_partition_id())
+        # top is counted, as a join of which nothing is read would be left out
+        parts = [r["n"] for r in got.where("k = 0").groupBy("part").agg(F.count("top").alias("n")).collect()]
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    assert sum(parts) == 10_000 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < 2 * min(parts)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 3)]
     got = {r["v"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -628,8 +645,8 @@ def test_keep_one_drops_copies_at_similarity_0_8_and_no_others(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [i for i in range(at) if i % 3 != 1]
 
 
-@pytest.mark.parametrize("hot", [4, 16, 4096])
-def test_near_copies_equal_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, heavy", [(4, 1 << 28), (16, 1 << 28), (4096, 1 << 28), (4096, 2000)])
+def test_near_copies_equal_brute_force(spark, hot, heavy):
     rng = random.Random(12)
     sets = []
     for size in (1, 2, 12, 30):
@@ -638,7 +655,7 @@ def test_near_copies_equal_brute_force(spark, hot):
     rows = [(i, bytearray(s.tobytes()), [1]) for i, s in enumerate(sets)]
     df = spark.createDataFrame(rows, "key long, shingles binary, cells array<long>")
     links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
-    got = {r["v"]: r["root"] for r in near_copies.copy_roots(df, hot=hot).collect()}
+    got = {r["v"]: r["root"] for r in near_copies.copy_roots(df, hot=hot, heavy=heavy).collect()}
     assert {i: got.get(i, i) for i in range(len(sets))} == joined(range(len(sets)), links)
 
 

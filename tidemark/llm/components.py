@@ -13,13 +13,14 @@ def hub_join(rows: DataFrame, found: DataFrame, key: str, spread: str, total: in
 
     Keys with more than a thousandth of all ``total`` rows, and than 1,000, are looked up
     in a broadcast table, which so has at most 1,000 rows, and their rows are spread by
-    the column ``spread``: no task gets all rows of a hub.
+    the column ``spread``: no task gets all rows of a hub. The other side's salt is made
+    of ``n``, as the optimiser takes a literal out of the join's keys, and the spread with it.
     """
     per = max(1000, total // 1000)
     values = F.struct(*[F.col(c) for c in found.columns if c not in (key, "n")])
     hot = F.broadcast(found.where(F.col("n") > per).select(key, values.alias("__hot")))
     dealt = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(997)) + 1).cast("long"))
-    cold = found.where(F.col("n") <= per).select(key, F.lit(0).cast("long").alias("__salt"), values.alias("__cold"))
+    cold = found.where(F.col("n") <= per).select(key, F.pmod(F.coalesce("n", F.lit(0)), F.lit(1)).cast("long").alias("__salt"), values.alias("__cold"))
     out = dealt.join(cold, [key, "__salt"], "left")
     return out.select(*rows.columns, F.coalesce("__hot", "__cold").alias("__found")).select(*rows.columns, "__found.*")
 
