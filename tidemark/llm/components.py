@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps; joins by hubs, and cells dealt in parts."""
 
 from __future__ import annotations
 
@@ -25,6 +25,31 @@ def hub_join(rows: DataFrame, found: DataFrame, key: str, spread: str, total: in
     return out.select(*rows.columns, F.coalesce("__hot", "__cold").alias("__found")).select(*rows.columns, "__found.*")
 
 
+#: Sides of a row in its cell: it is compared with those on the other side.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def dealt_parts(keyed: DataFrame, columns: list[str], hot: int) -> DataFrame:
+    """Rows (cell, part, side, *columns) of ``keyed`` (cell, side, *columns), a cell's part in one partition and together.
+
+    A cell with more than ``hot`` members is cut into blocks of about that many by the hash
+    of the first column; each block's own rows meet each block's members in a part of its
+    own, so no task gets an unbounded cell.
+    """
+    heavy = keyed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    heavy = written(heavy.select("cell", F.ceil(F.col("n") / hot).cast("int").alias("blocks")), "hot-cells")
+    if heavy.isEmpty():
+        parts = keyed.select("cell", F.lit(0).alias("part"), "side", *columns)
+    else:
+        split = keyed.join(heavy, "cell", "left").withColumn("b", F.pmod(F.xxhash64(columns[0], F.lit(7)), F.col("blocks")).cast("int"))
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        rights = F.transform(others, lambda o: F.struct((o * F.col("blocks") + F.col("b")).alias("part"), F.lit(RIGHT).alias("side")))
+        lefts = F.transform(others, lambda o: F.struct((F.col("b") * F.col("blocks") + o).alias("part"), F.lit(LEFT).alias("side")))
+        places = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("part"), "side"))).when(F.col("side") == BOTH, F.concat(lefts, rights)).otherwise(rights)
+        parts = split.select("cell", *columns, F.inline(places)).select("cell", "part", "side", *columns)
+    return parts.repartition("cell", "part").sortWithinPartitions("cell", "part")
+
+
 def _star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
     """One step: links neighbours to the smallest of a vertex and its neighbours (all larger ones, or all smaller ones)."""
     if large:

@@ -1,7 +1,12 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash candidates, every link checked exactly.
+"""Near copies by Jaccard similarity of word shingles: SimHash candidates by operator 4's method, every link checked exactly.
 
-Texts become sets of shingle hashes. Sets that share a band of minima are candidates;
-the candidates' components are the clusters inside which sets are compared exactly. A
+Texts become sets of shingle hashes, and sets become fingerprints of several words of 64
+bits, embedded as the counts of set bits in segments of two bits. A band of segments is a
+grid over its counts and over the sets' sizes, in which sets of similar size meet. Pairs of
+a cell pass the Manhattan bound, then the exact distance of the fingerprints. A similarity
+of 0.8 stands for an angle at which 15 % of the bits differ, so unlike operator 4's 4 of 64
+bits no bands can hold each such pair for sure; there are so many that next to none is lost.
+The linked sets' components are the clusters inside which sets are compared exactly. A
 cluster gives the edges of a spanning forest of its links, so the output stays linear.
 """
 
@@ -16,7 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import marked, small_batches, written
-from tidemark.llm.components import connected_components, hub_join
+from tidemark.llm.components import BOTH, LEFT, RIGHT, connected_components, dealt_parts, hub_join
+
+#: Columns of a set's place in a grid.
+NAMES = ["cell", "side", "key", "w0", "w1", "w2"]
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -31,29 +39,165 @@ def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)), np.uint64, len(words) - width + 1))
 
 
-def bands_of(own: np.ndarray, factors: np.ndarray, bands: int) -> list[int]:
-    """A hash of each band of minima, one minimum of hash times factor (odd, modulo 2^64) for each factor."""
-    low = np.full(len(factors), 2**64 - 1, np.uint64)
-    for at in range(0, len(own), 1024):
-        low = np.minimum(low, np.multiply.outer(factors, own[at : at + 1024]).min(axis=1))
-    rows = low.reshape(bands, -1)
-    return [xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)]
+#: Lowest bits of bytes, and of segments of two bits.
+_LANES, _ODD = np.uint64(0x0101010101010101), np.uint64(0x5555555555555555)
+#: Words of a fingerprint by which a pair is checked; bands are cut from all words.
+CHECKED = 3
+
+
+def wide_fingerprint(own: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes, a word of 64 bits for each of ``factors`` (odd): a bit is 1 if set in over half the mixed hashes."""
+    counts = np.zeros((len(factors), 8, 8), np.int64)
+    for at in range(0, len(own), 255 * 64):
+        x = factors[:, None] * own[at : at + 255 * 64]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        # eight counters of a byte each are added up at once, and 255 hashes fill no byte
+        edges = np.arange(0, x.shape[1], 255)
+        for bit in range(8):
+            lanes = np.add.reduceat((x >> np.uint64(bit)) & _LANES, edges, axis=1)
+            counts[:, :, bit] += lanes.view(np.uint8).reshape(len(factors), len(edges), 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > len(own), axis=-1, bitorder="little").reshape(-1).view("<u8")
 
 
-def shingle_sets(docs: DataFrame, *, width: int, seed: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, key (a hash of the shingle set), shingles (binary), size (bytes of these) and cells, a row for each row of ``docs``."""
+def unary_counts(fp: np.ndarray) -> np.ndarray:
+    """The counts of set bits in segments of two bits, side by side in unary (00, 01, 11): their Manhattan distance is the number of differing bits."""
+    high = fp >> np.uint64(1)
+    return ((fp | high) & _ODD) | ((fp & high & _ODD) << np.uint64(1))
+
+
+def shingle_sets(docs: DataFrame, *, width: int, seed: int, words: int) -> DataFrame:
+    """doc_id, text_hash, key (a hash of the shingle set), shingles (binary), size (bytes of these) and fp (``words`` longs), a row for each row of ``docs``."""
     small_batches(docs.sparkSession)
-    factors = np.random.default_rng(seed).integers(0, 2**64, bands * rows, np.uint64) | np.uint64(1)
+    factors = np.random.default_rng(seed).integers(0, 2**64, words, np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x, width, seed) for x in batch.column(2).to_pylist()]
             keys = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets), np.uint64, len(sets)).view(np.int64)
-            cells = [np.array(bands_of(s, factors, bands), np.uint64).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.nbytes for s in sets], pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "text_hash", "key", "shingles", "size", "cells"])
+            fps = np.array([wide_fingerprint(s, factors) for s in sets], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.nbytes for s in sets], pa.int64()), pa.array(list(fps), pa.list_(pa.int64()))], ["doc_id", "text_hash", "key", "shingles", "size", "fp"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, key long, shingles binary, size long, cells array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, key long, shingles binary, size long, fp array<long>")
+
+
+def grid_rows(fp: np.ndarray, size: np.ndarray, least: float, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of fingerprints (a row each), and whether a cell is a probe: ``bands`` a word, then the same with the next greater size.
+
+    Of two sets with a similarity of ``least`` or more the sizes' logarithms to the base
+    1 / ``least`` differ by at most one, so the lesser one's probe is in the greater one's cell.
+    """
+    counts = unary_counts(fp)
+    masks = [np.uint64(sum(3 << 2 * int(s) for s in band)) for band in np.array_split(np.arange(32), bands)]
+    own = np.stack([counts[:, w] & mask for w in range(counts.shape[1]) for mask in masks], axis=1)
+    step = np.floor(np.log(size) / (np.log(1 / least) * (1 + 1e-9))).astype(np.uint64)[:, None]
+
+    def mixed(level: np.ndarray) -> np.ndarray:
+        x = (own ^ (np.arange(own.shape[1], dtype=np.uint64) << np.uint64(8) | level) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+    return np.concatenate([mixed(step), mixed(step + np.uint64(1))], axis=1), np.repeat([False, True], own.shape[1])
+
+
+def set_cells(sets: DataFrame, *, least: float, bands: int) -> DataFrame:
+    """Rows (cell, side, key, a word for each of those checked) of ``sets`` (key, size in bytes, fp): own cells and probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = np.array(batch.column(2).to_pylist(), np.int64).view(np.uint64)
+            cells, probe = grid_rows(fp, batch.column(1).to_numpy() // 8, least, bands)
+            sides = np.tile(np.where(probe, RIGHT, BOTH).astype(np.int32), len(fp))
+            columns = [cells.reshape(-1).view(np.int64), sides, *(np.repeat(x, cells.shape[1]) for x in (batch.column(0).to_numpy(), *fp.view(np.int64).T[:CHECKED]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], NAMES)
+
+    return sets.where("size > 0").select("key", "size", "fp").mapInArrow(run, f"cell long, side int, key long, {', '.join(f'{c} long' for c in NAMES[3:])}")
+
+
+def near_links(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, reach: int, most: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that join what the links of one cell join: first the bound of all pairs, then the exact distance, then a forest."""
+    counts = unary_counts(fp)
+    left, right = np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT)
+    touched = np.zeros(len(keys), bool)
+    for at in range(0, len(left), max(1, most // max(1, len(right)))):
+        part = left[at : at + max(1, most // len(right))]
+        bound = sum(np.bitwise_count(counts[part, None, w] ^ counts[right, w]) for w in range(fp.shape[1]))
+        i, j = np.nonzero(bound <= reach)
+        i, j = part[i], right[j]
+        i, j = i[i != j], j[i != j]
+        hit = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= reach if len(i) else np.zeros(0, bool)
+        touched[i[hit]] = touched[j[hit]] = True
+    edges, rest = [], np.flatnonzero(touched)
+    while len(rest) > 1:
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            x = frontier.pop()
+            hit = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= reach
+            if hit.any():
+                edges.append((np.repeat(keys[x], hit.sum()), keys[rest[hit]]))
+                frontier.extend(rest[hit].tolist())
+                rest = rest[~hit]
+    return edges
+
+
+def small_links(run: np.ndarray, keys: np.ndarray, fp: np.ndarray, side: np.ndarray, reach: int, small: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The links of many cells of at most ``small`` rows (the same ``run``) at a time, a row with the k-th after it for each k."""
+    words = np.ascontiguousarray(fp.T)
+    counts = unary_counts(words)
+    own = (side & LEFT) > 0, (side & RIGHT) > 0
+    edges = []
+    for k in range(1, small):
+        same = run[k:] == run[:-k]
+        if not same.any():
+            break
+        i = np.flatnonzero(same & (own[0][k:] & own[1][:-k] | own[0][:-k] & own[1][k:]))
+        bound = sum(np.bitwise_count(c[i] ^ c[i + k]) for c in counts)
+        i = i[bound <= reach]
+        i = i[sum(np.bitwise_count(w[i] ^ w[i + k]) for w in words) <= reach]
+        if len(i):
+            edges.append((keys[i], keys[i + k]))
+    return edges
+
+
+def set_edges(cells: Iterator[pa.RecordBatch], reach: int, small: int = 64, rows_held: int = 65536) -> Iterator[pa.RecordBatch]:
+    """Edges from rows (cell, part, side, key, words) that come sorted, so that a cell's part stands together; the last, unfinished one is kept."""
+    held: list[np.ndarray] = []
+
+    def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1])
+        size = np.diff(np.append(starts, len(rows)))
+        member = np.repeat(size, size)
+        few = (member > 1) & (member <= small)
+        own = rows[few]
+        edges = small_links(np.repeat(np.arange(len(size)), size)[few], own[:, 3], own[:, 4:].view(np.uint64), own[:, 2], reach, small)
+        for at in np.flatnonzero(size > small).tolist():
+            own = rows[starts[at] : starts[at] + size[at]]
+            edges += near_links(own[:, 3], own[:, 4:].view(np.uint64), own[:, 2], reach)
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*edges, strict=True)], ["u", "v"])
+
+    for batch in cells:
+        if not batch.num_rows:
+            continue
+        held.append(np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)]))
+        if sum(map(len, held)) < rows_held or (held[0][0, :2] == held[-1][-1, :2]).all():
+            continue  # few rows, or one cell fills all that is held
+        rows = np.concatenate(held)
+        last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))[-1] + 1
+        held = [rows[last:]]
+        yield from done(rows[:last])
+    if held:
+        yield from done(np.concatenate(held))
+
+
+def near_sets(sets: DataFrame, *, least: float, reach: int, bands: int = 7, hot: int = 16384) -> DataFrame:
+    """Edges (u, v) that join what the links among ``sets`` (a row for each key, size, fp) join: at most ``reach`` differing bits in the checked words."""
+    dealt = dealt_parts(set_cells(sets, least=least, bands=bands), NAMES[2:], hot)
+    return dealt.mapInArrow(lambda batches: set_edges(batches, reach), "u long, v long").distinct()
 
 
 def linked_sets(keys: list[int], sets: list[np.ndarray], sides: list[int], least: float) -> list[tuple[int, int]]:
@@ -161,26 +305,35 @@ def second_deal(member: DataFrame, hot: int) -> DataFrame:
     return dealt.select("key", "cluster", F.inline(F.when(outside, F.concat(left, right)).otherwise(right))).select("key", "cluster", "part", "side")
 
 
-def copy_roots(sets: DataFrame, *, least: float = 0.8, hot: int = 1024, heavy: int = 256 << 20) -> DataFrame:
-    """Rows (v, root) for each set key of ``sets`` (key, shingles, cells, size) that isn't its group's smallest.
+def shared_cells(sets: DataFrame) -> DataFrame:
+    """Edges (u, v) of the smallest key of each of the cells that ``sets`` (key, cells) give with all its keys."""
+    # a set's own cells differ, so one row for each key suffices
+    cells = sets.groupBy("key").agg(F.first("cells").alias("cells")).select("key", F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("key").alias("u"), F.max("key").alias("most"), F.count("*").alias("n")).where("u < most")
+    total = sets.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0]
+    stars = hub_join(cells, shared.select("cell", "u", "n"), "cell", "key", total).where("u is not null")
+    return stars.select("u", F.col("key").alias("v")).distinct()
+
 
-    A cluster with more than ``hot`` sets or ``heavy`` bytes of shingles is cut into blocks
+def copy_roots(sets: DataFrame, *, least: float = 0.8, reach: int = 60, hot: int = 1024, heavy: int = 256 << 20) -> DataFrame:
+    """Rows (v, root) for each set key of ``sets`` (key, shingles, fp, size) that isn't its group's smallest.
+
+    Candidates are linked by their fingerprints, or with a column ``cells`` for fp by
+    sharing one of these. A cluster with more than ``hot`` sets or ``heavy`` bytes of shingles is cut into blocks
     of about half that many by hash. Without the column ``size`` the bytes are measured. Sets are compared inside their block first; then those outside a cluster's
     largest tree are compared with all of the cluster, so every pair is held or is joined
     already, and a large group of near copies costs in proportion to its sets.
     """
-    # a set's own cells differ, so one row for each key suffices
     size = F.col("size") if "size" in sets.columns else F.length("shingles")
-    cells = sets.groupBy("key").agg(F.first("cells").alias("cells"), F.max(size).alias("size")).select("key", "size", F.explode("cells").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("key").alias("u"), F.max("key").alias("most"), F.count("*").alias("n")).where("u < most")
-    total = sets.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0]
-    stars = hub_join(cells, shared.select("cell", "u", "n"), "cell", "key", total).where("u is not null")
-    stars = written(stars.select("u", "key", "size").distinct(), "candidate-stars")
-    clusters = connected_components(stars.select("u", F.col("key").alias("v")))
+    if "cells" in sets.columns:
+        sized, near = sets.groupBy("key").agg(F.max(size).alias("size")), shared_cells(sets)
+    else:
+        sized = written(sets.groupBy("key").agg(F.first("fp").alias("fp"), F.max(size).alias("size")), "distinct-sets")
+        near = near_sets(sized, least=least, reach=reach)
+    clusters = connected_components(near)
     member = clusters.unionAll(clusters.select(F.col("root").alias("v"), "root").distinct())
     member = member.withColumnRenamed("v", "key").withColumnRenamed("root", "cluster")
-    # each set of a cluster is in a star, its smallest member's own included
-    member = written(member.join(stars.groupBy("key").agg(F.max("size").alias("size")), "key"), "candidate-clusters")
+    member = written(member.join(sized.select("key", "size"), "key"), "candidate-clusters")
     sizes = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     fill = F.greatest(F.col("sets") / hot, F.col("bytes") / heavy)
     blocks = F.when(fill > 1, F.least(F.ceil(2 * fill), F.col("sets"))).otherwise(1).cast("int")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import marked, packed, small_batches, written
-from tidemark.llm.components import connected_components, hub_join
+from tidemark.llm.components import BOTH, LEFT, RIGHT, connected_components, dealt_parts, hub_join
 from tidemark.llm.near_copies import copy_roots, shingle_sets
 
 #: Bit patterns for counting set bits in segments of two bits.
@@ -106,10 +106,6 @@ def _between(left: np.ndarray, right: np.ndarray, steps: Steps) -> list[tuple[in
     return edges
 
 
-#: Sides of a row in its cell: it is compared with those on the other side.
-LEFT, RIGHT, BOTH = 1, 2, 3
-
-
 def cell_edges(cells: Iterator[pa.RecordBatch], steps: Steps, small: int = 48) -> Iterator[pa.RecordBatch]:
     """Edges from rows (cell, part, side, fp) that come sorted, so that a cell's rows stand together.
 
@@ -214,19 +210,7 @@ def dealt_cells(fps: DataFrame, *, reach: int = 4, hot: int = 16384) -> DataFram
     each block's own fingerprints meet each block's members in a part of its own, so no
     task gets an unbounded cell.
     """
-    keyed = fps.select("fp", F.inline(grid_cells(reach)))
-    heavy = keyed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    heavy = written(heavy.select("cell", F.ceil(F.col("n") / hot).cast("int").alias("blocks")), "hot-cells")
-    if heavy.isEmpty():
-        parts = keyed.select("cell", F.lit(0).alias("part"), "side", "fp")
-    else:
-        split = keyed.join(heavy, "cell", "left").withColumn("b", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
-        others = F.sequence(F.lit(0), F.col("blocks") - 1)
-        rights = F.transform(others, lambda o: F.struct((o * F.col("blocks") + F.col("b")).alias("part"), F.lit(RIGHT).alias("side")))
-        lefts = F.transform(others, lambda o: F.struct((F.col("b") * F.col("blocks") + o).alias("part"), F.lit(LEFT).alias("side")))
-        places = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("part"), "side"))).when(F.col("side") == BOTH, F.concat(lefts, rights)).otherwise(rights)
-        parts = split.select("cell", "fp", F.inline(places)).select("cell", "part", "side", "fp")
-    return parts.repartition("cell", "part").sortWithinPartitions("cell", "part")
+    return dealt_parts(fps.select("fp", F.inline(grid_cells(reach))), ["fp"], hot)
 
 
 def near_fingerprints(fps: DataFrame, *, reach: int = 4, hot: int = 16384) -> DataFrame:
@@ -273,19 +257,21 @@ def roots(rows: DataFrame, *, reach: int = 4) -> DataFrame:
     return written(found.select("fp", "root", "component_id", F.col("rows").alias("n")), "roots")
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, least: float = 0.8, seed: int = 42, bands: int = 32, rows: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, least: float = 0.8, seed: int = 42, words: int = 7, reach: int = 60) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id, null last.
 
     Documents are linked if the sets of their ``width``-word shingles have a Jaccard
     similarity of ``least`` or more, held exactly for each pair of candidates; this isn't
-    the op4 query's rule. Candidates share one of ``bands`` bands of ``rows`` MinHash
-    minima or are joined by others that do: of pairs at 0.8 one in 17,000 shares none.
+    the op4 query's rule. Candidates are found by operator 4's method: counts of two-bit
+    segments of a SimHash of ``words`` words, a range join over grids of bands, the
+    Manhattan bound, then at most ``reach`` differing bits of the first three words. Of
+    pairs at 0.8 about one in 800,000 isn't found, of texts of few words one in 10,000. Sets are compared inside the candidates' components.
     Null and wordless texts are copies of each other. Columns stay as they are. Of a
     group's rows with that doc_id the one with the smallest hash of the text stays; of rows
     equal in both, any one.
     """
-    sets = written(shingle_sets(docs, width=width, seed=seed, bands=bands, rows=rows), "shingle-sets")
-    links = copy_roots(sets, least=least)
+    sets = written(shingle_sets(docs, width=width, seed=seed, words=words), "shingle-sets")
+    links = copy_roots(sets, least=least, reach=reach)
     found = sets.select("doc_id", "text_hash", "key").join(links.withColumnRenamed("v", "key"), "key", "left")
     return first_of_each(docs, found.withColumn("root", F.coalesce("root", "key")))
 
@@ -300,5 +286,6 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     # a row that is its group's first and the only one of its key stays where it is; the texts of the rest are shuffled
     counted = found.groupBy(*keys).agg(F.count("*").alias("__n")).join(best.withColumn("__best", F.lit(True)), keys, "left")
     unsure = written(counted.where("__n > 1 or __best is null").select(*keys), "unsure-rows")
-    settled = marked(own, unsure, keys, held=True).join(best, keys, "left_semi").dropDuplicates(keys)
+    # not a semi join, which the optimiser moves below the bitmap, where all texts are shuffled
+    settled = marked(own, unsure, keys, held=True).join(best, keys).dropDuplicates(keys)
     return marked(own, unsure, keys, held=False).unionAll(settled).select("__doc.*")
