@@ -24,7 +24,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4's task on five-word shingles: one document of each group of near copies (Jaccard 0.8 or more) stays."""
+    """Operator 4's method on five-word shingles, then an exact check: one document of each group of near copies (Jaccard 0.8 or more) stays."""
     return simhash.keep_one(docs)
 
 
@@ -34,8 +34,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: pieces of documents in windows of 1024 tokens."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    """Operator 6: pieces of documents in windows of 1024 tokens.
+
+    The executors' heaps are full from the stages before, so workers keep fewer words than alone.
+    """
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), memo=150_000, characters=2_000_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality), ("near_duplicates", drop_near_duplicates), ("mixing", mix), ("packing", pack)]

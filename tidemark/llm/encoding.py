@@ -199,10 +199,17 @@ class ByteEncoder:
             yield from self.encode(group)
 
 
-_ENCODERS: dict[str, ByteEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ByteEncoder] = {}
 
 
-def byte_encoder(path: str) -> ByteEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteEncoder(path)
-    return _ENCODERS[path]
+def byte_encoder(path: str, entries: int = 400_000) -> ByteEncoder:
+    """The encoder of a file, kept by the worker process for the tasks that follow."""
+    if (path, entries) not in _ENCODERS:
+        _ENCODERS[path, entries] = ByteEncoder(path, entries)
+    return _ENCODERS[path, entries]
+
+
+def forget() -> None:
+    """Lets encoders and tokenizers go: Spark gives a worker process tasks of other operators, too, whose memory would come on top of the memos."""
+    _ENCODERS.clear()
+    _LOADED.clear()

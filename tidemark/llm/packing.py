@@ -105,7 +105,7 @@ class SumOfSquares:
                     window = []
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, end_id: int = 0, memo: int = 400_000, characters: int = 8_000_000) -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
     ``docs`` needs doc_id and text; other columns are left out whatever their names. A
@@ -113,7 +113,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, en
     Null and repeated doc_ids are packed row by row. ``size`` must be a power of two.
     ``ids`` holds little-endian unsigned 32-bit integers. A sequence is filled to
     ``size`` or to a power of two below it, so nothing is padded. sequence_id is the
-    partition's number times 2^33 plus a count. An empty table gives no row.
+    partition's number times 2^33 plus a count. An empty table gives no row. The encoder's
+    ``memo`` of words and the ``characters`` encoded at once bound a worker's memory alone.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -121,7 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, en
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(tokenizer_path)
+        encoder = byte_encoder(tokenizer_path, memo)
         packer = SumOfSquares(size, TaskContext.get().partitionId() << 33)
         types = [pa.int64()] * 6 + [pa.binary()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -133,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, en
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.stream(batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.stream(batch.column(1), characters), strict=True):
                 rows.extend(packer.add(doc_id, ids + end))
                 if len(rows) >= 2048:
                     yield out()

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import labelled_rows, packed, small_batches
+from tidemark.llm.encoding import forget
 
 _ENGLISH = (
     "african", "asian", "atheist", "black", "blind", "buddhist", "catholic", "chinese", "christian", "deaf", "disabled", "european",
@@ -306,6 +307,7 @@ def train_toxicity(
         return None
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [(k, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in names.text_keys(t) - names.known]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["k", "label"])
@@ -316,6 +318,7 @@ def train_toxicity(
     place = {k: i for i, k in enumerate(vocabulary)}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [numbers(t, place, names) for t in batch.column(1).to_pylist()]
             own, frames = (pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1))
@@ -336,6 +339,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity | None, *, least: float = 0.
 
     @F.pandas_udf("double")
     def toxic(texts):
+        forget()
         return texts.map(model.score) if model is not None else texts.map(lambda _: 0.0)
 
     scored = docs.withColumn("__score", toxic(F.coalesce(F.col("text").cast("string"), F.lit(""))))
