@@ -56,3 +56,31 @@ def test_stage_links_by_the_distance_of_fingerprints(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(0, 40, 2))
     assert simhash.keep_one(df, reach=0).count() == 40
+
+
+def test_links_of_a_group_follow_its_sets(spark):
+    """A group of near copies meets in nearly all bands; its links are about as many as its sets, and so are the ones of small cells."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for size in (400, 40, 40, 40):
+        centre = rng.integers(0, 2**64, 120, np.uint64)
+        sets += [np.unique(np.concatenate([centre[:114], rng.integers(0, 2**64, 6, np.uint64)])) for _ in range(size)]
+    fp = np.array([near_copies.wide_fingerprint(s, FACTORS) for s in sets])
+    df = spark.createDataFrame([(i, 8 * len(s), x.view(np.int64).tolist()) for i, (s, x) in enumerate(zip(sets, fp, strict=True))], "key long, size long, fp array<long>")
+    links = [(r["u"], r["v"]) for r in near_copies.near_sets(df, least=0.8, reach=60).collect()]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if np.bitwise_count(fp[i, :3] ^ fp[j, :3]).sum() <= 60]
+    assert joined(range(len(sets)), links) == joined(range(len(sets)), near)
+    assert len(links) <= 4 * len(sets)
+    assert all(np.bitwise_count(fp[u, :3] ^ fp[v, :3]).sum() <= 60 for u, v in links)
+
+
+def test_joining_takes_no_circle():
+    """The picked pairs join what all pairs join, one fewer than nodes in each tree; trees that are known aren't joined again."""
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (2, 3), (50, 30), (400, 2000)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        root = np.arange(n)
+        picked = near_copies.joining(i, j, root)
+        assert joined(range(n), zip(i[picked].tolist(), j[picked].tolist(), strict=True)) == joined(range(n), zip(i.tolist(), j.tolist(), strict=True))
+        assert len(picked) == n - len(np.unique(root))
+        assert len(near_copies.joining(i, j, root)) == 0

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import marked, small_batches, written
 from tidemark.llm.components import BOTH, LEFT, RIGHT, connected_components, dealt_parts, hub_join
 
-#: Columns of a set's place in a grid.
-NAMES = ["cell", "side", "key", "w0", "w1", "w2"]
+#: Columns of a set's place in a grid; tree is 0 for a set that is a tree of its own. Last, the many zeros add next to nothing to a shuffle's compressed rows.
+NAMES = ["cell", "side", "key", "w0", "w1", "w2", "tree"]
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -102,8 +102,8 @@ def grid_rows(fp: np.ndarray, size: np.ndarray, least: float, bands: int) -> tup
     return np.concatenate([mixed(step), mixed(step + np.uint64(1))], axis=1), np.repeat([False, True], own.shape[1])
 
 
-def set_cells(sets: DataFrame, *, least: float, bands: int) -> DataFrame:
-    """Rows (cell, side, key, a word for each of those checked) of ``sets`` (key, size in bytes, fp): own cells and probes."""
+def set_cells(sets: DataFrame, *, least: float, bands: int, start: int, end: int) -> DataFrame:
+    """Rows (cell, side, key, a word for each of those checked, tree) of ``sets`` (key, size in bytes, fp, tree): own cells and probes of the bands from ``start`` to ``end``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,74 +111,110 @@ def set_cells(sets: DataFrame, *, least: float, bands: int) -> DataFrame:
                 continue
             fp = np.array(batch.column(2).to_pylist(), np.int64).view(np.uint64)
             cells, probe = grid_rows(fp, batch.column(1).to_numpy() // 8, least, bands)
+            wanted = np.arange(len(probe)) % (len(probe) // 2)
+            wanted = (wanted >= start) & (wanted < end)
+            cells, probe = cells[:, wanted], probe[wanted]
             sides = np.tile(np.where(probe, RIGHT, BOTH).astype(np.int32), len(fp))
-            columns = [cells.reshape(-1).view(np.int64), sides, *(np.repeat(x, cells.shape[1]) for x in (batch.column(0).to_numpy(), *fp.view(np.int64).T[:CHECKED]))]
+            columns = [cells.reshape(-1).view(np.int64), sides, *(np.repeat(x, cells.shape[1]) for x in (batch.column(0).to_numpy(), *fp.view(np.int64).T[:CHECKED], batch.column(3).to_numpy()))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], NAMES)
 
-    return sets.where("size > 0").select("key", "size", "fp").mapInArrow(run, f"cell long, side int, key long, {', '.join(f'{c} long' for c in NAMES[3:])}")
-
-
-def near_links(keys: np.ndarray, fp: np.ndarray, side: np.ndarray, reach: int, most: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that join what the links of one cell join: first the bound of all pairs, then the exact distance, then a forest."""
+    return sets.where("size > 0").select("key", "size", "fp", "tree").mapInArrow(run, f"cell long, side int, key long, {', '.join(f'{c} long' for c in NAMES[3:])}")
+
+
+def joining(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The places of pairs (i, j) of nodes that join separate trees of ``root`` (the tree of each node) without a circle; ``root`` then has the joined trees."""
+    picked = [np.zeros(0, np.int64)]
+    live = np.flatnonzero(root[i] != root[j])
+    while len(live):
+        # each tree takes its first pair: as no two pairs are the same one, only the two trees of a pair can form a circle
+        first = np.full(len(root), len(i))
+        np.minimum.at(first, root[i[live]], live)
+        np.minimum.at(first, root[j[live]], live)
+        own = np.flatnonzero(first < len(i))
+        pick = first[own]
+        x, y = root[i[pick]], root[j[pick]]
+        to = np.arange(len(root))
+        to[own] = np.where(x == own, y, x)
+        mutual = own[(to[to[own]] == own) & (own < to[own])]
+        to[mutual] = mutual
+        while (to[to] != to).any():
+            to = to[to]
+        root[:] = to[root]
+        picked.append(np.unique(pick))
+        live = live[root[i[live]] != root[j[live]]]
+    return np.concatenate(picked)
+
+
+def near_links(node: np.ndarray, root: np.ndarray, fp: np.ndarray, side: np.ndarray, reach: int, most: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell whose links join what its links join: the bound of all pairs of separate trees, then the exact distance.
+
+    ``node`` is each row's place in ``root`` (see ``joining``). Rows of the cell's largest tree aren't compared with each other.
+    """
     counts = unary_counts(fp)
-    left, right = np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT)
-    touched = np.zeros(len(keys), bool)
-    for at in range(0, len(left), max(1, most // max(1, len(right)))):
-        part = left[at : at + max(1, most // len(right))]
-        bound = sum(np.bitwise_count(counts[part, None, w] ^ counts[right, w]) for w in range(fp.shape[1]))
-        i, j = np.nonzero(bound <= reach)
-        i, j = part[i], right[j]
-        i, j = i[i != j], j[i != j]
-        hit = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= reach if len(i) else np.zeros(0, bool)
-        touched[i[hit]] = touched[j[hit]] = True
-    edges, rest = [], np.flatnonzero(touched)
-    while len(rest) > 1:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            x = frontier.pop()
-            hit = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1, dtype=np.int64) <= reach
-            if hit.any():
-                edges.append((np.repeat(keys[x], hit.sum()), keys[rest[hit]]))
-                frontier.extend(rest[hit].tolist())
-                rest = rest[~hit]
-    return edges
-
-
-def small_links(run: np.ndarray, keys: np.ndarray, fp: np.ndarray, side: np.ndarray, reach: int, small: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The links of many cells of at most ``small`` rows (the same ``run``) at a time, a row with the k-th after it for each k."""
+    tree = np.unique(root[node], return_inverse=True)[1]
+    inner = tree == np.bincount(tree).argmax()
+    left, right = (side & LEFT) > 0, (side & RIGHT) > 0
+    pairs = []
+    for own, others in ((left & ~inner, right), (left & inner, right & ~inner)):
+        own, others = np.flatnonzero(own), np.flatnonzero(others)
+        step = max(1, most // max(1, len(others)))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            i, j = np.nonzero(sum(np.bitwise_count(counts[part, None, w] ^ counts[others, w]) for w in range(fp.shape[1])) <= reach)
+            i, j = part[i], others[j]
+            apart = root[node[i]] != root[node[j]]
+            i, j = i[apart], j[apart]
+            hit = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= reach
+            i, j = i[hit], j[hit]
+            kept = joining(node[i], node[j], root)
+            if len(kept):
+                pairs.append((i[kept], j[kept]))
+    return pairs
+
+
+def small_links(run: np.ndarray, node: np.ndarray, root: np.ndarray, fp: np.ndarray, side: np.ndarray, reach: int, small: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same of many cells of at most ``small`` rows (the same ``run``) at a time, a row with the k-th after it for each k."""
     words = np.ascontiguousarray(fp.T)
     counts = unary_counts(words)
     own = (side & LEFT) > 0, (side & RIGHT) > 0
-    edges = []
+    pairs = []
     for k in range(1, small):
         same = run[k:] == run[:-k]
         if not same.any():
             break
-        i = np.flatnonzero(same & (own[0][k:] & own[1][:-k] | own[0][:-k] & own[1][k:]))
+        i = np.flatnonzero(same & (own[0][k:] & own[1][:-k] | own[0][:-k] & own[1][k:]) & (root[node[k:]] != root[node[:-k]]))
         bound = sum(np.bitwise_count(c[i] ^ c[i + k]) for c in counts)
         i = i[bound <= reach]
         i = i[sum(np.bitwise_count(w[i] ^ w[i + k]) for w in words) <= reach]
+        i = i[joining(node[i], node[i + k], root)]
         if len(i):
-            edges.append((keys[i], keys[i + k]))
-    return edges
+            pairs.append((i, i + k))
+    return pairs
 
 
 def set_edges(cells: Iterator[pa.RecordBatch], reach: int, small: int = 64, rows_held: int = 65536) -> Iterator[pa.RecordBatch]:
-    """Edges from rows (cell, part, side, key, words) that come sorted, so that a cell's part stands together; the last, unfinished one is kept."""
+    """Edges (u, v) of sets in the trees a < b, from rows (cell, part, side, key, words, tree) that come sorted, so that a cell's part stands together; the last, unfinished one is kept.
+
+    Of the rows held at a time the edges join what all their links join, with no circle.
+    """
     held: list[np.ndarray] = []
 
     def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1])
         size = np.diff(np.append(starts, len(rows)))
         member = np.repeat(size, size)
-        few = (member > 1) & (member <= small)
-        own = rows[few]
-        edges = small_links(np.repeat(np.arange(len(size)), size)[few], own[:, 3], own[:, 4:].view(np.uint64), own[:, 2], reach, small)
+        side, keys, fp = rows[:, 2], rows[:, 3], rows[:, 4 : 4 + CHECKED].view(np.uint64)
+        trees, node = np.unique(np.where(rows[:, -1] == 0, keys, rows[:, -1]), return_inverse=True)
+        root = np.arange(len(trees))
+        few = np.flatnonzero((member > 1) & (member <= small))
+        pairs = [(few[i], few[j]) for i, j in small_links(np.repeat(np.arange(len(size)), size)[few], node[few], root, fp[few], side[few], reach, small)]
         for at in np.flatnonzero(size > small).tolist():
-            own = rows[starts[at] : starts[at] + size[at]]
-            edges += near_links(own[:, 3], own[:, 4:].view(np.uint64), own[:, 2], reach)
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*edges, strict=True)], ["u", "v"])
+            own = slice(starts[at], starts[at] + size[at])
+            pairs += [(i + starts[at], j + starts[at]) for i, j in near_links(node[own], root, fp[own], side[own], reach)]
+        if pairs:
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (trees[node[i]], trees[node[j]], keys[i], keys[j])], ["a", "b", "u", "v"])
 
     for batch in cells:
         if not batch.num_rows:
@@ -194,10 +230,36 @@ def set_edges(cells: Iterator[pa.RecordBatch], reach: int, small: int = 64, rows
         yield from done(np.concatenate(held))
 
 
-def near_sets(sets: DataFrame, *, least: float, reach: int, bands: int = 7, hot: int = 16384) -> DataFrame:
+def near_rounds(sets: DataFrame, *, least: float, reach: int, bands: int, hot: int, ahead: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (u, v) of the first ``ahead`` bands, the trees (v, root) that these make, and edges of the other bands, one at most for two trees.
+
+    A group of near copies meets in most bands. Most of it is one tree after the first ones,
+    so the other bands add few edges: their number follows the sets, not sets times bands.
+    """
+
+    def found(rows: DataFrame, start: int, end: int) -> DataFrame:
+        dealt = dealt_parts(set_cells(rows, least=least, bands=bands, start=start, end=end), NAMES[2:], hot)
+        edges = dealt.mapInArrow(lambda batches: set_edges(batches, reach), "a long, b long, u long, v long")
+        return edges.groupBy("a", "b").agg(F.min(F.struct("u", "v")).alias("edge")).select("edge.u", "edge.v")
+
+    words = sets.select(F.max(F.size("fp"))).first()[0] or 0
+    rows = sets.select("key", "size", "fp")
+    early = written(found(rows.withColumn("tree", F.lit(0).cast("long")), 0, ahead), "early-links")
+    trees = connected_components(early)
+    known = rows.join(trees.select(F.col("v").alias("key"), F.col("root").alias("tree")), "key", "left").withColumn("tree", F.coalesce("tree", F.lit(0)))
+    return early, trees, written(found(known, ahead, words * bands), "late-links")
+
+
+def near_sets(sets: DataFrame, *, least: float, reach: int, bands: int = 7, hot: int = 16384, ahead: int = 2) -> DataFrame:
     """Edges (u, v) that join what the links among ``sets`` (a row for each key, size, fp) join: at most ``reach`` differing bits in the checked words."""
-    dealt = dealt_parts(set_cells(sets, least=least, bands=bands), NAMES[2:], hot)
-    return dealt.mapInArrow(lambda batches: set_edges(batches, reach), "u long, v long").distinct()
+    early, _, late = near_rounds(sets, least=least, reach=reach, bands=bands, hot=hot, ahead=ahead)
+    return early.unionAll(late)
+
+
+def near_clusters(sets: DataFrame, *, least: float, reach: int, bands: int = 7, hot: int = 16384, ahead: int = 2) -> DataFrame:
+    """Rows (v, root) of the components of ``near_sets``: the trees of the first bands are not taken apart again."""
+    _, trees, late = near_rounds(sets, least=least, reach=reach, bands=bands, hot=hot, ahead=ahead)
+    return connected_components(trees.select(F.col("root").alias("u"), "v").unionAll(late))
 
 
 def linked_sets(keys: list[int], sets: list[np.ndarray], sides: list[int], least: float) -> list[tuple[int, int]]:
@@ -326,11 +388,10 @@ def copy_roots(sets: DataFrame, *, least: float = 0.8, reach: int = 60, hot: int
     """
     size = F.col("size") if "size" in sets.columns else F.length("shingles")
     if "cells" in sets.columns:
-        sized, near = sets.groupBy("key").agg(F.max(size).alias("size")), shared_cells(sets)
+        sized, clusters = sets.groupBy("key").agg(F.max(size).alias("size")), connected_components(shared_cells(sets))
     else:
         sized = written(sets.groupBy("key").agg(F.first("fp").alias("fp"), F.max(size).alias("size")), "distinct-sets")
-        near = near_sets(sized, least=least, reach=reach)
-    clusters = connected_components(near)
+        clusters = near_clusters(sized, least=least, reach=reach)
     member = clusters.unionAll(clusters.select(F.col("root").alias("v"), "root").distinct())
     member = member.withColumnRenamed("v", "key").withColumnRenamed("root", "cluster")
     member = written(member.join(sized.select("key", "size"), "key"), "candidate-clusters")
