@@ -75,7 +75,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state, total = None, pairs.count()
     for _ in range(most_rounds):
-        pairs = written(_star(_star(pairs, True, 2 * total), False, total), "edges")
+        # written in between: nested, the first step's plan stands three times in the second's, and the driver keeps each plan
+        pairs = written(_star(written(_star(pairs, True, 2 * total), "large-stars"), False, total), "edges")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return pairs.select(F.col("u").alias("v"), F.col("v").alias("root"))
