@@ -253,3 +253,37 @@ def test_a_bucket_that_two_snapshots_change_is_a_conflict(spark):
     with pytest.raises(versions.CommitConflict):
         slow.replace(spark.range(3), ["id"], "c")
     assert values(t.read(), "id") == [(0,), (1,), (2,), (3,), (4,), (7,)]
+
+
+def test_a_snapshot_with_changes_in_all_buckets_leaves_the_other_rows_unwritten(spark):
+    t = table(spark, buckets=16, fan=2)
+    first = spark.range(4000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    kinds = lambda df: {r["kind"]: r["n_keys"] for r in df.collect()}
+    t.replace(first, ["k"], "a")
+    second = first.where("k % 50 <> 1").withColumn("v", F.when(F.col("k") % 60 == 2, "y").otherwise(F.col("v"))).unionByName(first.where("k % 70 = 3").withColumn("k", -F.col("k")))
+    assert kinds(t.replace(second, ["k"], "b")) == {"inserted": 58, "updated": 67, "deleted": 80, "unchanged": 3853}
+    log = t.log().where("run_id = 'b'").first()
+    assert len(log["changed"]) == 16 and log["rows"] == 58 + 67 + 80
+    assert values(t.read(), "k", "v") == values(second, "k", "v") and t.read().columns == ["k", "v"]
+    wanted = spark.createDataFrame([(1,), (2,), (-3,), (4,)], "k long")
+    assert values(t.read_keys(wanted), "k", "v") == [(-3, "x"), (2, "y"), (4, "x")]
+    assert t.read_keys(wanted.where("k = 1")).columns == ["k", "v"] and t.read_keys(wanted.where("k = 1")).count() == 0
+    # a deleted key comes again, and deltas are folded with their deletions in them
+    third = second.where("k <> 9").unionByName(first.where("k = 51"))
+    assert kinds(t.replace(third, ["k"], "c")) == {"inserted": 1, "updated": 0, "deleted": 1, "unchanged": 3977}
+    assert t.upsert(first.where("k = 101"), ["k"], "d", compact=False) and t.compact() and len(t.state().deltas) == 2
+    fourth = third.unionByName(first.where("k = 101"))
+    assert values(t.read(), "k", "v") == values(fourth, "k", "v")
+    assert t.compact(everything=True) and not t.state().deltas and values(t.read(), "k", "v") == values(fourth, "k", "v")
+
+
+def test_a_snapshot_whose_changed_keys_are_null_or_repeat(spark):
+    t = table(spark, buckets=4)
+    rows = lambda extra: spark.createDataFrame([(i, i % 3, "x") for i in range(200)] + extra, "a int, kind int, v string")
+    kinds = lambda df: {r["kind"]: r["n_keys"] for r in df.collect()}
+    first, second, third = rows([(None, 1, "n"), (500, 1, "p"), (500, 1, "q")]), rows([(None, 1, "m"), (500, 1, "p"), (500, 1, "q")]), rows([(None, 1, "m"), (500, 1, "p"), (500, 1, "r"), (500, 1, "r")])
+    t.replace(first, ["a", "kind"], "a")
+    assert kinds(t.replace(second, ["a", "kind"], "b")) == {"inserted": 0, "updated": 1, "deleted": 0, "unchanged": 201}
+    assert values(t.read(), "a", "kind", "v") == values(second, "a", "kind", "v")
+    assert kinds(t.replace(third, ["a", "kind"], "c")) == {"inserted": 0, "updated": 1, "deleted": 0, "unchanged": 201} and t.log().where("run_id = 'c'").first()["rows"] == 3
+    assert values(t.read(), "a", "kind", "v") == values(third, "a", "kind", "v")

@@ -242,7 +242,8 @@ class VersionedTable:
     # reading
 
     def _typed(self, state: State) -> T.StructType:
-        return T.StructType([*state.schema.fields, T.StructField("__bucket", T.IntegerType())])
+        """The stored columns; __deleted is true in a delta's row that stands for a deleted key, and null elsewhere."""
+        return T.StructType([*state.schema.fields, T.StructField("__deleted", T.BooleanType()), T.StructField("__bucket", T.IntegerType())])
 
     def _scan(self, state: State, entry: dict, files: list[str] | None) -> DataFrame:
         folder = f"{self.path}/version={entry['data']}"
@@ -250,7 +251,10 @@ class VersionedTable:
         return reader.parquet(folder) if files is None else reader.option("basePath", folder).parquet(*files)
 
     def _merged(self, state: State, *, buckets: list[int] | None = None, files: dict[int, list[str]] | None = None, only: list[dict] | None = None) -> DataFrame | None:
-        """The rows of some buckets or files, each key's from the newest version that has it; ``only`` some deltas, without the base."""
+        """The rows of some buckets or files, each key's from the newest version that has it; ``only`` some deltas, without the base.
+
+        Deleted keys are left out, but for ``only`` deltas: there they still hide the base's rows.
+        """
         deltas = state.deltas if only is None else only
         keys, out, base = state.head["keys"], None, None
 
@@ -277,10 +281,13 @@ class VersionedTable:
             if len(parts) > 1:
                 changes = changes.join(newest, keys, "left").where("__newest is null or __position = __newest")
             changes = changes.select(*self._typed(state).names)
+            if only is not None:
+                return changes.drop("__bucket")
+            changes = changes.where("__deleted is null")
             out = changes if base is None else base.unionAll(changes)
         else:
             out = base
-        return None if out is None else out.drop("__bucket")
+        return None if out is None else out.drop("__bucket", "__deleted")
 
     def read(self, buckets: list[int] | None = None) -> DataFrame | None:
         """The table, or the rows of some of its buckets; None before the first version."""
@@ -332,7 +339,7 @@ class VersionedTable:
         keys = state.head["keys"]
         rows = self._merged(state, files=self.files_of(wanted, state)) if keys else self._merged(state)
         if rows is None:
-            return self._scan(state, state.live[0], None).limit(0).drop("__bucket")
+            return self._scan(state, state.live[0], None).limit(0).drop("__bucket", "__deleted")
         own = wanted.select(*[F.col(k).cast(state.schema[k].dataType).alias(k) for k in keys]).distinct()
         return rows.join(own, keys, "left_semi").select(*rows.columns)
 
@@ -435,7 +442,9 @@ class VersionedTable:
         """Makes the table equal to a whole snapshot by its difference; gives rows (kind, n_keys): inserted, updated, deleted, unchanged.
 
         Hashes of rows are added up by bucket on both sides, and only buckets whose sums
-        differ are compared by key and written; of the rest unchanged counts the keys, too.
+        differ are compared by key. Of these the keys that differ are written as a delta, a
+        deleted one as a row that says so; where they are as many as ``fold`` of their buckets'
+        keys, or one of them is null, which no delta replaces, their buckets are written anew.
         A snapshot of other columns, types or keys is written whole. Null keys are keys of
         their own here, rows that share a key are compared together. The snapshot is read
         up to three times: stage it if it costs more than a read. Of two writers the second
@@ -446,7 +455,7 @@ class VersionedTable:
         own = self._cast(snapshot, state) if columns == snapshot.columns and state.head["keys"] == list(keys) else None
         if own is None:
             old = None if not state.head else self._merged(state)
-            counts = self._difference(old, snapshot, keys)
+            counts = staged(self._counts(self._difference(snapshot.limit(0) if old is None else old, snapshot, keys)), "difference")  # the old table is about to be replaced
             self._put("whole", snapshot, run_id, keys, self.buckets, 0, state, state.version, True)
             return counts
         buckets, old = state.head["buckets"], self._merged(state)
@@ -458,31 +467,41 @@ class VersionedTable:
         rows = both.select("bucket", "same", F.coalesce("new_keys", F.lit(0)).alias("n")).collect()  # a row a bucket
         changed = sorted(r["bucket"] for r in rows if not r["same"])
         here = self._bucket(keys, buckets).isin(changed)
-        counts = self._difference(old.where(here), own.where(here), keys)
-        if changed:
+        other = staged(self._difference(old.where(here), own.where(here), keys).where("__kind <> 'unchanged'"), "difference")
+        null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        n, nulls, new_keys = other.agg(F.count("*"), F.count_if(null), F.count_if(F.col("__kind") != "deleted")).first()
+        if not changed:
+            self._put("delta", own.limit(0), run_id, keys, buckets, 0, state, state.version, False, schema=state.head["schema"])
+        elif not nulls and n < self.fold * sum(r["n"] for r in rows if not r["same"]):
+            new = own.where(here).join(other.where("__kind <> 'deleted'").select(*keys), keys, "left_semi").select(*own.columns)
+            gone = other.where("__kind = 'deleted'").select(*keys, F.lit(True).alias("__deleted"))
+            self._put("delta", new.unionByName(gone, allowMissingColumns=True), run_id, keys, buckets, 0, state, state.version, True, schema=state.head["schema"])
+            self.compact(run_id=f"{run_id} (fold)")
+        else:
             inside = [d for d in state.deltas if set(d["changed"]) <= set(changed)]
             partly = [d for d in state.deltas if d not in inside and set(d["changed"]) & set(changed)]
             if partly:  # a delta that also has other buckets is folded first
                 self.compact(run_id=f"{run_id} (fold)", everything=True)
                 state, inside = self.state(), []
             self._put("buckets", own.where(here), run_id, keys, buckets, 0, state, state.version, True, base=True, replaces=[d["version"] for d in inside], changed=changed, schema=state.head["schema"])
-        else:
-            self._put("delta", own.limit(0), run_id, keys, buckets, 0, state, state.version, False, schema=state.head["schema"])
-        rest = sum(r["n"] for r in rows if r["same"])
-        return counts.withColumn("n_keys", F.when(F.col("kind") == "unchanged", F.col("n_keys") + rest).otherwise(F.col("n_keys")))
+        unchanged = sum(r["n"] for r in rows) - new_keys
+        return self._counts(other).withColumn("n_keys", F.when(F.col("kind") == "unchanged", F.lit(unchanged)).otherwise(F.col("n_keys")))
 
-    def _difference(self, old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows (kind, n_keys) of two tables, staged, as the old one is about to be replaced."""
+    def _difference(self, old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+        """A row for each key of two tables: the key's columns, and its __kind."""
 
         def by_key(df: DataFrame, name: str) -> DataFrame:
             return df.groupBy(*[F.col(k).alias(f"{name}_{i}") for i, k in enumerate(keys)]).agg(_digest(df).alias(name))
 
-        old = new.limit(0) if old is None else old
         on = [F.col(f"old_{i}").eqNullSafe(F.col(f"new_{i}")) for i in range(len(keys))]
         pairs = by_key(old, "old").join(by_key(new, "new"), on, "full")
         kind = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "deleted").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
+        return pairs.select(*[F.coalesce(f"new_{i}", f"old_{i}").alias(k) for i, k in enumerate(keys)], kind.alias("__kind"))
+
+    def _counts(self, difference: DataFrame) -> DataFrame:
+        """Rows (kind, n_keys), one for each of the four kinds."""
         kinds = self.spark.createDataFrame([(k,) for k in ("inserted", "updated", "deleted", "unchanged")], "kind string")
-        return staged(kinds.join(pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_keys")), "kind", "left").select("kind", F.coalesce("n_keys", F.lit(0)).alias("n_keys")), "difference")
+        return kinds.join(difference.groupBy(F.col("__kind").alias("kind")).agg(F.count("*").alias("n_keys")), "kind", "left").select("kind", F.coalesce("n_keys", F.lit(0)).alias("n_keys"))
 
     # folding
 
@@ -515,7 +534,7 @@ class VersionedTable:
         changed = sorted({b for d in deltas for b in d["changed"]})
         rows = self._merged(state, buckets=changed) if base else self._merged(state, only=deltas)
         try:
-            return self._put("fold", rows, run_id, state.head["keys"], state.head["buckets"], 0, state, state.version, True, base=base, replaces=[d["version"] for d in deltas], position=max(d["position"] for d in deltas))
+            return self._put("fold", rows, run_id, state.head["keys"], state.head["buckets"], 0, state, state.version, True, base=base, replaces=[d["version"] for d in deltas], position=max(d["position"] for d in deltas), schema=state.head["schema"])
         except CommitConflict:
             return None
 
