@@ -719,7 +719,7 @@ def stream_newest_events(spark, sf_dir):
     """Events that come three times, the newest in the middle: the stream's table ends as the batch rule has it."""
     path, checkpoint = work_folder(spark, "stream-events"), work_folder(spark, "stream-state")
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("event_ts"), "event_type")
-    t = merge.VersionedTable(spark, work_folder(spark, "newest-table"))
+    t = merge.VersionedTable(spark, work_folder(spark, "newest-table"), cursors=("event_ts",))
     for hours in (F.lit(0).cast("long"), 2 + F.col("event_id") % 3, F.lit(1).cast("long")):
         later = events.withColumn("event_ts", F.timestamp_add("HOUR", hours, "event_ts")).withColumn("event_type", F.concat_ws("+", "event_type", hours.cast("string")))
         later.write.mode("append").parquet(path)

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.dedupe import keep_last
-from tidemark.operators.versions import VersionedTable
+from tidemark.operators.versions import CommitConflict, VersionedTable
+from tidemark.sources.workdir import work_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,12 +75,40 @@ def newest_events(stream: DataFrame, key: str, time: str, delay: dt.timedelta =
 def upsert_newest(stream: DataFrame, table: VersionedTable, key: str, time: str, checkpoint: str, delay: dt.timedelta = dt.timedelta(hours=1)) -> StreamingQuery:
     """Loads the newest row of each key into a table; a correction replaces what an earlier batch brought. Ends when all files are read.
 
-    The state knows what was loaded, so that no batch reads the table. A repeated batch is skipped.
+    The table is the state, as it has a row for each key anyway: a batch's newest rows are
+    held against the table's rows of their keys, for which only files that may hold one are
+    opened, and the newer ones are loaded. Rows of one time are settled as by ``keep_last``.
+    Rows without a key or a time are left out, and so are rows ``delay`` or more before the
+    newest time of the batches before; the table gives that time from its log, if ``time``
+    is one of its cursors. A repeated batch is skipped.
     """
+    spark = table.spark
 
     def load(batch: DataFrame, batch_id: int) -> None:
         run_id = f"{checkpoint}/{batch_id}"
-        if not table.has_run(run_id):
-            table.upsert(keep_last(batch, [key], [time]), [key], run_id)
+        if table.has_run(run_id):
+            return
+        rows, mark = batch.dropna(subset=[key, time]), table.mark(time) if table.version() else None
+        if mark is not None:
+            rows = rows.where(F.col(time) > F.timestamp_add("SECOND", F.lit(-int(delay.total_seconds())), F.lit(mark)))
+        path = work_folder(spark, "newest-batch")
+        keep_last(rows, [key], [time]).write.parquet(path)
+        rows = spark.read.schema(batch.schema).parquet(path)  # a stream's own session plans without what is known at run time
+        for attempt in range(10):
+            version, old = table.version() or 0, table.read_keys(rows.select(key))
+            try:
+                table.upsert(rows if old is None else _newer(rows, old, key, time), [key], run_id, expected=version)
+                return
+            except CommitConflict:
+                if attempt == 9:
+                    raise
+
+    return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return newest_events(stream, key, time, delay).writeStream.foreachBatch(load).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _newer(rows: DataFrame, old: DataFrame, key: str, time: str) -> DataFrame:
+    """The rows, one a key, that come after the old row of their key in the order of ``keep_last``."""
+    order = [time, *sorted(set(rows.columns) - {key, time})]
+    there = [(F.col(c) if c in old.columns else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in order]
+    joined = rows.join(old.select(F.col(key).alias("__key"), F.struct(*there).alias("__old")), F.col(key) == F.col("__key"), "left")
+    return joined.where(F.col("__old").isNull() | (F.struct(*order) > F.col("__old"))).select(*rows.columns)
