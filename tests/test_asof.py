@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from tidemark.operators.asof import as_of_join
+from tidemark.sources.workdir import work_folder
 
 
 @pytest.mark.parametrize("strict", [False, True])
@@ -37,3 +38,16 @@ def test_as_of_join_of_empty_tables(spark):
     rows = spark.createDataFrame([("a", 1)], "k string, at int")
     assert [x["matched"] for x in as_of_join(rows, rows.limit(0), ["k"], "at", "at").collect()] == [None]
     assert as_of_join(rows.limit(0), rows, ["k"], "at", "at").count() == 0
+
+
+def test_as_of_join_reads_its_tables_once_and_keeps_their_types(spark):
+    paths = [work_folder(spark, n) for n in ("left", "right")]
+    spark.sql("select cast(id as int) as id, if(id % 5 = 0, null, cast(id % 3 as int)) as k, cast(id as int) as at from range(40)").write.parquet(paths[0])
+    spark.sql("select id % 3 as k, id as at, concat('v', id) as v from range(0, 40, 4)").write.parquet(paths[1])
+    left, right = (spark.read.parquet(p) for p in paths)
+    got = as_of_join(left, right, ["k"], "at", "at", ties=["v"])
+    assert not [f for f in got.inputFiles() if "/left-" in f or "/right-" in f]  # rows without a key go with the others
+    assert got.select(*left.columns).schema == left.schema and [f.dataType for f in got.schema["matched"].dataType] == [f.dataType for f in right.schema]
+    want = {i: max((j for j in range(0, i + 1, 4) if i % 5 and j % 3 == i % 3), default=None) for i in range(40)}
+    assert {r["id"]: r["matched"] and r["matched"]["at"] for r in got.collect()} == want
+    assert as_of_join(left.select("k", "at"), right.select("k", "at"), ["k"], "at", "at").where("matched is not null").count() == sum(v is not None for v in want.values())

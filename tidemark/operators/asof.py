@@ -22,28 +22,33 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     Both tables are put into one order of keys and time, which is cut into ranges whatever
     the keys are: a key with a third of all rows lies in many ranges. Inside a range the
     last right row is carried on; a key that began in an earlier range gets the last one
-    from there, a row a range at most, which is broadcast.
+    from there, a row a range at most, which is broadcast. A column is kept once in what is
+    shuffled and written, and what only settles the order is made again from it.
     """
-    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, left_time]])
-    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
-    own = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    other = F.struct(*[F.col(f"`{c}`") for c in right.columns])
+    names, sides = [f"__k{i}" for i in range(len(by))], [*zip(by, by, strict=True), (left_time, right_time)]
+    shared = {pair: n for pair, n in zip(sides, [*names, "__at"], strict=True) if left.schema[pair[0]].dataType == right.schema[pair[1]].dataType}
+    of_left, of_right = ({pair[i]: n for pair, n in shared.items()} for i in (0, 1))
+
+    def part(df: DataFrame, time: str, own: dict[str, str], name: str) -> DataFrame:
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in own] or [F.lit(True).alias("__row")]
+        return df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(time).alias("__at"), F.struct(*rest).alias(name))
+
+    def row(df: DataFrame, own: dict[str, str], name: str) -> list[Column]:
+        return [(F.col(own[c]) if c in own else F.col(f"{name}.`{c}`")).alias(c) for c in df.columns]
+
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, right_time]])
+    both = part(left, left_time, of_left, "__left").unionByName(part(right.where(known), right_time, of_right, "__right"), allowMissingColumns=True)
+    lefts, rights = row(left, of_left, "__left"), dict(zip(right.columns, row(right, of_right, "__right"), strict=True))
+    is_right = F.col("__right").isNotNull()
     # at one time right rows come first, or last where they are too late
-    lefts = left.where(known).select(*keys, F.col(left_time).alias("__at"), F.lit(1).alias("__side"), own.alias("__left"))
-    known_right = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, right_time]])
-    order = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties or [])], F.xxhash64(*[F.col(f"`{c}`") for c in right.columns]).alias("h"))
-    rights = right.where(known_right).select(*keys, F.col(right_time).alias("__at"), F.lit(2 if strict else 0).alias("__side"), other.alias("__right"), order.alias("__ties"))
-    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("__hash", F.xxhash64("__left"))
-    names = [f"__k{i}" for i in range(len(by))]
-    place = [*names, "__at", "__side", "__ties", "__hash"]
-    ranged = staged(both.repartitionByRange(*place).withColumn("__range", F.spark_partition_id()), "as-of-ranges")
-    # a key's rows in a range: its last right row there, whatever the number of rows
-    newest = F.max_by("__right", F.when(F.col("__right").isNotNull(), F.struct("__at", "__ties")))
-    parts = ranged.groupBy("__range", *names).agg(newest.alias("__newest"))
-    earlier = F.last("__newest", ignorenulls=True).over(W.partitionBy(*names).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    carried = parts.select("__range", *names, earlier.alias("__carried")).where("__carried is not null")
-    inside = F.last("__right", ignorenulls=True).over(W.partitionBy("__range", *names).orderBy("__at", "__side", "__ties", "__hash").rowsBetween(W.unboundedPreceding, 0))
-    joined = ranged.withColumn("__inside", inside).where("__left is not null").join(F.broadcast(carried), ["__range", *names], "left")
-    matched = joined.select("__left.*", F.coalesce("__inside", "__carried").alias(name))
-    rest = left.where(~known).withColumn(name, F.lit(None).cast(matched.schema[name].dataType))
-    return matched.unionByName(rest)
+    side = F.when(is_right, 2 if strict else 0).otherwise(1)
+    tie = F.when(is_right, F.struct(*[rights[c].alias(f"t{i}") for i, c in enumerate(ties or [])], F.xxhash64(*rights.values()).alias("h")))
+    newest = F.when(is_right, F.struct(*rights.values()))
+    ranged = staged(both.repartitionByRange(*names, "__at", side, tie, F.xxhash64(*lefts)).withColumn("__range", F.spark_partition_id()), "as-of-ranges")
+    # a range's last right row: a key that goes on in the next range has none after it
+    ends = ranged.groupBy("__range").agg(F.max_by(F.when(is_right, F.struct(*names, newest.alias("__carried"))), F.when(is_right, F.struct(*names, "__at", tie))).alias("__end"))
+    carried = ends.select("__range", F.last("__end", ignorenulls=True).over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)).alias("__end")).where("__end is not null").select("__range", "__end.*")
+    dealt = ranged.repartition("__range", *names)  # before the window, so that what it makes isn't shuffled
+    inside = F.last(newest, ignorenulls=True).over(W.partitionBy("__range", *names).orderBy("__at", side, tie).rowsBetween(W.unboundedPreceding, 0))
+    joined = dealt.withColumn("__inside", inside).where("__left is not null").join(F.broadcast(carried), ["__range", *names], "left")
+    return joined.select(*lefts, F.coalesce("__inside", "__carried").alias(name))

@@ -963,6 +963,7 @@ def price_then_valid(spark, sf_dir):
     m = Models(spark, sf_dir)
     items = m["stg_order_items"].join(m["stg_orders"].select("order_id", "company_cuit", "order_ts"), "order_id")
     listed = m["stg_company_catalogs"].withColumn("listed_at", F.when(F.col("product_id") % 3 == 0, F.col("updated_at")).otherwise(F.col("created_at")))
+    items, listed = items.select("order_item_id", "company_cuit", "product_id", "order_ts"), listed.select("company_cuit", "product_id", "listed_at", "sale_price")
     found = asof.as_of_join(items, listed, ["company_cuit", "product_id"], "order_ts", "listed_at", ties=["sale_price"])
     return found.select("order_item_id", F.round(F.col("matched.sale_price") * 100).alias("sale_price"), F.col("matched.listed_at").alias("listed_at"))
 
